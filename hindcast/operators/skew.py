@@ -1,0 +1,49 @@
+"""Lookups in which a few keys may hold most of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than one part in HOT_PARTS of the weight, so there can be at most
+# HOT_PARTS - 1 hot keys whatever the data: that bounds what is broadcast.
+HOT_PARTS = 1000
+
+
+def weighted_lookup(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str
+) -> DataFrame:
+    """Inner join with a lookup that is unique on ``on`` and knows how many rows each key has.
+
+    Rows of hot keys meet a broadcast of the hot part of the lookup and are not shuffled; the rest
+    is joined on the key, and no key of it is hot. Keys match when both are NULL. ``weight`` is not
+    part of the result.
+    """
+    on = list(on)
+    total = lookup.agg(F.sum(weight)).scalar()
+    marked = lookup.withColumn("_hot", F.col(weight) * HOT_PARTS > total)
+    hot = marked.filter("_hot").drop(weight, "_hot")
+    cold = marked.filter("not _hot").drop(weight, "_hot")
+    added = [c for c in lookup.columns if c not in {*on, weight}]
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        keys = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
+                            *([] if how == "left_anti" else added))
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        out = left.join(keys, same, how)
+        return out if how == "left_anti" else out.select(*left.columns, *added)
+
+    in_hot = joined(rows, F.broadcast(hot), "inner")
+    in_cold = joined(joined(rows, F.broadcast(hot), "left_anti"), cold, "inner")
+    return in_hot.unionByName(in_cold)
+
+
+def frequency_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Replace a column by the number of rows that share its value; NULL is a value too."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+    lookup = counts.withColumn(name or f"{column}_freq", F.col("_rows"))
+    return weighted_lookup(df, lookup, [column], "_rows").drop(column)
