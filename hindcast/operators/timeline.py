@@ -94,6 +94,22 @@ def asof_join(
     *and* date with one row per pair on the right, so a key with many events is spread over its
     dates, and AQE may split what is left.
     """
+    found = asof_lookup(events, history, on, event_date, feature_time, ties, inclusive)
+    features = [c for c in history.columns if c not in {*on, feature_time}]
+    joined = events.join(found, [*on, event_date], how)
+    return joined.select(*events.columns, *features)
+
+
+def asof_lookup(
+    events: DataFrame,
+    history: DataFrame,
+    on: Sequence[str],
+    event_date: str,
+    feature_time: str,
+    ties: Sequence[str] = (),
+    inclusive: bool = False,
+) -> DataFrame:
+    """The right side of :func:`asof_join`: one row per (key, date) of the events that has history."""
     _require_date(events, event_date)
     on = list(on)
     ties = list(ties)
@@ -106,13 +122,11 @@ def asof_join(
         .agg(F.max(F.struct(feature_time, *ties, *others)).alias("_row"))
     )
     dates = events.select(*on, event_date).dropna().distinct()
-    found = (
+    return (
         read_timeline(dates, marks, on, event_date, "_visible", ["_row"])
         .filter(F.col("_row").isNotNull())
         .select(*on, event_date, *[F.col("_row")[c].alias(c) for c in features])
     )
-    joined = events.join(found, [*on, event_date], how)
-    return joined.select(*events.columns, *features)
 
 
 def sessions_without_event(
@@ -137,6 +151,43 @@ def sessions_without_event(
     ).select(*sessions.columns)
 
 
+def events_and_free_sessions(
+    sessions: DataFrame,
+    events: DataFrame,
+    on: Sequence[str],
+    start: str,
+    end: str,
+    event_date: str,
+    amounts: Sequence[str],
+) -> DataFrame:
+    """All events, and as rows of zeros the sessions of :func:`sessions_without_event`.
+
+    Both come out of the same time line, so each input is read and shuffled once. The date column
+    of the result is called ``start``.
+    """
+    _require_date(sessions, start)
+    marks = events.select(
+        *on, F.col(event_date).alias("_at"), F.lit(0).alias("_kind"),
+        F.col(event_date).alias("_next"), *amounts,
+    )
+    asked = sessions.select(*on, F.col(start).alias("_at"), F.lit(1).alias("_kind"),
+                            F.col(end).alias("_end"))
+    line = marks.unionByName(asked, allowMissingColumns=True)
+    following = F.last("_next", ignorenulls=True).over(_running(on, newest_first=True))
+    free = F.col("_next").isNull() | (F.col("_next") > F.col("_end")) | F.col("_end").isNull()
+    for key in (*on, "_at"):
+        free = free | F.col(key).isNull()
+    return (
+        line.select(*on, "_at", "_kind", "_end", following.alias("_next"), *amounts)
+        .filter((F.col("_kind") == 0) | free)
+        .select(
+            *on, F.col("_at").alias(start),
+            *[F.when(F.col("_kind") == 0, F.col(a)).otherwise(0)
+              .cast(events.schema[a].dataType).alias(a) for a in amounts],
+        )
+    )
+
+
 def session_sums(
     sessions: DataFrame,
     events: DataFrame,
@@ -193,10 +244,11 @@ def match_sessions(
     event_date: str,
     amounts: Sequence[str],
 ) -> DataFrame:
-    """One row per (session, day with events in it), with the amounts of that day summed.
+    """Sessions with ``hits``, an array of (date, amounts) of the days with events in them.
 
-    Sessions are cut at month borders and joined on key and month, so a session only meets the at
-    most 31 event days of its own months.
+    The array is in time order, sums the amounts of a day, and is empty for a session without an
+    event. It has at most one entry per day of the session. Sessions are cut at month borders and
+    joined on key and month, so a session only meets the at most 31 event days of its own months.
     """
     on = list(on)
     daily = (
@@ -205,12 +257,26 @@ def match_sessions(
         .agg(*[F.sum(a).alias(a) for a in amounts])
         .withColumn("_month", F.trunc(event_date, "month"))
     )
-    months = F.sequence(
-        F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")
+    months = F.when(
+        F.col(start) <= F.col(end),
+        F.sequence(
+            F.trunc(start, "month"),
+            F.trunc(F.greatest(start, end), "month"),
+            F.expr("interval 1 month"),
+        ),
+    )
+    pieces = sessions.select("*", F.explode_outer(months).alias("_month")).alias("s")
+    days = daily.alias("d")
+    same = F.col(f"d.{event_date}").between(F.col(f"s.{start}"), F.col(f"s.{end}"))
+    for key in (*on, "_month"):
+        same = same & (F.col(f"s.{key}") == F.col(f"d.{key}"))
+    hit = F.when(
+        F.col(f"d.{event_date}").isNotNull(),
+        F.struct(F.col(f"d.{event_date}"), *[F.col(f"d.{a}") for a in amounts]),
     )
-    pieces = sessions.filter(F.col(start) <= F.col(end)).withColumn("_month", F.explode(months))
     return (
-        pieces.join(daily, [*on, "_month"])
-        .filter((F.col(event_date) >= F.col(start)) & (F.col(event_date) <= F.col(end)))
-        .select(*sessions.columns, event_date, *amounts)
+        pieces.join(days, same, "left")
+        .select(*[F.col(f"s.{c}") for c in sessions.columns], hit.alias("_hit"))
+        .groupBy(*sessions.columns)
+        .agg(F.sort_array(F.collect_list("_hit")).alias("hits"))
     )

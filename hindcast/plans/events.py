@@ -14,11 +14,12 @@ from hindcast.functions.dates import date_parts
 from hindcast.functions.text import province_group
 from hindcast.operators.cleaning import narrow_numbers, timestamps_to_days
 from hindcast.operators.latest import latest_per_key
+from hindcast.operators.reliable import checkpointed
 from hindcast.operators.timeline import (
-    asof_join,
+    asof_lookup,
+    events_and_free_sessions,
     match_sessions,
     session_sums,
-    sessions_without_event,
 )
 
 PARTY = ("policy_num", "vin", "dln")
@@ -42,15 +43,9 @@ def label_events(
     ``claims`` is wide. A claim on a day that two sessions share counts for both; claims that fall
     in no session stay.
     """
-    free = sessions_without_event(sessions, claims, PARTY, "ver_eff", "ver_exp", "loss_dt")
-    zeros = free.select(
-        *EVENT_KEYS, *[F.lit(0).cast(claims.schema[c].dataType).alias(c)
-                       for c in loss_columns(coverages)]
+    return events_and_free_sessions(
+        sessions, claims, PARTY, "ver_eff", "ver_exp", "loss_dt", loss_columns(coverages)
     )
-    events = claims.select(
-        *PARTY, F.col("loss_dt").alias("ver_eff"), *loss_columns(coverages)
-    )
-    return events.unionByName(zeros)
 
 
 def session_losses(
@@ -65,15 +60,14 @@ def loss_tuples(sessions: DataFrame, claims: DataFrame, amount: str = "loss") ->
 
     An array has at most one entry per day of its session.
     """
-    hits = match_sessions(sessions, claims, PARTY, "ver_eff", "ver_exp", "loss_dt", [amount])
-    grouped = hits.groupBy(*sessions.columns).agg(
-        F.sort_array(F.collect_list(F.struct("loss_dt", F.col(amount).alias("loss")))).alias(
-            "loss_tuples"
-        )
+    return match_sessions(
+        sessions, claims, PARTY, "ver_eff", "ver_exp", "loss_dt", [amount]
+    ).select(
+        *sessions.columns,
+        F.transform(
+            "hits", lambda h: F.struct(h["loss_dt"].alias("loss_dt"), h[amount].alias("loss"))
+        ).alias("loss_tuples"),
     )
-    free = sessions_without_event(sessions, claims, PARTY, "ver_eff", "ver_exp", "loss_dt")
-    empty = F.array().cast(grouped.schema["loss_tuples"].dataType)
-    return grouped.unionByName(free.withColumn("loss_tuples", empty))
 
 
 def loss_rows(tuples: DataFrame) -> DataFrame:
@@ -148,13 +142,19 @@ def attach_histories(
 
     A history is ``(rows, key, time column, ties)``. Unused attributes are dropped before the joins,
     so names that occur in two histories do not collide. Events without history keep NULLs.
+
+    Every lookup starts from the events as given, not from the result of the one before, so their
+    plan is read once per history and does not double with each.
     """
+    out = events
     for history, key, time, ties in histories:
-        events = asof_join(
+        found = asof_lookup(
             events, history.drop(*unused), [key], "ver_eff", time,
-            [t for t in ties if t not in unused], how="left",
+            [t for t in ties if t not in unused],
         )
-    return events
+        added = [c for c in found.columns if c not in {key, "ver_eff"}]
+        out = out.join(found, [key, "ver_eff"], "left").select(*out.columns, *added)
+    return out
 
 
 def add_region(
@@ -182,7 +182,8 @@ def assemble(
 ) -> DataFrame:
     """Features known before each event: histories, region and dates.
 
-    The region filter runs first, so rows that it drops are not looked up.
+    The region filter runs first, so rows that it drops are not looked up. The events are then
+    checkpointed: they are read once per history, and are narrow compared with what built them.
     """
-    kept = add_region(events, regions)
+    kept = checkpointed(add_region(events, regions))
     return add_date_features(attach_histories(kept, histories), as_float)

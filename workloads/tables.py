@@ -47,13 +47,14 @@ def exposure_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
 def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Claim versions with their parties; returned lines stand for car claims."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    returned = lines.filter("l_returnflag = 'R'")
+    joined = returned.join(orders, returned["l_orderkey"] == orders["o_orderkey"])
     return joined.selectExpr(
         "concat('P', o_custkey) as policy_num",
         "concat('V', o_custkey % 500) as vin",
         "case when l_orderkey % 23 = 0 then 'D999' else concat('D', o_custkey % 300) end as dln",
         "concat('C', o_custkey) as int_claim_num",
-        "case when l_returnflag = 'R' then 'AUTO' else 'HOME' end as line_of_business",
+        "'AUTO' as line_of_business",
         "cast(l_partkey % 6 as int) as line_type",
         "concat('line ', l_partkey % 6) as line_type_desc",
         "concat('T', l_partkey % 6) as cvg_type_cd",
@@ -67,13 +68,11 @@ def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coverage_map(spark: SparkSession) -> DataFrame:
-    """The mapping file of the reference's kind: line and code to modelled coverage."""
-    rows = [("AUTO", i, f"line {i}", f"T{i}", c) for i, c in enumerate(
-        ("DC", "COMPSP", "APCOLL", "TPL", "AB", "UIN"))]
-    return spark.createDataFrame(
-        rows,
-        "line_of_business string, line_type int, line_type_desc string, cvg_type_cd string, "
-        "modeling_id_cl string",
+    """A mapping file's rows: line and code to modelled coverage."""
+    return spark.sql(
+        "SELECT 'AUTO' AS line_of_business, line_type, concat('line ', line_type) AS line_type_desc, "
+        "concat('T', line_type) AS cvg_type_cd, modeling_id_cl FROM VALUES (0, 'DC'), (1, 'COMPSP'), "
+        "(2, 'APCOLL'), (3, 'TPL'), (4, 'AB'), (5, 'UIN') AS m(line_type, modeling_id_cl)"
     )
 
 
@@ -190,15 +189,13 @@ def rsp_inforce(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ceding_constants(spark: SparkSession) -> DataFrame:
-    """The constants file of the reference's kind, one row per province and company."""
-    rows = [("ON", "A", 0.85, 100.0, 0.30), ("AB", "A", 0.80, 90.0, 0.25),
-            ("ON", "B", 0.90, 110.0, 0.35)]
-    return spark.createDataFrame(
-        rows,
-        "Province string, Company string, cession_percent double, annual_pool_cost double, "
-        "expense_allowance double",
-    ).withColumns({c: F.col(c).cast("decimal(8,2)")
-                   for c in ("cession_percent", "annual_pool_cost", "expense_allowance")})
+    """A constants file's rows, one per province and company."""
+    return spark.sql(
+        "SELECT Province, Company, cast(percent as decimal(8,2)) AS cession_percent, "
+        "cast(pool as decimal(8,2)) AS annual_pool_cost, cast(allowance as decimal(8,2)) AS "
+        "expense_allowance FROM VALUES ('ON', 'A', 0.85, 100.0, 0.30), ('AB', 'A', 0.80, 90.0, 0.25), "
+        "('ON', 'B', 0.90, 110.0, 0.35) AS c(Province, Company, percent, pool, allowance)"
+    )
 
 
 def models(spark: SparkSession, folder: str) -> DataFrame:
