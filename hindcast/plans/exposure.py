@@ -52,27 +52,30 @@ def clean_exposures(
     )
 
 
-def keep_consistent(
-    df: DataFrame, keys: Sequence[str], low: str | Column, high: str | Column
-) -> DataFrame:
-    """Rows of groups with exactly one known value, given each row's smallest and largest value.
-
-    The groups that break the rule are few, so they are what is joined: AQE can then broadcast them
-    by their measured size and the table itself is not shuffled for the check.
-    """
-    broken = (
-        df.groupBy(*keys)
-        .agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+def _inconsistent(exposures: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Groups in which a column does not have exactly one known value."""
+    return (
+        exposures.groupBy(*keys)
+        .agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
         .filter("_low is null or _low <> _high")
         .select(*keys)
     )
-    return df.dropna(subset=list(keys)).join(broken, list(keys), "left_anti")
 
 
 def consistent_exposures(exposures: DataFrame) -> DataFrame:
-    """Exposures of terms with one length and of driver terms with one exposure number."""
-    df = keep_consistent(exposures, TERM_KEYS, "term_days", "term_days")
-    return keep_consistent(df, DRIVER_TERM_KEYS, "expos_num", "expos_num")
+    """Exposures of terms with one length and of driver terms with one exposure number.
+
+    "One value" is smallest = largest, so no distinct count is needed and each check is one column
+    pruned, pre-aggregated pass. The groups that break a rule are few, and they are what is joined:
+    AQE broadcasts them if their measured size allows, and Catalyst moves the anti joins down to
+    the scan, before any wide shuffle. Rows with a NULL key never pass.
+    """
+    known = exposures.dropna(subset=list(DRIVER_TERM_KEYS))
+    terms = _inconsistent(known, TERM_KEYS, "term_days")
+    drivers = _inconsistent(known, DRIVER_TERM_KEYS, "expos_num")
+    return known.join(terms, list(TERM_KEYS), "left_anti").join(
+        drivers, list(DRIVER_TERM_KEYS), "left_anti"
+    )
 
 
 def session_premium(annual: str, term_days: str, ver_days: str) -> Column:
@@ -85,19 +88,13 @@ def session_premium(annual: str, term_days: str, ver_days: str) -> Column:
 
 
 def session_premiums(exposures: DataFrame, loaded: str = "loaded_timest") -> DataFrame:
-    """Premium per session, driver type and load time, of consistent terms only.
-
-    Rows are summed first: both consistency rules look at coarser groups than the sum does, so the
-    checks and the later joins run on the smaller table with the same outcome.
-    """
-    summed = exposures.groupBy(*SESSION_KEYS, "driver_type", loaded).agg(
-        F.sum("ft_prem").alias("_annual"),
-        F.min("expos_num").alias("_low_num"),
-        F.max("expos_num").alias("_high_num"),
+    """Premium per session, driver type and load time, of consistent terms only."""
+    summed = (
+        consistent_exposures(exposures)
+        .groupBy(*SESSION_KEYS, "driver_type", loaded)
+        .agg(F.sum("ft_prem").alias("_annual"))
     )
-    df = keep_consistent(summed, TERM_KEYS, "term_days", "term_days")
-    df = keep_consistent(df, DRIVER_TERM_KEYS, "_low_num", "_high_num")
-    return df.select(
+    return summed.select(
         *SESSION_KEYS, "driver_type", loaded,
         session_premium("_annual", "term_days", "ver_days").alias("session_prem"),
     )
