@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast import COVERAGES, TRIPLET
+from hindcast import TRIPLET
 from hindcast.functions.rows import ratio_of_sums
+from hindcast.operators.reliable import checkpointed
 from hindcast.operators.timeline import read_timeline
 
 HISTORY_COVERAGES = ("DC", "COMPSP", "APCOLL", "TPL", "UIN", "AB")
@@ -81,12 +82,14 @@ def add_previous_terms(
     events: DataFrame, sessions: DataFrame, ids: Sequence[str] = TRIPLET,
     coverages: Sequence[str] = HISTORY_COVERAGES,
 ) -> DataFrame:
-    """Events with the previous-term figures of each id, NULL where there are fewer terms."""
+    """Events with the previous-term figures of each id, NULL where there are fewer terms.
+
+    The sessions with their losses are checkpointed, as each id reads them again. Every lookup
+    starts from the events as given.
+    """
+    sessions = checkpointed(sessions)
+    out = events
     for kk in ids:
         found = previous_terms(events, term_aggregates(sessions, kk, coverages), kk)
-        events = events.join(found, [kk, "term_eff"], "left")
-    return events
-
-
-def names_of_session_losses(coverages: Sequence[str] = COVERAGES) -> list[str]:
-    return [f"session_loss_{c}" for c in coverages]
+        out = out.join(found, [kk, "term_eff"], "left")
+    return out.select(*events.columns, *[c for c in out.columns if c not in events.columns])

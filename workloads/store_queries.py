@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.functions import maps
+from hindcast.operators.reliable import checkpointed
 from hindcast.operators.retro import EXPOSURE_WINDOWS, retro_losses_long
 from hindcast.plans import history, store
 from workloads import inputs
@@ -146,8 +147,10 @@ def _wide(kk: str, c: str) -> str:
         for kk in ("vin", "dln") for c in COVERAGES
     )))
 def point_in_time_features(spark, folder):
-    stores = {kk: _claim_store(spark, folder, kk) for kk in ("vin", "dln")}
-    return store.point_in_time_features(_events(spark, folder), stores)
+    claims = checkpointed(inputs.claims_long(spark, folder))
+    stores = {kk: store.claim_store(claims, kk, t.CALENDAR) for kk in ("vin", "dln")}
+    events = checkpointed(_events(spark, folder))
+    return store.point_in_time_features(events, stores)
 
 
 def _term_figures(kk: str) -> str:
