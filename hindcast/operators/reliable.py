@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 
+def _use_checkpoint_folder(context: SparkContext) -> None:
+    if context.getCheckpointDir() is not None:
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="hindcast-checkpoint-")
+    context.setCheckpointDir(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
     without that setting gets a temporary folder; on a cluster its absence is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="hindcast-checkpoint-")
-        context.setCheckpointDir(folder)
+    _use_checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(df: DataFrame) -> str:
+    """A new folder name next to the checkpoints, for data that one job writes and reads back."""
+    context = df.sparkSession.sparkContext
+    _use_checkpoint_folder(context)
+    return f"{context.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
