@@ -1,19 +1,22 @@
 """Snapshots at month ends and sums over windows that reach back from them.
 
-The windows are never joined. A snapshot calendar is a rule, so each claim or session can name the
-month ends whose windows contain it: at most one per month of reach. That is an explode of bounded
-width followed by an aggregation, in place of a range join of ids x month ends with the facts.
+Facts are never range-joined with ids x month ends. A snapshot calendar is a rule, so each claim or
+session can name the months whose windows may hold it: at most one per month of reach. That is an
+explode of bounded width, an equi join with the calendar (one row per month end, so its size is
+known before it is broadcast) and an aggregation.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.dates import months_back
+from hindcast.functions.types import as_column
 
 # Fixed values: (nearer, farther) edge in months of the exposure windows.
 EXPOSURE_WINDOWS = (
@@ -29,42 +32,45 @@ class MonthEnds:
     first: str
     last: str
 
-    @property
-    def first_date(self) -> Column:
-        return F.to_date(F.lit(self.first))
+    def _span(self) -> tuple[int, int]:
+        first, last = (datetime.date.fromisoformat(d) for d in (self.first, self.last))
+        return first.year * 12 + first.month, last.year * 12 + last.month
 
-    @property
-    def last_date(self) -> Column:
-        return F.to_date(F.lit(self.last))
-
-    def dates(self) -> Column:
-        """The calendar as an array."""
-        months = F.sequence(
-            F.trunc(self.first_date, "month"),
-            F.trunc(self.last_date, "month"),
-            F.expr("interval 1 month"),
+    def table(self, spark: SparkSession, edges: Sequence[int] = ()) -> DataFrame:
+        """``_month, dt`` and one ``_back_<n>`` per edge: the date n months before ``dt``."""
+        low, high = self._span()
+        start = F.trunc(F.to_date(F.lit(self.first)), "month")
+        ends = spark.range(high - low + 1).select(
+            (F.col("id") + low).cast("int").alias("_month"),
+            F.last_day(F.add_months(start, F.col("id").cast("int"))).alias("dt"),
         )
-        return F.filter(F.transform(months, F.last_day), self.contains)
-
-    def contains(self, date: Column) -> Column:
-        return (date >= self.first_date) & (date <= self.last_date)
-
-    def within_months_of(self, start: Column, end: Column) -> Column:
-        """Month ends of the calendar from the month of ``start`` to that of ``end``, as an array."""
-        low = F.greatest(F.trunc(start, "month"), F.trunc(self.first_date, "month"))
-        high = F.least(F.trunc(end, "month"), F.trunc(self.last_date, "month"))
-        months = F.sequence(low, F.greatest(low, high), F.expr("interval 1 month"))
-        return F.filter(
-            F.transform(months, F.last_day), lambda d: self.contains(d) & (d <= F.last_day(end))
+        inside = F.col("dt").between(F.lit(self.first), F.lit(self.last))
+        return ends.filter(inside).select(
+            "*", *[months_back("dt", n).alias(f"_back_{n}") for n in sorted(set(edges))]
         )
 
+    def months_between(self, start: Column | str, end: Column | str) -> Column:
+        """Month numbers of the calendar from the month of ``start`` to that of ``end``."""
+        low, high = self._span()
+        first = F.greatest(month_number(start), F.lit(low))
+        last = F.least(month_number(end), F.lit(high))
+        return F.when(first <= last, F.sequence(first, last))
+
+
+def month_number(date: Column | str) -> Column:
+    """Months since year 0, the number behind the calendar's ``_month``."""
+    date = as_column(date)
+    return F.year(date) * 12 + F.month(date)
+
 
 def snapshot_grid(ids: DataFrame, id_column: str, calendar: MonthEnds) -> DataFrame:
     """Distinct ids x month ends."""
-    return (
-        ids.select(id_column)
-        .distinct()
-        .select(id_column, F.explode(calendar.dates()).alias("dt"))
+    every = calendar.months_between(
+        F.lit(calendar.first).cast("date"), F.lit(calendar.last).cast("date")
+    )
+    months = ids.select(id_column).distinct().withColumn("_month", F.explode(every))
+    return months.join(F.broadcast(calendar.table(ids.sparkSession)), "_month").select(
+        id_column, "dt"
     )
 
 
@@ -94,46 +100,35 @@ def retro_losses(
         # one row per id, coverage and day from here on: the exploded rows stay in their task
         .repartition(id_column, "cvg")
     )
-    loss_dt = F.col("loss_dt")
-    reach = F.add_months(loss_dt, retro_months + 1)
-    placed = daily.select(
-        id_column, "cvg", "loss_dt", "loss",
-        F.explode(calendar.within_months_of(loss_dt, reach)).alias("dt"),
+    reach = F.add_months("loss_dt", retro_months + 1)
+    dated = daily.select(
+        id_column, "cvg",
+        (F.col("loss") * 100).cast("bigint").alias("_cents"),
+        month_number("loss_dt").alias("_loss_month"),
+        F.dayofmonth("loss_dt").alias("_day"),
+        F.dayofmonth(F.last_day("loss_dt")).alias("_days_in_month"),
+        F.explode(calendar.months_between("loss_dt", reach)).alias("_month"),
     )
-    apart = (F.year("dt") - F.year("loss_dt")) * 12 + F.month("dt") - F.month("loss_dt")
-    late_in_month = loss_dt >= months_back("dt", F.col("_apart"))
-    binned = placed.withColumn("_apart", apart).withColumn(
-        "_bin", F.col("_apart") - late_in_month.cast("int")
+    # a month end taken back to the month of the loss falls on its own day, or on that month's last
+    edge = F.least(F.dayofmonth("dt"), F.col("_days_in_month"))
+    reached = (F.col("_day") >= edge).cast("int")
+    binned = dated.join(F.broadcast(calendar.table(claims.sparkSession)), "_month").withColumn(
+        "_bin", F.col("_month") - F.col("_loss_month") - reached
     )
-    sums = binned.groupBy(id_column, "cvg", "dt").agg(
-        *[
-            F.sum(F.when(F.col("_bin") == m, F.col("loss"))).alias(f"_b{m}")
-            for m in range(retro_months + 1)
-        ]
-    )
-    money = "decimal(28,2)"
-    exact = F.array(
-        *[F.coalesce(f"_b{m}", F.lit(0)).cast(money) for m in range(retro_months + 1)]
-    )
-    running = F.aggregate(
-        F.col("_exact"),
-        F.array().cast(f"array<{money}>"),
-        lambda done, x: F.concat(
-            done,
-            F.array(
-                (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast(money)) + x).cast(money)
-            ),
-        ),
+    months = range(retro_months + 1)
+    sums = (
+        binned.filter(F.col("_bin").between(0, retro_months))
+        .groupBy(id_column, "cvg", "dt")
+        .agg(
+            *[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months],
+            *[F.expr(f"sum(if(_bin <= {m}, _cents, 0L)) as _a{m}") for m in months],
+        )
     )
-    as_int = "array<bigint>"
-    stored = sums.select(id_column, "cvg", "dt", exact.alias("_exact")).select(
+    return sums.select(
         id_column, "cvg", "dt",
-        F.col("_exact").cast(as_int).alias("bins"),
-        running.cast(as_int).alias("acum"),
-    )
-    return stored.filter(
-        F.exists("bins", lambda x: x > 0) | F.exists("acum", lambda x: x > 0)
-    )
+        F.expr(f"array({', '.join(f'_b{m} div 100' for m in months)})").alias("bins"),
+        F.expr(f"array({', '.join(f'_a{m} div 100' for m in months)})").alias("acum"),
+    ).filter((F.array_max("bins") > 0) | (F.array_max("acum") > 0))
 
 
 def retro_losses_long(stored: DataFrame, id_column: str, kind: str) -> DataFrame:
@@ -158,49 +153,52 @@ def retro_exposures(
 
     A session meets a snapshot once, with a bit mask of the windows that hold it. Distinct values
     are counted by OR-ing the masks per value, in place of one distinct aggregate per window.
+    Before they meet the calendar, rows are reduced to one per id (or value) and pair of dates;
+    that bounds what a hot id brings to its task, and lets the exploded rows stay in theirs.
     """
     reach = max(far for _, far in windows)
     eff, exp = F.col("ver_eff"), F.col("ver_exp")
-    cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("long")
+    edges = [m for window in windows for m in window]
+    months = F.broadcast(calendar.table(sessions.sparkSession, edges))
     mask = F.lit(0)
     for bit, (near, far) in enumerate(windows):
-        inside = (months_back("dt", far) <= eff) & (months_back("dt", near) > exp)
+        inside = (F.col(f"_back_{far}") <= eff) & (F.col(f"_back_{near}") > exp)
         mask = mask.bitwiseOR(F.when(inside, F.lit(1 << bit)).otherwise(F.lit(0)))
-    placed = (
-        sessions.dropna(subset=[id_column, "ver_eff", "ver_exp"])
-        .select(
-            F.col(id_column), *others, "term_eff", "ver_eff", "ver_exp",
-            cents.alias("_cents"), F.col("ver_days").cast("long").alias("_days"),
-        )
-        .select(
-            "*",
-            F.explode(calendar.within_months_of(exp, F.add_months(eff, reach + 1))).alias("dt"),
+
+    def placed(df: DataFrame) -> DataFrame:
+        near_by = calendar.months_between(exp, F.add_months(eff, reach + 1))
+        return (
+            df.withColumn("_month", F.explode(near_by))
+            .join(months, "_month")
+            .withColumn("_mask", mask)
+            .filter("_mask > 0")
         )
-        .withColumn("_mask", mask)
-        .filter("_mask > 0")
-    )
+
     held_by = F.filter(
         F.array(*[F.lit(i) for i in range(len(windows))]),
         lambda i: F.getbit("_mask", i) == 1,
     )
-
-    def square(c: str) -> Column:
-        return (F.col(c).cast("decimal(18,0)") * F.col(c).cast("decimal(18,0)")).cast(
-            "decimal(38,0)"
+    known = sessions.dropna(subset=[id_column, "ver_eff", "ver_exp"])
+    figures = ("_n_c", "_s_c", "_q_c", "_n_d", "_s_d", "_q_d")
+    cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("decimal(18,0)")
+    days = F.col("ver_days").cast("decimal(9,0)")
+    by_dates = (
+        known.groupBy(id_column, "ver_eff", "ver_exp")
+        .agg(
+            F.count(cents).alias("_n_c"),
+            F.sum(cents).alias("_s_c"),
+            F.sum(cents * cents).alias("_q_c"),
+            F.count(days).alias("_n_d"),
+            F.sum(days).alias("_s_d"),
+            F.sum(days * days).alias("_q_d"),
         )
-
-    parts = placed.groupBy(id_column, "dt", "_mask").agg(
-        F.count("_cents").alias("_n_c"),
-        F.sum("_cents").alias("_s_c"),
-        F.sum(square("_cents")).alias("_q_c"),
-        F.count("_days").alias("_n_d"),
-        F.sum("_days").alias("_s_d"),
-        F.sum(square("_days")).alias("_q_d"),
+        .repartition(id_column)
     )
     numbers = (
-        parts.withColumn("_window", F.explode(held_by))
+        placed(by_dates)
+        .withColumn("_window", F.explode(held_by))
         .groupBy(id_column, "dt", "_window")
-        .agg(*[F.sum(c).alias(c) for c in ("_n_c", "_s_c", "_q_c", "_n_d", "_s_d", "_q_d")])
+        .agg(*[F.sum(c).alias(c) for c in figures])
     )
     dims = [*others, "term_eff", "ver_eff"]
     values = F.array(
@@ -209,9 +207,14 @@ def retro_exposures(
             for i, d in enumerate(dims)
         ]
     )
-    counts = (
-        placed.select(id_column, "dt", "_mask", F.inline(values))
+    by_value = (
+        known.select(id_column, "ver_eff", "ver_exp", F.inline(values))
         .filter("_value is not null")
+        .distinct()
+        .repartition(id_column, "_dim", "_value")
+    )
+    counts = (
+        placed(by_value)
         .groupBy(id_column, "dt", "_dim", "_value")
         .agg(F.bit_or("_mask").alias("_mask"))
         .withColumn("_window", F.explode(held_by))
@@ -225,6 +228,7 @@ def retro_exposures(
     )
 
     def variance(n: str, s: str, q: str, scale: int) -> Column:
+        """(n * sum of squares - square of sum) / (n * (n - 1)), in whole numbers up to the end."""
         n, s, q = F.col(n).cast("decimal(9,0)"), F.col(s).cast("decimal(19,0)"), F.col(q)
         spread = n * q.cast("decimal(29,0)") - s * s
         pairs = (n * (n - 1) * F.lit(scale)).cast("decimal(22,0)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hindcast import COVERAGES
 from hindcast.functions.dates import horizon_end, overlaps, prorate
 from hindcast.functions.rows import row_sum
+from hindcast.operators.ordering import exact_quantiles
 
 HORIZONS = (1, 3, 6)
 PARTY = ("policy_num", "vin", "dln")
@@ -129,6 +130,37 @@ def horizon_loss(horizon: int, coverages: Sequence[str] = COVERAGES) -> Column:
     return row_sum([f"{c}_loss_{horizon}" for c in coverages], False)
 
 
+def backtest_lift(
+    backtest: DataFrame, horizons: Sequence[int] = HORIZONS, share: float = 0.05,
+    coverages: Sequence[str] = COVERAGES, exact: bool = False,
+) -> DataFrame:
+    """Loss ratios of the top share by score and of the rest, per as-of date and horizon.
+
+    The cut is a quantile of each as-of date, approximate unless asked for exactly.
+    """
+    if exact:
+        cells = backtest.select(
+            F.col("as_of").alias("column_name"), F.col("mpa_score").alias("value")
+        )
+        cuts = exact_quantiles(cells, 1 - share).select(
+            F.col("column_name").alias("as_of"), F.col("quantile").alias("_cut")
+        )
+    else:
+        cuts = backtest.groupBy("as_of").agg(
+            F.percentile_approx("mpa_score", 1 - share).alias("_cut")
+        )
+    top = F.col("mpa_score") >= F.col("_cut")
+    figures = []
+    for h in horizons:
+        loss, prem = horizon_loss(h, coverages), F.col(f"prem_{h}")
+        for side, rows in (("top", top), ("bottom", ~top)):
+            ratio = F.try_divide(
+                F.sum(F.when(rows, loss)).cast("double"), F.sum(F.when(rows, prem)).cast("double")
+            )
+            figures.append(ratio.alias(f"{side}_{h}"))
+    return backtest.join(F.broadcast(cuts), "as_of").groupBy("as_of").agg(*figures)  # few dates
+
+
 def inference_events(backtest: DataFrame) -> DataFrame:
     """Back-test rows as events on their as-of date, ready to be assembled with features."""
     return backtest.withColumn("ver_eff", F.col("as_of"))

@@ -19,6 +19,7 @@ from hindcast.operators.latest import latest_per_key
 from hindcast.operators.reshape import pivot_sum
 
 CLAIM_KEYS = ("policy_num", "vin", "dln", "loss_dt")
+CLAIM_DAY = ("policy_num", "int_claim_num", "loss_dt")
 LINE_OF_BUSINESS = "AUTO"
 OTHER_COVERAGE = "UIN"
 
@@ -40,7 +41,10 @@ def latest_amounts(rows: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
         versions, ["policy_num", "int_claim_num", "cvg_type_cd", "loss_dt"],
         ["processed_date", *ties, "incurred_amt"],
     )
-    return latest.groupBy("policy_num", "int_claim_num", "loss_dt", "cvg").agg(
+    # one row per code and day is left; spread by claim day, it needs no shuffle for the sum, nor
+    # for the join with the parties that follows
+    by_claim_day = latest.repartition(*CLAIM_DAY)
+    return by_claim_day.groupBy(*CLAIM_DAY, "cvg").agg(
         as_money(F.sum("incurred_amt")).alias("loss_sum")
     )
 
@@ -72,7 +76,7 @@ def claims_long(
         rows = map_coverages(rows.filter(F.col("line_of_business") == LINE_OF_BUSINESS), coverage_map)
     parties = claim_parties(between_dates(common, "loss_dt", start, end))
     return latest_amounts(rows, ties).join(
-        parties, ["policy_num", "int_claim_num", "loss_dt"], "inner"
+        parties, list(CLAIM_DAY), "inner"
     )
 
 

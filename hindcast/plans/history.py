@@ -17,11 +17,13 @@ RANKS = 4
 
 
 def term_aggregates(
-    sessions: DataFrame, kk: str, coverages: Sequence[str] = HISTORY_COVERAGES
+    sessions: DataFrame, kk: str, coverages: Sequence[str] = HISTORY_COVERAGES,
+    with_end: bool = False,
 ) -> DataFrame:
     """Per id and term: premium, days, distinct counts, and losses with their rate per day.
 
-    ``sessions`` holds one ``session_loss_<cvg>`` per coverage.
+    ``sessions`` holds one ``session_loss_<cvg>`` per coverage. ``with_end`` adds ``term_end``, the
+    last day on which a session of the term could still bring a loss.
     """
     x, y = [k for k in TRIPLET if k != kk]
     figures: list[Column] = [
@@ -40,6 +42,8 @@ def term_aggregates(
             ratio_of_sums(loss, "ver_days").alias(f"term_loss_mean_{c}_{kk}"),
             F.sum(loss).alias(f"term_loss_{c}_{kk}"),
         ]
+    if with_end:
+        figures.append(F.max("ver_exp").alias("term_end"))
     return sessions.groupBy(kk, "term_eff").agg(*figures)
 
 
@@ -51,8 +55,8 @@ def previous_terms(
 
     Each term row carries the list of the terms up to it, at most ``ranks`` long; an event then
     needs only one lookup, the newest term that began before it. Earlier terms count by their start
-    alone. With ``known_before`` a term counts only once its ``term_end`` column has passed, so that
-    no loss of the event's own time leaks in.
+    alone. With ``known_before`` a term counts only once its ``term_end`` has passed, so that no loss
+    of the event's own time leaks in; the last terms are then those that ended last.
     """
     figures = [c for c in terms.columns if c not in {kk, "term_eff", "term_end"}]
     shown = F.date_add(F.col("term_end" if known_before else "term_eff"), 1)
@@ -68,14 +72,15 @@ def previous_terms(
     marks = listed.groupBy(kk, "_visible").agg(F.max_by("_terms", "term_eff").alias("_terms"))
     asked = events.select(kk, "term_eff").dropna().distinct()
     found = read_timeline(asked, marks, [kk], "term_eff", "_visible", ["_terms"])
+    placed = found.select(
+        kk, "term_eff",
+        *[F.try_element_at("_terms", F.lit(-r)).alias(f"_t{r}") for r in range(1, ranks + 1)],
+    )
     out = []
     for r in range(1, ranks + 1):
-        term = F.get(F.reverse("_terms"), F.lit(r - 1))
-        out += [term[c].alias(f"{c}_{r}") for c in figures]
-        out.append(
-            F.date_diff("term_eff", term["term_eff"]).alias(f"term_dayssince_{kk}_{r}")
-        )
-    return found.select(kk, "term_eff", *out)
+        out += [f"_t{r}.`{c}` as `{c}_{r}`" for c in figures]
+        out.append(f"datediff(term_eff, _t{r}.term_eff) as term_dayssince_{kk}_{r}")
+    return placed.selectExpr(kk, "term_eff", *out)
 
 
 def add_previous_terms(

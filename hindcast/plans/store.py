@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast import COVERAGES, TRIPLET
@@ -22,7 +22,9 @@ from hindcast.operators.retro import (
     retro_losses,
 )
 from hindcast.operators.timeline import read_timeline
+from hindcast.sources import overwrite_partitions, read_parquet, store_path
 
+CLAIM_STORE = "feature_store_claim"
 KINDS = {"bin": "bins", "acum": "acum"}
 
 
@@ -41,6 +43,18 @@ def exposure_store(
     return retro_exposures(sessions, id_column, others, calendar, windows)
 
 
+def save_claim_store(stored: DataFrame, id_column: str, root: str) -> None:
+    """Write the store of one id kind; a rerun replaces the coverages it holds and no others."""
+    rows = stored.withColumnRenamed(id_column, "id").withColumn("kk", F.lit(id_column))
+    overwrite_partitions(rows, store_path(root, CLAIM_STORE), ["kk", "cvg"])
+
+
+def load_claim_store(spark: SparkSession, id_column: str, root: str) -> DataFrame:
+    """The store of one id kind; only its own partitions are read."""
+    rows = read_parquet(spark, store_path(root, CLAIM_STORE)).filter(F.col("kk") == id_column)
+    return rows.select(F.col("id").alias(id_column), "cvg", "dt", "bins", "acum")
+
+
 def loss_feature(id_column: str, kind: str, coverage: str, months: int) -> str:
     return f"{id_column}_loss_sum_retro_{kind}_{coverage}_{months}"
 
@@ -144,18 +158,18 @@ def point_in_time_features(
     Each coverage is looked up on its own: the newest snapshot that has an entry for it counts, even
     if a newer one exists for another coverage.
     """
-    out = []
     joined = events
     for kk, stored in stores.items():
         joined = joined.join(_lookup(events, stored, kk, coverages), [kk, "ver_eff"], "left")
-        for c in coverages:
-            for m in range(retro_months + 1):
-                for kind, field in KINDS.items():
-                    value = F.get(F.col(f"_{kk}_{c}")[field], F.lit(m))
-                    out.append(
-                        F.coalesce(value, F.lit(0)).cast("int").alias(loss_feature(kk, kind, c, m))
-                    )
-    return joined.select(*events.columns, *out)
+    values = [
+        f"cast(coalesce(get(_{kk}_{c}.{field}, {m}), 0) as int) as "
+        f"`{loss_feature(kk, kind, c, m)}`"
+        for kk in stores
+        for c in coverages
+        for m in range(retro_months + 1)
+        for kind, field in KINDS.items()
+    ]
+    return joined.selectExpr(*[f"`{c}`" for c in events.columns], *values)
 
 
 def features_from_vector(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:

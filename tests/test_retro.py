@@ -137,3 +137,26 @@ def test_previous_terms_take_the_four_latest_earlier_starts(spark):
     assert [r["prem_1"] for r in got] == [2011.0, 2014.0, None]
     assert [r["prem_4"] for r in got] == [None, 2011.0, None]
     assert [r["term_dayssince_vin_1"] for r in got] == [151, 365, None]
+
+
+def test_a_saved_store_is_read_back_per_id_kind(spark, tmp_path):
+    claims = spark.createDataFrame(
+        [("a", "D1", "DC", "C1", day("2020-05-05"), Decimal("12.50")),
+         ("a", "D1", "AB", "C2", day("2020-06-05"), Decimal("7.00"))],
+        "vin string, dln string, cvg string, int_claim_num string, loss_dt date, loss_sum decimal(18,2)",
+    )
+    stores = {kk: store.claim_store(claims, kk, CALENDAR, ["DC", "AB"], 1) for kk in ("vin", "dln")}
+    for kk, stored in stores.items():
+        store.save_claim_store(stored, kk, str(tmp_path))
+    for kk, stored in stores.items():
+        assert rows(store.load_claim_store(spark, kk, str(tmp_path))) == rows(stored)
+
+
+def test_terms_known_before_wait_for_their_end(spark):
+    terms = spark.createDataFrame(
+        [("v", day("2014-01-01"), 1.0, day("2014-12-31")), ("v", day("2015-01-01"), 2.0, day("2016-03-01"))],
+        "vin string, term_eff date, prem double, term_end date",
+    )
+    events = spark.createDataFrame([("v", day("2016-01-01"))], "vin string, term_eff date")
+    assert history.previous_terms(events, terms, "vin").first()["prem_1"] == 2.0
+    assert history.previous_terms(events, terms, "vin", known_before=True).first()["prem_1"] == 1.0

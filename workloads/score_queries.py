@@ -9,7 +9,7 @@ from hindcast.functions.types import bool_to_int
 from hindcast.operators import ordering, skew
 from hindcast.operators.cleaning import between_dates
 from hindcast.operators.reliable import checkpointed
-from hindcast.plans import backtest, cession, evaluate, splits
+from hindcast.plans import backtest, cession, evaluate, events, splits
 from workloads import inputs
 from workloads import tables as t
 from workloads.ctes import sql
@@ -38,6 +38,55 @@ def inforce_backtest(spark, folder):
     return inputs.backtested(spark, folder)
 
 
+_RATIO = (
+    "(CAST(sum(loss_{h}) FILTER (mpa_score {op} cut) AS BIGINT) / 100.0)"
+    " / (CAST(sum(p{h}) FILTER (mpa_score {op} cut) AS BIGINT) / 1000000.0) AS {side}_{h}"
+)
+
+
+@query("inforce_lift", sql(f"""
+SELECT CAST(backtest.as_of AS VARCHAR) AS as_of,
+  {", ".join(_RATIO.format(h=h, op=op, side=side) for h in (1, 3, 6) for op, side in ((">=", "top"), ("<", "bottom")))}
+FROM backtest JOIN (SELECT as_of, quantile_cont(mpa_score, 0.95) AS cut FROM backtest GROUP BY as_of) USING (as_of)
+GROUP BY backtest.as_of"""))
+def inforce_lift(spark, folder):
+    return backtest.backtest_lift(checkpointed(inputs.backtested(spark, folder)), exact=True)
+
+
+_INFER = """SELECT policy_num, vin, dln, as_of AS ver_eff, mpa_score, loss_6, p6 FROM backtest"""
+_INFER_DRIVER = """SELECT * EXCLUDE (rn) FROM (
+  SELECT e.policy_num, e.vin, e.dln, e.ver_eff, d.seq, d.years_licensed, d.disc, d.status,
+    row_number() OVER (PARTITION BY e.policy_num, e.vin, e.dln, e.ver_eff ORDER BY d.processed_date DESC,
+      d.seq DESC, d.years_licensed DESC, d.disc DESC, d.status DESC) AS rn
+  FROM infer e JOIN driver_hist d ON d.dln = e.dln AND d.processed_date < e.ver_eff) WHERE rn = 1"""
+_INFER_POSTAL = """SELECT * EXCLUDE (rn) FROM (
+  SELECT e.policy_num, e.vin, e.dln, e.ver_eff, p.postalcode, p.municipalityname, p.population,
+    row_number() OVER (PARTITION BY e.policy_num, e.vin, e.dln, e.ver_eff ORDER BY p.job_closed_dt DESC,
+      p.postalcode DESC) AS rn
+  FROM infer e JOIN postal_hist p ON p.vin = e.vin AND p.job_closed_dt < CAST(e.ver_eff AS TIMESTAMP))
+WHERE rn = 1"""
+
+
+@query("inforce_inference", sql("""
+SELECT policy_num, vin, dln, CAST(ver_eff AS VARCHAR) AS ver_eff, mpa_score,
+  CAST(loss_6 AS BIGINT) / 100.0 AS loss_6, p6 / 1000000.0 AS prem_6, CAST(seq AS BIGINT) AS seq,
+  years_licensed, status, postalcode, municipalityname, population, policy_province,
+  CAST(month(ver_eff) AS BIGINT) AS ver_eff_month
+FROM infer LEFT JOIN infer_driver USING (policy_num, vin, dln, ver_eff)
+LEFT JOIN infer_postal USING (policy_num, vin, dln, ver_eff) JOIN regions USING (policy_num)
+WHERE policy_province IN ('ON', 'AB', 'ATL')""", infer=_INFER, infer_driver=_INFER_DRIVER, infer_postal=_INFER_POSTAL))
+def inforce_inference(spark, folder):
+    rows = inputs.backtested(spark, folder).withColumn("loss_6", backtest.horizon_loss(6))
+    rows = backtest.inference_events(rows.select(*backtest.PARTY, "as_of", "mpa_score", "loss_6", "prem_6"))
+    out = events.assemble(
+        rows, inputs.histories(spark, folder), inputs.regions(spark, folder), as_float=False
+    )
+    return out.select(
+        "policy_num", "vin", "dln", "ver_eff", "mpa_score", "loss_6", "prem_6", "seq", "years_licensed",
+        "status", "postalcode", "municipalityname", "population", "policy_province", "ver_eff_month",
+    )
+
+
 def _scored(spark, folder, horizon=3):
     rows = inputs.backtested(spark, folder, FIRST)
     return rows.withColumns(
@@ -73,7 +122,7 @@ SELECT rn <= n * 0.01 // 1 AS in_top, count(*) AS rows,
   (CAST(sum(loss_3) AS BIGINT) / 100.0) / count(loss_3) AS mean_loss
 FROM ranked GROUP BY 1""", ranked="""
 SELECT *, row_number() OVER (ORDER BY mpa_score DESC NULLS LAST, policy_num, vin, dln) AS rn,
-  count(*) OVER () AS n FROM backtest_first""".replace("backtest_first", "backtest_first")))
+  count(*) OVER () AS n FROM backtest_first"""))
 def lift_top1_count(spark, folder):
     out = evaluate.lift_top_rows(
         _scored(spark, folder), "mpa_score", "loss", "prem", ("policy_num", "vin", "dln")

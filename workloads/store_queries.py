@@ -34,8 +34,8 @@ def retro_loss_store(spark, folder):
 
 
 @query("retro_loss_bins", sql("""
-SELECT dln, cvg, m AS months_back, count(*) AS snapshots, CAST(sum(bin) AS BIGINT) AS loss
-FROM retro_dln WHERE bin > 0 GROUP BY dln, cvg, m""".replace("m AS months_back", "CAST(m AS BIGINT) AS months_back")))
+SELECT dln, cvg, CAST(m AS BIGINT) AS months_back, count(*) AS snapshots, CAST(sum(bin) AS BIGINT) AS loss
+FROM retro_dln WHERE bin > 0 GROUP BY dln, cvg, m"""))
 def retro_loss_bins(spark, folder):
     long = retro_losses_long(_claim_store(spark, folder, "dln"), "dln", "bins")
     return long.groupBy("dln", "cvg", "months_back").agg(
@@ -102,13 +102,13 @@ def _events(spark, folder):
 
 
 @query("store_lookup_nested", sql("""
-SELECT policy_num, vin, dln, CAST(ver_eff AS VARCHAR) AS ver_eff,
+SELECT e.policy_num, e.vin, e.dln, CAST(ver_eff AS VARCHAR) AS ver_eff,
   coalesce(d.bins[1], 0) AS dc_bin_0, coalesce(d.acum[13], 0) AS dc_acum_12,
   coalesce(a.acum[25], 0) AS ab_acum_24
 FROM (SELECT policy_num, vin, dln, ver_eff FROM events_labelled) e
 ASOF LEFT JOIN (SELECT * FROM store_vin WHERE cvg = 'DC') d ON d.vin = e.vin AND d.dt <= e.ver_eff
 ASOF LEFT JOIN (SELECT * FROM store_vin WHERE cvg = 'AB') a ON a.vin = e.vin AND a.dt <= e.ver_eff
-""".replace("SELECT policy_num, vin, dln, CAST", "SELECT e.policy_num, e.vin, e.dln, CAST")))
+"""))
 def store_lookup_nested(spark, folder):
     """The lookup on the nested form: newest snapshot, maps merged, vector, named columns."""
     stored = _claim_store(spark, folder, "vin")

@@ -223,12 +223,12 @@ def edge(df: DataFrame) -> DataFrame:
     """Plain result types: decimals as double, whole numbers as bigint, dates as text."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DecimalType, T.FloatType)):
-            c = c.cast("double")
+            out.append(f"cast(`{f.name}` as double) as `{f.name}`")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
+            out.append(f"cast(`{f.name}` as bigint) as `{f.name}`")
         elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"cast(`{f.name}` as string) as `{f.name}`")
+        else:
+            out.append(f"`{f.name}`")
+    return df.selectExpr(*out)
