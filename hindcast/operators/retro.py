@@ -63,6 +63,16 @@ def month_number(date: Column | str) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by keys ahead of an explode.
+
+    The number is fixed to the session's, as AQE would otherwise merge partitions by their size
+    before the explode, when they are still small.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def snapshot_grid(ids: DataFrame, id_column: str, calendar: MonthEnds) -> DataFrame:
     """Distinct ids x month ends."""
     every = calendar.months_between(
@@ -90,15 +100,14 @@ def retro_losses(
     end to end and money is decimal. Only then are both cut to whole units. Rows without a positive
     entry are left out.
     """
-    daily = (
+    daily = _spread(
         claims.filter(F.col("cvg").isin(*coverages))
         .select(id_column, "cvg", "int_claim_num", "loss_dt", "loss_sum")
         .dropna(subset=[id_column, "loss_dt"])
         .distinct()
         .groupBy(id_column, "cvg", "loss_dt")
-        .agg(F.sum("loss_sum").alias("loss"))
-        # one row per id, coverage and day from here on: the exploded rows stay in their task
-        .repartition(id_column, "cvg")
+        .agg(F.sum("loss_sum").alias("loss")),
+        id_column, "cvg",  # one row per day from here on: the exploded rows stay in their task
     )
     reach = F.add_months("loss_dt", retro_months + 1)
     dated = daily.select(
@@ -180,25 +189,29 @@ def retro_exposures(
     )
     known = sessions.dropna(subset=[id_column, "ver_eff", "ver_exp"])
     figures = ("_n_c", "_s_c", "_q_c", "_n_d", "_s_d", "_q_d")
-    cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("decimal(18,0)")
-    days = F.col("ver_days").cast("decimal(9,0)")
-    by_dates = (
+    cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("long")
+    square = cents.cast("decimal(18,0)") * cents.cast("decimal(18,0)")
+    days = F.col("ver_days").cast("long")
+    by_dates = _spread(
         known.groupBy(id_column, "ver_eff", "ver_exp")
         .agg(
             F.count(cents).alias("_n_c"),
             F.sum(cents).alias("_s_c"),
-            F.sum(cents * cents).alias("_q_c"),
+            F.sum(square).alias("_q_c"),
             F.count(days).alias("_n_d"),
             F.sum(days).alias("_s_d"),
             F.sum(days * days).alias("_q_d"),
-        )
-        .repartition(id_column)
+        ),
+        id_column,
     )
+    sums = [F.sum(c).alias(c) for c in figures]
     numbers = (
         placed(by_dates)
+        .groupBy(id_column, "dt", "_mask")
+        .agg(*sums)
         .withColumn("_window", F.explode(held_by))
         .groupBy(id_column, "dt", "_window")
-        .agg(*[F.sum(c).alias(c) for c in figures])
+        .agg(*sums)
     )
     dims = [*others, "term_eff", "ver_eff"]
     values = F.array(
@@ -207,21 +220,23 @@ def retro_exposures(
             for i, d in enumerate(dims)
         ]
     )
-    by_value = (
+    by_value = _spread(
         known.select(id_column, "ver_eff", "ver_exp", F.inline(values))
         .filter("_value is not null")
-        .distinct()
-        .repartition(id_column, "_dim", "_value")
+        .distinct(),
+        id_column, "_dim", "_value",
     )
     counts = (
         placed(by_value)
         .groupBy(id_column, "dt", "_dim", "_value")
         .agg(F.bit_or("_mask").alias("_mask"))
+        .groupBy(id_column, "dt", "_dim", "_mask")
+        .agg(F.count(F.lit(1)).alias("_values"))
         .withColumn("_window", F.explode(held_by))
         .groupBy(id_column, "dt", "_window")
         .agg(
             *[
-                F.count(F.when(F.col("_dim") == i, 1)).alias(f"cntdist_{d}")
+                F.sum(F.when(F.col("_dim") == i, F.col("_values"))).alias(f"cntdist_{d}")
                 for i, d in enumerate(dims)
             ]
         )
@@ -229,9 +244,9 @@ def retro_exposures(
 
     def variance(n: str, s: str, q: str, scale: int) -> Column:
         """(n * sum of squares - square of sum) / (n * (n - 1)), in whole numbers up to the end."""
-        n, s, q = F.col(n).cast("decimal(9,0)"), F.col(s).cast("decimal(19,0)"), F.col(q)
-        spread = n * q.cast("decimal(29,0)") - s * s
-        pairs = (n * (n - 1) * F.lit(scale)).cast("decimal(22,0)")
+        n, s, q = F.col(n).cast("decimal(12,0)"), F.col(s).cast("decimal(19,0)"), F.col(q)
+        spread = n * q.cast("decimal(26,0)") - s * s
+        pairs = (n * (n - 1) * F.lit(scale)).cast("decimal(30,0)")
         return F.coalesce(F.try_divide(spread, pairs).cast("long"), F.lit(0).cast("long"))
 
     def whole(c: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hindcast import TRIPLET
 from hindcast.functions.rows import ratio_of_sums
-from hindcast.operators.reliable import checkpointed
 from hindcast.operators.timeline import read_timeline
 
 HISTORY_COVERAGES = ("DC", "COMPSP", "APCOLL", "TPL", "UIN", "AB")
@@ -89,10 +88,9 @@ def add_previous_terms(
 ) -> DataFrame:
     """Events with the previous-term figures of each id, NULL where there are fewer terms.
 
-    The sessions with their losses are checkpointed, as each id reads them again. Every lookup
-    starts from the events as given.
+    Both inputs are read once per id, so pass stored or checkpointed tables. Every lookup starts from
+    the events as given, not from the result of the one before.
     """
-    sessions = checkpointed(sessions)
     out = events
     for kk in ids:
         found = previous_terms(events, term_aggregates(sessions, kk, coverages), kk)

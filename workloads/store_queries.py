@@ -210,5 +210,6 @@ FROM sessions s LEFT JOIN previous_vin v ON v.vin = s.vin AND v.term_eff = s.ter
 LEFT JOIN previous_dln d ON d.dln = s.dln AND d.term_eff = s.term_eff
 LEFT JOIN previous_policy_num p ON p.policy_num = s.policy_num AND p.term_eff = s.term_eff""", **_EXTRA))
 def previous_terms(spark, folder):
-    rows = inputs.sessions(spark, folder).select("policy_num", "vin", "dln", "ver_eff", "term_eff")
-    return history.add_previous_terms(rows, inputs.session_losses(spark, folder))
+    sessions = checkpointed(inputs.session_losses(spark, folder))
+    rows = sessions.select("policy_num", "vin", "dln", "ver_eff", "term_eff")
+    return history.add_previous_terms(rows, sessions)
