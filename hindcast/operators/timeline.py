@@ -92,7 +92,8 @@ def asof_join(
 
     The lookup works on the distinct (key, date) pairs of the events. The final join back is on key
     *and* date with one row per pair on the right, so a key with many events is spread over its
-    dates, and AQE may split what is left.
+    dates, and AQE may split what is left. The events are read twice; if their plan is long, pass a
+    stored or checkpointed table.
     """
     found = asof_lookup(events, history, on, event_date, feature_time, ties, inclusive)
     features = [c for c in history.columns if c not in {*on, feature_time}]

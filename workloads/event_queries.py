@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import checks, timeline
+from hindcast.operators.reliable import checkpointed
 from hindcast.plans import claims, events
 from workloads import inputs
 from workloads import tables as t
@@ -163,11 +164,17 @@ _FEATURES = """CAST(seq AS BIGINT) AS seq, years_licensed, disc, status, job, ma
   winter_tires, postalcode, province, municipalityname, longitude, latitude, area_name, population"""
 
 
+def _event_keys(spark, folder):
+    """Keys of the events, checkpointed because each lookup reads them twice."""
+    rows = inputs.labelled(spark, folder)
+    return checkpointed(rows.select("policy_num", "vin", "dln", "ver_eff"))
+
+
 @query("asof_driver_features", sql("""
 SELECT policy_num, vin, dln, CAST(ver_eff AS VARCHAR) AS ver_eff, CAST(seq AS BIGINT) AS seq,
   years_licensed, disc, status FROM as_of_driver""", as_of_driver=_AS_OF_DRIVER))
 def asof_driver_features(spark, folder):
-    keys = inputs.labelled(spark, folder).select("policy_num", "vin", "dln", "ver_eff")
+    keys = _event_keys(spark, folder)
     return timeline.asof_join(
         keys, t.driver_history(spark, folder), ["dln"], "ver_eff", "processed_date", t.DRIVER_TIES
     )
@@ -177,7 +184,7 @@ def asof_driver_features(spark, folder):
 SELECT policy_num, vin, dln, CAST(ver_eff AS VARCHAR) AS ver_eff, {_FEATURES},
   CAST(purchased AS VARCHAR) AS date_purchased {_JOINED}""", **_FAN_IN))
 def asof_fan_in(spark, folder):
-    keys = inputs.labelled(spark, folder).select("policy_num", "vin", "dln", "ver_eff")
+    keys = _event_keys(spark, folder)
     out = events.attach_histories(keys, inputs.histories(spark, folder))
     return out.withColumn("date_purchased", F.col("date_purchased").cast("date"))
 
@@ -213,8 +220,8 @@ UNION ALL SELECT 'fan-in keeps rows', (SELECT count(*) FROM events_labelled),
 UNION ALL SELECT 'no null premium', count(*) FILTER (prem IS NULL), 0, count(*) FILTER (prem IS NULL) = 0
   FROM sessions""", as_of_driver=_AS_OF_DRIVER))
 def quality_checks(spark, folder):
-    sessions = inputs.sessions(spark, folder)
-    labelled = inputs.labelled(spark, folder)
+    sessions = checkpointed(inputs.sessions(spark, folder))
+    labelled = checkpointed(events.label_events(sessions, inputs.claims_wide(spark, folder)))
     keys = labelled.select("policy_num", "vin", "dln", "ver_eff")
     known = timeline.asof_join(
         keys, t.driver_history(spark, folder), ["dln"], "ver_eff", "processed_date", t.DRIVER_TIES
