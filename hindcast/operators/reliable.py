@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _use_checkpoint_folder(context: SparkContext) -> None:
@@ -14,7 +15,8 @@ def _use_checkpoint_folder(context: SparkContext) -> None:
         return
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        if not context.master.startswith("local"):
+        # One process on one machine only; "local-cluster" has executors of its own.
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="hindcast-checkpoint-")
     context.setCheckpointDir(folder)
@@ -35,3 +37,9 @@ def scratch_folder(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
     _use_checkpoint_folder(context)
     return f"{context.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder that no DataFrame will read again, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
