@@ -87,7 +87,7 @@ def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Ge
         if lot == 1:
             tables[:live] += rng.random(live) < chance
         else:
-            tables[:live] += rng.binomial(n, chance)
+            tables[:live] += rng.binomial(n.astype(np.int64), chance)
         weight[:live] += n * np.log(share)
         k += lot
     out_t, out_w = np.empty(len(c)), np.empty(len(c))
