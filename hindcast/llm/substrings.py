@@ -85,7 +85,7 @@ def chunks(documents: DataFrame, **sizes) -> DataFrame:
                 for doc, text in zip(doc_ids[at:at + 500], batch.column(1).slice(at, 500)):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     own = chunk_ends(data, **sizes)
-                    starts = [0, *own[:-1]]
+                    starts = [0, *own[:-1]] if own else []
                     docs.append(doc)
                     counts.append(len(own))
                     begins += starts
