@@ -10,6 +10,7 @@ is found by bit offset; see ``unpack``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,9 +24,13 @@ BLOCKS = (
     "shard int, block int, start long, n_ids long, bits int, packed binary, "
     "doc_ids array<long>, doc_ends array<long>"
 )
-# Pieces start where white space follows something else. The tokenizer's own split never joins two
-# such pieces, so ids of a text are the ids of its pieces in order.
-PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
+# Pieces start where white space follows something else, and where an ASCII mark (but for the
+# apostrophe) follows a Latin letter. The tokenizer's own split never joins two such pieces, so ids
+# of a text are the ids of its pieces in order.
+SPACE = r"[^\S\x1c-\x1f]"
+MARK = r"!-&(-/:-@\[-`{-~"
+PIECE = re.compile(
+    rf"{SPACE}*+(?:[^\s{MARK}]++(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[{MARK}])|[\S\x1c-\x1f]++)|{SPACE}+\Z")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,7 +62,11 @@ def unpack(packed: bytes, bits: int, first: int, last: int) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizer with a bounded memory of pieces it has seen."""
+    """The tokenizer with a bounded memory of pieces it has seen, as packed ids.
+
+    The memory has two halves: when the newer one is full it becomes the older one, and pieces that
+    come again move back, so that rare pieces are forgotten first.
+    """
 
     def __init__(self, path: str, remember: int = 400_000, longest: int = 64):
         import os
@@ -67,7 +76,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remember, self.longest = remember, longest
 
     def whole(self, text: str) -> list[int]:
@@ -77,23 +87,27 @@ class Encoder:
         """Ids of each text; equal to encoding each text whole."""
         pieces = [None if any(s in t for s in self.specials) else PIECE.findall(t) for t in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        new = {p for own in pieces if own for p in own if p not in known}
-        once = {p for p in new if len(p) > self.longest}
-        new = list(new)
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for piece in set(chain.from_iterable(own for own in pieces if own)) - known.keys():
+            if (packed := older.get(piece)) is not None:
+                known[piece] = packed
+            else:
+                new.append(piece)
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(
                     part, add_special_tokens=False)):
-                known[piece] = got.ids
+                known[piece] = array("I", got.ids).tobytes()
         out = [
             np.array(self.whole(t), dtype=np.uint32) if own is None
-            else np.fromiter(chain.from_iterable(map(known.__getitem__, own)), dtype=np.uint32)
+            else np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.uint32)
             for t, own in zip(texts, pieces)
         ]
-        for piece in once:
-            del known[piece]
+        for piece in new:
+            if len(piece) > self.longest:
+                del known[piece]
         return out
 
 
