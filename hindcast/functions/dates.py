@@ -68,8 +68,8 @@ def prorate(
     amount, days, eff, exp, on, off = (as_column(c) for c in (amount, days, eff, exp, on, off))
     inside = (eff >= on) & (exp <= off)
     share = F.try_divide(
-        amount.cast("decimal(18,2)") * overlap_days(eff, exp, on, off).cast("decimal(6,0)"),
-        days.cast("decimal(6,0)"),
+        amount.cast("decimal(18,2)") * overlap_days(eff, exp, on, off).cast("decimal(8,0)"),
+        days.cast("decimal(8,0)"),
     )
     return F.when(inside, amount.cast("decimal(24,6)")).otherwise(
         F.round(share, 6).cast("decimal(24,6)")

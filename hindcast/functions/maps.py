@@ -24,7 +24,7 @@ def latest_snapshot(snapshots: Column | str, date: Column | str) -> Column:
 
 def merge_maps(maps: Sequence[Column | str]) -> Column:
     """One map out of several; for a key found twice the later map wins. NULL maps are skipped."""
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     cols = [F.coalesce(as_column(m), empty) for m in maps]
 
     def overlay(base: Column, top: Column) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators.reliable import checkpointed
-from hindcast.operators.skew import weighted_lookup
 
 # monotonically_increasing_id() keeps the row's place in its partition in the lower 33 bits.
 _PLACE_BITS = 33
@@ -54,13 +53,55 @@ def global_row_number(
     )
 
 
+def first_fraction(
+    df: DataFrame, order: Sequence[tuple[str, bool]], fraction: float, name: str,
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """Mark the first ``floor(n * fraction)`` rows, of all or of each ``group``.
+
+    ``order`` names columns and whether they fall; falling columns have NULL last, others first.
+    Together they must make the order total. Only these columns are sorted, to find the border row;
+    the rows themselves are compared with it where they are.
+    """
+    group = list(group)
+    keys = [F.col(c).desc_nulls_last() if falls else F.col(c).asc_nulls_first()
+            for c, falls in order]
+    narrow = df.select(*group, *[c for c, _ in order])
+    numbered = global_row_number(narrow, [*group, *keys], "_number")
+    sizes = numbered.groupBy(*group).agg(
+        (F.min("_number") + F.floor(F.count(F.lit(1)) * F.lit(fraction)) - 1).alias("_last"))
+    border = F.struct(*[F.col(c).alias(f"_{i}") for i, (c, _) in enumerate(order)])
+    if group:
+        pairs = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in group], "_last")
+        same = F.col("_number") == F.col("_last")
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        found = numbered.join(pairs, same).select(
+            *[F.col(f"_g_{c}") for c in group], border.alias("_border"))
+        same = F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        marked = df.join(found, same, "left").drop(*[f"_g_{c}" for c in group])
+    else:
+        last = sizes.scalar()
+        marked = df.withColumn(
+            "_border", numbered.filter(F.col("_number") == last).select(border).scalar())
+    within = F.lit(True)
+    for i, (c, falls) in reversed(list(enumerate(order))):
+        own, other = F.col(c), F.col(f"_border._{i}")
+        before = (own > other) if falls else (own < other)
+        null_side = other if falls else own
+        before = F.coalesce(before, null_side.isNull() & ~own.eqNullSafe(other))
+        within = before | (own.eqNullSafe(other) & within)
+    return marked.withColumn(name, F.col("_border").isNotNull() & within).drop("_border")
+
+
 def top_fraction(
-    df: DataFrame, score: str, fraction: float, ties: Sequence[str], name: str = "in_top"
+    df: DataFrame, score: str, fraction: float, ties: Sequence[str], name: str = "in_top",
+    group: Sequence[str] = (),
 ) -> DataFrame:
     """Mark the first ``floor(n * fraction)`` rows by falling score; ``ties`` make the order total."""
-    numbered = global_row_number(df, [F.col(score).desc_nulls_last(), *ties], "_number")
-    size = numbered.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("n")).scalar()
-    return numbered.withColumn(name, F.col("_number") <= size).drop("_number")
+    return first_fraction(df, [(score, True), *[(c, False) for c in ties]], fraction, name, group)
 
 
 def cells_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,14 +115,15 @@ def cells_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).filter("value is not null")
 
 
-def value_ranks(cells: DataFrame) -> DataFrame:
+def value_ranks(cells: DataFrame, weight: str | None = None) -> DataFrame:
     """Distinct values per ``column_name`` with row count ``n``, ``below`` and average ``rank``.
 
-    ``cells`` is a long table ``column_name, value``; the name may be any small set of groups. All
-    groups are ranked in one pass: values are counted before they are shuffled, so 97 % zeros are
-    one row, and only distinct values are sorted.
+    ``cells`` is a long table ``column_name, value``, of which ``weight`` may count the rows; the
+    name may be a struct. All groups are ranked in one pass: values are counted before they are
+    shuffled, so 97 % zeros are one row, and only distinct values are sorted.
     """
-    counted = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = cells.groupBy("column_name", "value").agg(rows.alias("n"))
     ordered = _sorted_with_place(counted, ["column_name", "value"])
     earlier = (
         Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,10 +132,8 @@ def value_ranks(cells: DataFrame) -> DataFrame:
     summed = ordered.join(offsets, "_part").withColumn(
         "_before", F.col("_offset") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
     )
-    starts = F.broadcast(  # one row per group name
-        summed.groupBy("column_name").agg(
-            F.min("_before").alias("_start"), F.sum("n").alias("total")
-        )
+    starts = summed.groupBy("column_name").agg(
+        F.min("_before").alias("_start"), F.sum("n").alias("total")
     )
     below = F.col("_before") - F.col("_start")
     return summed.join(starts, "column_name").select(
@@ -133,40 +173,53 @@ def approximate_quantile(
     return df.agg(F.percentile_approx(column, F.lit(q), F.lit(accuracy)).alias("quantile"))
 
 
-def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def rank_correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], group: Sequence[str] = ()
+) -> DataFrame:
     """Spearman's rho of each pair of columns, with average ranks for ties.
 
-    Rows with a NULL in any of the columns are left out. Equal pairs of values are counted before
-    their ranks are looked up, and ranks are centred before they are multiplied, so the sums do not
-    cancel. Result: ``left_column, right_column, rho``.
+    A row counts for a pair when both its values are known, whatever the other columns hold, and
+    ranks are those among the rows of the pair. Equal pairs of values are counted first, in one
+    checkpointed pass; both sides of all pairs are ranked together and looked up by equi joins.
+    Ranks are centred before they are multiplied, so the sums do not cancel. ``group`` columns give
+    one result per group, none for a NULL group. Result: ``group, left_column, right_column, rho``.
     """
-    columns = sorted({c for pair in pairs for c in pair})
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = value_ranks(cells_of(complete, columns)).select(
-        "column_name", "value", "n", (F.col("rank") - (F.col("total") + 1) / 2).alias("centred")
-    )
+    group = list(group)
     cells = F.array(
         *[
             F.struct(
-                F.lit(a).alias("left_column"), F.col(a).alias("left_value"),
-                F.lit(b).alias("right_column"), F.col(b).alias("right_value"),
+                F.lit(i).alias("pair"), F.col(a).cast("double").alias("left_value"),
+                F.col(b).cast("double").alias("right_value"),
             )
-            for a, b in pairs
+            for i, (a, b) in enumerate(pairs)
         ]
     )
-    counted = (
-        complete.select(F.inline(cells))
-        .groupBy("left_column", "left_value", "right_column", "right_value")
+    counted = checkpointed(
+        df.select(*group, F.inline(cells)).dropna(subset=["left_value", "right_value"])
+        .groupBy(*group, "pair", "left_value", "right_value")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+    sides = F.array(*[
+        F.struct(F.struct(*group, "pair", F.lit(side).alias("side")).alias("column_name"),
+                 F.col(f"{side}_value").alias("value"))
+        for side in ("left", "right")
+    ])
+    ranks = checkpointed(value_ranks(counted.select(F.inline(sides), "weight"), "weight").select(
+        "column_name.*", "value", (F.col("rank") - (F.col("total") + 1) / 2).alias("centred")
+    ))
     for side in ("left", "right"):
-        lookup = ranks.select(
-            F.col("column_name").alias(f"{side}_column"), F.col("value").alias(f"{side}_value"),
-            "n", F.col("centred").alias(f"{side}_rank"),
+        lookup = ranks.filter(F.col("side") == side).select(
+            *group, "pair", F.col("value").alias(f"{side}_value"),
+            F.col("centred").alias(f"{side}_rank"),
         )
-        counted = weighted_lookup(counted, lookup, [f"{side}_column", f"{side}_value"], "n")
+        counted = counted.join(lookup, [*group, "pair", f"{side}_value"])
+    names = F.array(*[
+        F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column")) for a, b in pairs
+    ])
     weight, x, y = F.col("weight"), F.col("left_rank"), F.col("right_rank")
-    return counted.groupBy("left_column", "right_column").agg(
+    return counted.withColumn("_names", F.get(names, F.col("pair"))).groupBy(
+        *group, F.col("_names.left_column"), F.col("_names.right_column")
+    ).agg(
         F.try_divide(
             F.sum(weight * x * y), F.sqrt(F.sum(weight * x * x)) * F.sqrt(F.sum(weight * y * y))
         ).alias("rho")

@@ -158,7 +158,7 @@ def backtest_lift(
                 F.sum(F.when(rows, loss)).cast("double"), F.sum(F.when(rows, prem)).cast("double")
             )
             figures.append(ratio.alias(f"{side}_{h}"))
-    return backtest.join(F.broadcast(cuts), "as_of").groupBy("as_of").agg(*figures)  # few dates
+    return backtest.join(cuts, "as_of").groupBy("as_of").agg(*figures)
 
 
 def inference_events(backtest: DataFrame) -> DataFrame:

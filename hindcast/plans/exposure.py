@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast import SESSION_KEYS
-from hindcast.functions.dates import days_since
+from hindcast.functions.dates import days_since, parse_date
 from hindcast.functions.rows import zero_when
-from hindcast.functions.types import as_money
+from hindcast.functions.types import MONEY, as_money
 from hindcast.operators.cleaning import (
     DRIVER_NOISE_IDS,
     VEHICLE_NOISE_IDS,
@@ -25,14 +25,17 @@ DRIVER_TERM_KEYS = ("vin", "dln", "policy_num", "term_eff", "term_days")
 
 
 def union_exposures(sources: Sequence[DataFrame]) -> DataFrame:
-    """Exposures of several systems with common types, matched by column name."""
+    """Exposures of several systems with common types, matched by column name.
+
+    A date or number that cannot be read becomes NULL; the filters that follow decide on the row.
+    """
     both = reduce(lambda a, b: a.unionByName(b), sources)
     return both.withColumns(
         {
-            **{c: F.col(c).cast("date") for c in ("ver_eff", "ver_exp", "term_eff")},
-            "term_days": F.col("term_days").cast("int"),
-            "expos_num": F.col("expos_num").cast("int"),
-            "ft_prem": as_money("ft_prem"),
+            **{c: parse_date(c) for c in ("ver_eff", "ver_exp", "term_eff")},
+            "term_days": F.col("term_days").try_cast("int"),
+            "expos_num": F.col("expos_num").try_cast("int"),
+            "ft_prem": F.col("ft_prem").try_cast(MONEY),
         }
     )
 
@@ -52,37 +55,32 @@ def clean_exposures(
     )
 
 
-def _inconsistent(exposures: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Groups in which a column does not have exactly one known value."""
-    return (
-        exposures.groupBy(*keys)
-        .agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-        .filter("_low is null or _low <> _high")
-        .select(*keys)
-    )
-
-
 def consistent_exposures(exposures: DataFrame) -> DataFrame:
     """Exposures of terms with one length and of driver terms with one exposure number.
 
-    "One value" is smallest = largest, so no distinct count is needed and each check is one column
-    pruned, pre-aggregated pass. The groups that break a rule are few, and they are what is joined:
-    AQE broadcasts them if their measured size allows, and Catalyst moves the anti joins down to
-    the scan, before any wide shuffle. Rows with a NULL key never pass.
+    "One value" is smallest = largest, so no distinct count is needed. Both checks are windows over
+    one dealing of the rows by ``TERM_KEYS``: the driver terms lie inside the terms, so they and the
+    sums that follow per session need no further shuffle, and the input is read once. A window holds
+    one term of one vehicle. Rows with a NULL key never pass.
     """
-    known = exposures.dropna(subset=list(DRIVER_TERM_KEYS))
-    terms = _inconsistent(known, TERM_KEYS, "term_days")
-    drivers = _inconsistent(known, DRIVER_TERM_KEYS, "expos_num")
-    return known.join(terms, list(TERM_KEYS), "left_anti").join(
-        drivers, list(DRIVER_TERM_KEYS), "left_anti"
-    )
+    known = exposures.dropna(subset=list(DRIVER_TERM_KEYS)).repartition(*TERM_KEYS)
+
+    def one_value(column: str, keys: Sequence[str]) -> Column:
+        group = Window.partitionBy(*keys)
+        return F.min(column).over(group) == F.max(column).over(group)
+
+    checked = known.withColumns({
+        "_terms": one_value("term_days", TERM_KEYS),
+        "_drivers": one_value("expos_num", DRIVER_TERM_KEYS),
+    })
+    return checked.filter("_terms and _drivers").drop("_terms", "_drivers")
 
 
 def session_premium(annual: str, term_days: str, ver_days: str) -> Column:
     """Annual premium scaled to the days of the session, rounded to cents; NULL for a 0-day term."""
     scaled = F.try_divide(
-        F.col(annual).cast("decimal(20,2)") * F.col(ver_days).cast("decimal(6,0)"),
-        F.col(term_days).cast("decimal(6,0)"),
+        F.col(annual).cast("decimal(20,2)") * F.col(ver_days).cast("decimal(8,0)"),
+        F.col(term_days).cast("decimal(8,0)"),
     )
     return as_money(F.round(scaled, 2))
 

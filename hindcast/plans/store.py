@@ -25,6 +25,7 @@ from hindcast.operators.timeline import read_timeline
 from hindcast.sources import overwrite_partitions, read_parquet, store_path
 
 CLAIM_STORE = "feature_store_claim"
+EXPOSURE_STORE = "feature_store_exposure"
 KINDS = {"bin": "bins", "acum": "acum"}
 
 
@@ -55,6 +56,22 @@ def load_claim_store(spark: SparkSession, id_column: str, root: str) -> DataFram
     return rows.select(F.col("id").alias(id_column), "cvg", "dt", "bins", "acum")
 
 
+def save_exposure_store(stored: DataFrame, id_column: str, root: str) -> None:
+    """Write the exposure store of one id kind; a rerun replaces that kind and no other."""
+    rows = stored.withColumnRenamed(id_column, "id").withColumn("kk", F.lit(id_column))
+    others = [k for k in TRIPLET if k != id_column]
+    rows = rows.withColumnsRenamed({f"cntdist_{k}": f"cntdist_{i}" for i, k in enumerate(others)})
+    overwrite_partitions(rows, store_path(root, EXPOSURE_STORE), ["kk"])
+
+
+def load_exposure_store(spark: SparkSession, id_column: str, root: str) -> DataFrame:
+    """The exposure store of one id kind; only its own partition is read."""
+    rows = read_parquet(spark, store_path(root, EXPOSURE_STORE)).filter(F.col("kk") == id_column)
+    others = [k for k in TRIPLET if k != id_column]
+    named = {"id": id_column, **{f"cntdist_{i}": f"cntdist_{k}" for i, k in enumerate(others)}}
+    return rows.drop("kk").withColumnsRenamed(named)
+
+
 def loss_feature(id_column: str, kind: str, coverage: str, months: int) -> str:
     return f"{id_column}_loss_sum_retro_{kind}_{coverage}_{months}"
 
@@ -81,7 +98,7 @@ def nested_claim_store(stored: DataFrame, id_column: str, coverage: str) -> Data
                 F.concat(
                     F.lit(f"{id_column}_loss_sum_retro_{kind}_{coverage}_"), m.cast("string")
                 ).alias("key"),
-                x.cast("int").alias("value"),
+                x.cast("bigint").alias("value"),
             ),
         )
         return F.filter(named, lambda e: e["value"] > 0)
@@ -106,7 +123,7 @@ def nested_exposure_store(stored: DataFrame, id_column: str) -> DataFrame:
         *[
             F.struct(
                 F.concat_ws("_", F.lit(f"{id_column}_{name}"), window).alias("key"),
-                F.col(c).cast("int").alias("value"),
+                F.col(c).cast("bigint").alias("value"),
             )
             for c, name in names.items()
         ]
@@ -162,7 +179,7 @@ def point_in_time_features(
     for kk, stored in stores.items():
         joined = joined.join(_lookup(events, stored, kk, coverages), [kk, "ver_eff"], "left")
     values = [
-        f"cast(coalesce(get(_{kk}_{c}.{field}, {m}), 0) as int) as "
+        f"cast(coalesce(get(_{kk}_{c}.{field}, {m}), 0) as bigint) as "
         f"`{loss_feature(kk, kind, c, m)}`"
         for kk in stores
         for c in coverages

@@ -29,7 +29,9 @@ def read_delimited(
     spark: SparkSession, path: str | list[str], schema: StructType, sep: str = ",",
     header: bool = False,
 ) -> DataFrame:
-    return spark.read.schema(schema).csv(path, sep=sep, header=header)
+    """Delimited text under a fixed schema. Names in a header line must be those of the schema, in
+    its order; Spark raises an error otherwise, instead of taking columns by place."""
+    return spark.read.schema(schema).csv(path, sep=sep, header=header, enforceSchema=not header)
 
 
 def read_csv_parts(spark: SparkSession, glob: str, schema: StructType) -> DataFrame:

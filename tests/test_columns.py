@@ -180,6 +180,29 @@ def test_session_premium_of_a_zero_day_term_is_null(spark):
     assert [r["x"] for r in got] == [None, Decimal("30.00")]
 
 
+def test_open_ended_dates_are_prorated(spark):
+    columns = "p decimal(18,2), t int, v int, eff date, exp date"
+    df = spark.createDataFrame(
+        [(Decimal("365.00"), 365, 2_916_095, day("2016-01-01"), day("9999-12-31"))], columns)
+    on, off = F.lit("2016-01-01").cast("date"), F.lit("2016-12-31").cast("date")
+    row = df.select(exposure.session_premium("p", "t", "v").alias("x"),
+                    dates.prorate("p", "v", "eff", "exp", on, off).alias("y")).first()
+    assert row["x"] == Decimal("2916095.00") and row["y"] == Decimal("0.045686")
+
+
+def test_unreadable_exposure_values_become_null(spark):
+    names = ["policy_num", "vin", "dln", "term_eff", "term_days", "ver_eff", "ver_exp", "expos_num",
+             "ft_prem"]
+    good = ("p", "v", "d", "2020-01-01", "365", "2020-01-01", "2020-06-01", "1", "10.50")
+    bad = ("p", "v", "d", "2020-13-01", "x", "", "2020-06-01", None, "ten")
+    df = spark.createDataFrame([good, bad], ", ".join(f"{n} string" for n in names))
+    got = {r["term_days"]: r for r in exposure.union_exposures([df]).collect()}
+    assert got[365]["ft_prem"] == Decimal("10.50") and got[365]["term_eff"] == day("2020-01-01")
+    assert [got[None][n] for n in names[3:6] + names[7:]] == [None] * 5
+    clean = exposure.clean_exposures([df], "2019-01-01", "2021-01-01")
+    assert clean.count() == 1
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("a", 1), ("a", None)], "k string, v int")
     report = checks.all_checks(

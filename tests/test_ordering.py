@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import ordering, skew
+from hindcast.operators import ordering
+from hindcast.operators.frequency import frequency_encode
 from hindcast.plans import evaluate, splits
 from tests.helpers import rows
 
@@ -41,7 +42,7 @@ def test_ranks_and_correlations_equal_pandas(scored):
         want = pd.DataFrame({"value": pdf[c], "rank": pdf[c].rank()}).dropna().drop_duplicates()
         got = ranks[ranks.column_name == c].set_index("value")["rank"]
         assert got.sort_index().tolist() == want.set_index("value")["rank"].sort_index().tolist()
-    both = pdf.dropna()
+    both = pdf.dropna()  # pairs drop their own missing values only, see the next test
     rho = ordering.rank_correlations(df, [("x", "y"), ("y", "y")]).collect()
     got = {(r["left_column"], r["right_column"]): r["rho"] for r in rho}
     want = both["x"].rank().corr(both["y"].rank())
@@ -49,6 +50,65 @@ def test_ranks_and_correlations_equal_pandas(scored):
     assert got[("y", "y")] == pytest.approx(1.0)
 
 
+def test_a_missing_value_counts_for_its_own_pairs_only(spark):
+    data = [(1.0, 5.0, None), (2.0, 4.0, 1.0), (3.0, 1.0, None), (4.0, 2.0, 3.0), (5.0, 3.0, 2.0)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    pdf = pd.DataFrame(data, columns=["a", "b", "c"])
+    rho = {(r[0], r[1]): r["rho"] for r in ordering.rank_correlations(
+        df, [("a", "b"), ("a", "c")]).collect()}
+    for pair in rho:
+        known = pdf[list(pair)].dropna()
+        assert rho[pair] == pytest.approx(known[pair[0]].rank().corr(known[pair[1]].rank()))
+
+
+def test_correlations_by_group(spark):
+    data = [(g, float(i), float((i * 7 + 3 * g) % 11)) for g in (1, 2) for i in range(11)]
+    df = spark.createDataFrame(data, "g long, x double, y double")
+    pdf = pd.DataFrame(data, columns=["g", "x", "y"])
+    got = {r["g"]: r["rho"] for r in ordering.rank_correlations(df, [("x", "y")], ["g"]).collect()}
+    for g in (1, 2):
+        own = pdf[pdf.g == g]
+        assert got[g] == pytest.approx(own["x"].rank().corr(own["y"].rank()))
+
+
+def test_counts_come_from_training_rows(spark):
+    train = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    got = frequency_encode(df.withColumn("id", F.col("k")), ["k"], train)
+    assert {r["id"]: r["k_freq"] for r in got.collect()} == {"a": 2, "b": 0, None: 1}
+
+
+def test_encoding_many_columns_reads_linearly(spark):
+    names = [f"c{i}" for i in range(26)]
+    df = spark.range(50).select(*[(F.col("id") % (i + 2)).cast("string").alias(c)
+                                  for i, c in enumerate(names)])
+    plan = frequency_encode(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("Range (") <= 2 * 26 + 2
+
+
+def test_only_order_columns_are_sorted(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("s"), F.lit("wide" * 50).alias("w"))
+    marked = ordering.top_fraction(df, "s", 0.3, ["id"])
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    rows_plan = plan[:plan.index("Subquery")]  # finding the border row is a subquery
+    assert "Exchange" not in rows_plan and "Sort" not in rows_plan
+    assert marked.filter("in_top").count() == 30
+
+
+def test_top_fraction_of_groups_with_missing_scores(spark):
+    data = [(g, None if i % 5 == 0 else float(i % 6), i) for g in ("a", "b", None) for i in range(37)]
+    df = spark.createDataFrame(data, "g string, s double, i long")
+    for fraction in (0.0, 0.2, 0.9, 1.0):
+        got = {(r["g"], r["i"]) for r in ordering.top_fraction(
+            df, "s", fraction, ["i"], group=["g"]).filter("in_top").collect()}
+        want = set()
+        for g in ("a", "b", None):
+            own = sorted((x for x in data if x[0] == g),
+                         key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))
+            want |= {(g, x[2]) for x in own[:int(37 * fraction)]}
+        assert got == want
+
+
 def test_top_fraction_cuts_inside_ties(scored):
     data, df = scored
     marked = ordering.top_fraction(df, "x", 0.5, ["id"])
@@ -69,7 +129,7 @@ def test_lift_sides_leave_null_scores_out(spark):
 def test_lookup_of_hot_and_null_keys_keeps_every_row(spark):
     data = [("hot",)] * 5000 + [(None,)] * 50 + [(f"k{i % 1500}",) for i in range(4000)]
     df = spark.createDataFrame(data, "k string").repartition(4)
-    got = skew.frequency_encode(df, "k", "n").groupBy("n").count().collect()
+    got = frequency_encode(df, ["k"]).withColumnRenamed("k_freq", "n").groupBy("n").count().collect()
     counts = pd.Series([x[0] for x in data]).fillna("null").value_counts()
     want = counts.map(counts.value_counts() * counts.value_counts().index).groupby(counts).first()
     assert {r["n"]: r["count"] for r in got} == want.to_dict()

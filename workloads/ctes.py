@@ -184,7 +184,6 @@ FROM inforce i JOIN bt_prem p USING (policy_num, vin, dln)
 {" ".join(f"LEFT JOIN bt_loss l{h} ON l{h}.h = {h} AND l{h}.as_of = p.as_of AND l{h}.policy_num = i.policy_num AND l{h}.vin = i.vin AND l{h}.dln = i.dln" for h in (1, 3, 6))}
 WHERE i.mpa_score IS NOT NULL"""
 
-CTES["backtest_first"] = "SELECT * FROM backtest WHERE as_of = DATE '2000-01-01'"
 
 CTES["month_ends"] = """
 SELECT CAST(last_day(CAST(d AS DATE)) AS DATE) AS dt

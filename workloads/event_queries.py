@@ -215,8 +215,10 @@ UNION ALL SELECT 'regions unique', count(DISTINCT policy_num), count(*),
   count(DISTINCT policy_num) = count(*) FROM regions
 UNION ALL SELECT 'drivers seen before', (SELECT count(*) FROM as_of_driver), (SELECT count(*) FROM events_labelled),
   (SELECT count(*) FROM as_of_driver) <= (SELECT count(*) FROM events_labelled)
-UNION ALL SELECT 'fan-in keeps rows', (SELECT count(*) FROM events_labelled),
-  (SELECT count(*) FROM events_labelled), true
+UNION ALL SELECT 'fan-in keeps rows', (SELECT count(*) FROM events_labelled LEFT JOIN as_of_driver
+    USING (policy_num, vin, dln, ver_eff)), (SELECT count(*) FROM events_labelled),
+  (SELECT count(*) FROM events_labelled LEFT JOIN as_of_driver USING (policy_num, vin, dln, ver_eff))
+    = (SELECT count(*) FROM events_labelled)
 UNION ALL SELECT 'no null premium', count(*) FILTER (prem IS NULL), 0, count(*) FILTER (prem IS NULL) = 0
   FROM sessions""", as_of_driver=_AS_OF_DRIVER))
 def quality_checks(spark, folder):
@@ -226,7 +228,7 @@ def quality_checks(spark, folder):
     known = timeline.asof_join(
         keys, t.driver_history(spark, folder), ["dln"], "ver_eff", "processed_date", t.DRIVER_TIES
     )
-    left = events.attach_histories(keys, inputs.histories(spark, folder)[:1])
+    left = events.attach_histories(keys, inputs.histories(spark, folder))
     return checks.all_checks(
         checks.unique_key(sessions, ["vin", "policy_num", "ver_eff"], "sessions unique"),
         checks.unique_key(labelled, keys.columns, "events unique"),

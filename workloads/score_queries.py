@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import labels, text
 from hindcast.functions.types import bool_to_int
-from hindcast.operators import ordering, skew
+from hindcast.operators import ordering
+from hindcast.operators.frequency import frequency_encode as encode_frequencies
 from hindcast.operators.cleaning import between_dates
 from hindcast.operators.reliable import checkpointed
 from hindcast.plans import backtest, cession, evaluate, events, splits
@@ -15,7 +16,7 @@ from workloads import tables as t
 from workloads.ctes import sql
 from workloads.registry import query
 
-FIRST = t.AS_OF[:1]
+GROUP = ("as_of", "horizon")
 
 
 @query("premium_prorated", sql("""
@@ -87,57 +88,75 @@ def inforce_inference(spark, folder):
     )
 
 
-def _scored(spark, folder, horizon=3):
-    rows = inputs.backtested(spark, folder, FIRST)
-    return rows.withColumns(
-        {"loss": backtest.horizon_loss(horizon), "prem": F.col(f"prem_{horizon}")}
-    )
+def _scored(spark, folder):
+    """All as-of dates and horizons in long form; checkpointed, as the cut reads it first."""
+    rows = inputs.backtested(spark, folder)
+    figures = F.array(*[
+        F.struct(F.lit(h).cast("bigint").alias("horizon"), backtest.horizon_loss(h).alias("loss"),
+                 F.col(f"prem_{h}").alias("prem")) for h in backtest.HORIZONS
+    ])
+    return checkpointed(
+        rows.select("policy_num", "vin", "dln", "as_of", "mpa_score", F.inline(figures)))
 
 
-_TOP5 = """SELECT quantile_cont(mpa_score, 0.95) AS cut FROM backtest_first"""
+_LONG = """
+SELECT policy_num, vin, dln, CAST(as_of AS VARCHAR) AS as_of, mpa_score, CAST(h AS BIGINT) AS horizon,
+  CASE h WHEN 1 THEN loss_1 WHEN 3 THEN loss_3 ELSE loss_6 END AS loss,
+  CASE h WHEN 1 THEN p1 WHEN 3 THEN p3 ELSE p6 END AS p
+FROM backtest, (SELECT unnest([1, 3, 6]) AS h)"""
+_TOP5 = """SELECT as_of, horizon, quantile_cont(mpa_score, 0.95) AS cut FROM scored GROUP BY ALL"""
 
 
-@query("lift_top5", sql("""
-SELECT CAST(sum(loss_3) FILTER (mpa_score >= cut) AS BIGINT) / 100.0 AS top_loss,
-  CAST(sum(p3) FILTER (mpa_score >= cut) AS BIGINT) / 1000000.0 AS top_prem, top_loss / top_prem AS top_ratio,
-  CAST(sum(loss_3) FILTER (mpa_score < cut) AS BIGINT) / 100.0 AS bottom_loss,
-  CAST(sum(p3) FILTER (mpa_score < cut) AS BIGINT) / 1000000.0 AS bottom_prem,
+def _lift_sql(source: str) -> str:
+    return f"""
+SELECT as_of, horizon, CAST(sum(loss) FILTER (mpa_score >= cut) AS BIGINT) / 100.0 AS top_loss,
+  CAST(sum(p) FILTER (mpa_score >= cut) AS BIGINT) / 1000000.0 AS top_prem, top_loss / top_prem AS top_ratio,
+  CAST(sum(loss) FILTER (mpa_score < cut) AS BIGINT) / 100.0 AS bottom_loss,
+  CAST(sum(p) FILTER (mpa_score < cut) AS BIGINT) / 1000000.0 AS bottom_prem,
   bottom_loss / bottom_prem AS bottom_ratio
-FROM backtest_first, top5""", top5=_TOP5))
+FROM scored JOIN {source} USING (as_of, horizon) GROUP BY as_of, horizon"""
+
+
+@query("lift_top5", sql(_lift_sql("top5"), scored=_LONG, top5=_TOP5))
 def lift_top5(spark, folder):
-    return evaluate.lift_top_share(_scored(spark, folder), "mpa_score", "loss", "prem")
+    return evaluate.lift_top_share(_scored(spark, folder), "mpa_score", "loss", "prem", group=GROUP)
 
 
-@query("lift_top5_approximate")
+@query("lift_top5_approximate", sql(_lift_sql("cuts"), scored=_LONG, cuts="""
+SELECT as_of, horizon, quantile_disc(mpa_score, 0.95) AS cut FROM scored GROUP BY ALL"""))
 def lift_top5_approximate(spark, folder):
+    """The approximate cut is exact while a group has fewer rows than the accuracy, 10,000."""
     return evaluate.lift_top_share(
-        _scored(spark, folder), "mpa_score", "loss", "prem", exact=False
+        _scored(spark, folder), "mpa_score", "loss", "prem", exact=False, group=GROUP
     )
 
 
 @query("lift_top1_count", sql("""
-SELECT rn <= n * 0.01 // 1 AS in_top, count(*) AS rows,
-  round(avg(CAST(loss_3 AS DOUBLE) / 100.0 / nullif(p3 / 1000000.0, 0)), 6) AS mean_row_ratio,
-  (CAST(sum(loss_3) AS BIGINT) / 100.0) / (CAST(sum(p3) AS BIGINT) / 1000000.0) AS ratio_of_sums,
-  (CAST(sum(loss_3) AS BIGINT) / 100.0) / count(loss_3) AS mean_loss
-FROM ranked GROUP BY 1""", ranked="""
-SELECT *, row_number() OVER (ORDER BY mpa_score DESC NULLS LAST, policy_num, vin, dln) AS rn,
-  count(*) OVER () AS n FROM backtest_first"""))
+SELECT as_of, horizon, rn <= n * 0.01 // 1 AS in_top, count(*) AS rows,
+  round(avg(CAST(loss AS DOUBLE) / 100.0 / nullif(p / 1000000.0, 0)), 6) AS mean_row_ratio,
+  (CAST(sum(loss) AS BIGINT) / 100.0) / (CAST(sum(p) AS BIGINT) / 1000000.0) AS ratio_of_sums,
+  (CAST(sum(loss) AS BIGINT) / 100.0) / count(loss) AS mean_loss
+FROM ranked GROUP BY 1, 2, 3""", scored=_LONG, ranked="""
+SELECT *, row_number() OVER (PARTITION BY as_of, horizon ORDER BY mpa_score DESC NULLS LAST, policy_num, vin, dln)
+  AS rn, count(*) OVER (PARTITION BY as_of, horizon) AS n FROM scored"""))
 def lift_top1_count(spark, folder):
     out = evaluate.lift_top_rows(
-        _scored(spark, folder), "mpa_score", "loss", "prem", ("policy_num", "vin", "dln")
+        _scored(spark, folder), "mpa_score", "loss", "prem", ("policy_num", "vin", "dln"),
+        group=GROUP,
     )
     return out.withColumn("mean_row_ratio", F.round("mean_row_ratio", 6))
 
 
 @query("cut_distinct_counts", sql("""
-SELECT 'top' AS side, count(DISTINCT (vin, policy_num)) AS keys FROM backtest_first, top5 WHERE mpa_score >= cut
+SELECT as_of, horizon, 'top' AS side, count(DISTINCT (vin, policy_num)) AS keys
+FROM scored JOIN top5 USING (as_of, horizon) WHERE mpa_score >= cut GROUP BY ALL
 UNION ALL
-SELECT 'bottom', count(DISTINCT (vin, policy_num)) FROM backtest_first, top5 WHERE mpa_score < cut""", top5=_TOP5))
+SELECT as_of, horizon, 'bottom', count(DISTINCT (vin, policy_num))
+FROM scored JOIN top5 USING (as_of, horizon) WHERE mpa_score < cut GROUP BY ALL""", scored=_LONG, top5=_TOP5))
 def cut_distinct_counts(spark, folder):
-    rows = _scored(spark, folder)
-    cut = ordering.exact_quantile(rows, "mpa_score", 0.95).scalar()
-    return evaluate.distinct_keys_at_cut(rows, "mpa_score", cut, ["vin", "policy_num"])
+    rows = evaluate.with_cut(_scored(spark, folder), "mpa_score", group=GROUP)
+    return evaluate.distinct_keys_at_cut(
+        rows, "mpa_score", F.col("_cut"), ["vin", "policy_num"], GROUP)
 
 
 @query("quantile_exact", sql("""
@@ -147,12 +166,15 @@ def quantile_exact(spark, folder):
     return found.select(F.round("quantile", 6).alias("quantile"))
 
 
-@query("quantile_approx")
+@query("quantile_approx", sql("""
+SELECT quantile_disc(prem, 0.95) / 100.0 AS quantile FROM sessions"""))
 def quantile_approx(spark, folder):
-    return ordering.approximate_quantile(inputs.sessions(spark, folder), "session_prem", 0.95)
+    """With an accuracy above the number of sessions the answer is the exact discrete quantile."""
+    return ordering.approximate_quantile(
+        inputs.sessions(spark, folder), "session_prem", 0.95, accuracy=10_000_000)
 
 
-_COMPARED = """SELECT *, CAST(policy_num[2:] AS DOUBLE) % 101 AS preds FROM backtest_first"""
+_COMPARED = """SELECT *, CAST(policy_num[2:] AS DOUBLE) % 101 AS preds FROM backtest"""
 
 
 def _compare_sql() -> str:
@@ -163,24 +185,27 @@ def _compare_sql() -> str:
             margin = f"({loss} - CAST(p{h} AS DOUBLE) / 1000000.0)"
 
             def ranks(value):
-                return (f"rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0")
+                return (f"rank() OVER (PARTITION BY as_of ORDER BY {value}) "
+                        f"+ (count(*) OVER (PARTITION BY as_of, {value}) - 1) / 2.0")
 
             parts.append(f"""
-SELECT CAST({h} AS BIGINT) AS horizon, '{s}' AS score_name,
+SELECT CAST(as_of AS VARCHAR) AS as_of, CAST({h} AS BIGINT) AS horizon, '{s}' AS score_name,
   (CAST(sum(loss_{h}) FILTER ({s} >= cut) AS BIGINT) / 100.0) / (CAST(sum(p{h}) FILTER ({s} >= cut) AS BIGINT) / 1000000.0) AS top_ratio,
   (CAST(sum(loss_{h}) FILTER ({s} < cut) AS BIGINT) / 100.0) / (CAST(sum(p{h}) FILTER ({s} < cut) AS BIGINT) / 1000000.0) AS bottom_ratio,
   round(corr(rs, rl), 6) AS rho_loss, round(corr(rs, rm), 6) AS rho_margin
-FROM (SELECT *, {ranks(s)} AS rs, {ranks(loss)} AS rl, {ranks(margin)} AS rm FROM compared),
-  (SELECT quantile_cont({s}, 0.95) AS cut FROM compared)""")
+FROM (SELECT *, {ranks(s)} AS rs, {ranks(loss)} AS rl, {ranks(margin)} AS rm FROM compared)
+JOIN (SELECT as_of, quantile_cont({s}, 0.95) AS cut FROM compared GROUP BY as_of) USING (as_of)
+GROUP BY as_of""")
     return "\nUNION ALL".join(parts)
 
 
 @query("spearman_scores", sql(_compare_sql(), compared=_COMPARED))
 def spearman_scores(spark, folder):
-    rows = inputs.backtested(spark, folder, FIRST)
+    rows = inputs.backtested(spark, folder)
     rows = rows.withColumns({f"loss_{h}": backtest.horizon_loss(h) for h in backtest.HORIZONS})
     rows = rows.withColumn("preds", F.expr("cast(substr(policy_num, 2) as double) % 101"))
-    out = evaluate.compare_scores(checkpointed(rows), ["preds", "mpa_score"], backtest.HORIZONS)
+    out = evaluate.compare_scores(
+        checkpointed(rows), ["preds", "mpa_score"], backtest.HORIZONS, group=("as_of",))
     return out.withColumns({c: F.round(c, 6) for c in ("rho_loss", "rho_margin")})
 
 
@@ -213,7 +238,7 @@ def _strict(c: str) -> str:
 
 
 @query("cession_savings", sql(f"""
-SELECT * REPLACE (CAST(term_eff_dt AS VARCHAR) AS term_eff_dt), CASE WHEN exp_savings > 100 THEN 'Y' ELSE 'N' END AS cede_decision FROM (
+SELECT * REPLACE (CAST(term_eff_dt AS VARCHAR) AS term_eff_dt), CASE WHEN exp_savings > 100 THEN 'Y' WHEN exp_savings <= 100 THEN 'N' END AS cede_decision FROM (
 SELECT policy_number, veh_vin, term_eff_dt, {_strict("xgb_freqxsev_comp")} / 100.0 AS xgb_freqxsev_comp_sum,
   {_strict("xgb_freqxsev_ab")} / 100.0 AS xgb_freqxsev_ab_sum, {_strict("ab_prem")} / 100.0 AS ab_prem_sum,
   {_strict("liab_prem")} / 100.0 AS liab_prem_sum, {_strict("coll_prem")} / 100.0 AS coll_prem_sum,
@@ -235,7 +260,7 @@ SELECT event_id, c.C1_freq FROM clicks e JOIN (SELECT C1, count(*) AS C1_freq FR
     clicks="SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS C1 FROM events"))
 def frequency_encode(spark, folder):
     rows = t.click_log(spark, folder).select("event_id", "C1")
-    return skew.frequency_encode(rows, "C1")
+    return encode_frequencies(rows, ["C1"])
 
 
 @query("loss_labels", sql("""
@@ -331,7 +356,7 @@ UNION ALL SELECT 'test', count(*), CAST(sum(prem) AS BIGINT) / 100.0 FROM sessio
   WHERE term_eff BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
 UNION ALL SELECT 'before', count(*), CAST(sum(prem) AS BIGINT) / 100.0 FROM sessions WHERE ver_eff >= DATE '1996-01-01' AND ver_eff < DATE '1999-12-31'"""))
 def split_dates(spark, folder):
-    rows = inputs.sessions(spark, folder)
+    rows = checkpointed(inputs.sessions(spark, folder))  # three parts of it are read
     train, test = splits.split_by_term(rows, t.TRAIN_UNTIL, t.TEST_FROM, t.TEST_UNTIL)
     before = between_dates(rows, "ver_eff", "1996-01-01", "1999-12-31", end_inclusive=False)
 

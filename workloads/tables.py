@@ -45,16 +45,15 @@ def exposure_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
 
 
 def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Claim versions with their parties; returned lines stand for car claims."""
+    """Claim versions with their parties; returned lines stand for car claims, others for homes."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    returned = lines.filter("l_returnflag = 'R'")
-    joined = returned.join(orders, returned["l_orderkey"] == orders["o_orderkey"])
+    joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return joined.selectExpr(
         "concat('P', o_custkey) as policy_num",
         "concat('V', o_custkey % 500) as vin",
         "case when l_orderkey % 23 = 0 then 'D999' else concat('D', o_custkey % 300) end as dln",
         "concat('C', o_custkey) as int_claim_num",
-        "'AUTO' as line_of_business",
+        "case when l_returnflag = 'R' then 'AUTO' else 'HOME' end as line_of_business",
         "cast(l_partkey % 6 as int) as line_type",
         "concat('line ', l_partkey % 6) as line_type_desc",
         "concat('T', l_partkey % 6) as cvg_type_cd",
