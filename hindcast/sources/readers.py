@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
-
+from pyspark.sql.types import StructType
 
 
 def read_table(
@@ -42,9 +41,11 @@ def read_csv_parts(spark: SparkSession, glob: str, schema: StructType) -> DataFr
 def read_strings(
     spark: SparkSession, path: str, columns: Sequence[str], numbers: Sequence[str] = ()
 ) -> DataFrame:
-    """Header CSV read as text; ``numbers`` become doubles, NULL where the text is no number."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    df = read_delimited(spark, path, schema, header=True)
+    """Header CSV read as text; ``numbers`` become doubles, NULL where the text is no number.
+
+    Columns are picked by their names in the header, in whatever order the file has them.
+    """
+    df = spark.read.csv(path, header=True).select(*columns)  # text only, nothing is inferred
     return df.withColumns({c: df[c].try_cast("double") for c in numbers})
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from hindcast.functions import maps
-from hindcast.operators.reliable import checkpointed
+from hindcast.operators.reliable import checkpointed, scratch_folder
 from hindcast.operators.retro import EXPOSURE_WINDOWS, retro_losses_long
 from hindcast.plans import history, store
 from workloads import inputs
@@ -44,8 +46,8 @@ def retro_loss_bins(spark, folder):
 
 
 @query("retro_loss_accum", sql("""
-SELECT policy_num, CAST(dt AS VARCHAR) AS dt, cvg, acum AS loss FROM retro_policy_num
-WHERE m = 24 AND acum > 0""",
+SELECT policy_num, cvg, CAST(m AS BIGINT) AS months_back, count(*) AS snapshots, CAST(sum(acum) AS BIGINT) AS loss
+FROM retro_policy_num WHERE acum > 0 GROUP BY policy_num, cvg, m""",
     daily_policy_num="""SELECT policy_num, cvg, loss_dt, sum(loss) AS loss FROM (
       SELECT DISTINCT policy_num, cvg, int_claim_num, loss_dt, loss FROM claims_long
       WHERE cvg <> 'UIN') GROUP BY ALL""",
@@ -53,80 +55,136 @@ WHERE m = 24 AND acum > 0""",
       FROM daily_policy_num JOIN retro_windows ON loss_dt >= lo AND loss_dt < dt GROUP BY ALL"""))
 def retro_loss_accum(spark, folder):
     long = retro_losses_long(_claim_store(spark, folder, "policy_num"), "policy_num", "acum")
-    return long.filter("months_back = 24").drop("months_back")
+    return long.groupBy("policy_num", "cvg", "months_back").agg(
+        F.count(F.lit(1)).alias("snapshots"), F.sum("loss").alias("loss")
+    )
 
 
 _VAR = "CASE WHEN count({0}) > 1 THEN (count({0})::HUGEINT * sum({0}::HUGEINT * {0}) - sum({0}::HUGEINT) * sum({0}::HUGEINT)) // (count({0})::HUGEINT * (count({0}) - 1) * {1}) ELSE 0 END"
 
 
-@query("retro_exposure_windows", sql(f"""
-SELECT s.dln, CAST(w.dt AS VARCHAR) AS dt, near_months, far_months,
+EXPOSURE_CTES = {"exposure_windows": f"""
+SELECT dt, CAST(x[1] AS BIGINT) AS near_months, CAST(x[2] AS BIGINT) AS far_months,
+  CAST(dt - to_months(x[2]) AS DATE) AS lo, CAST(dt - to_months(x[1]) AS DATE) AS hi
+FROM month_ends, (SELECT unnest({[list(w) for w in EXPOSURE_WINDOWS]}) AS x)"""}
+for _kk, _a, _b in (("dln", "vin", "policy_num"), ("vin", "dln", "policy_num")):
+    EXPOSURE_CTES[f"exposure_store_{_kk}"] = f"""
+SELECT s.{_kk}, CAST(w.dt AS VARCHAR) AS dt, near_months, far_months,
   CAST(sum(prem) // 100 AS BIGINT) AS prem_sum,
   CAST({_VAR.format("prem", 10000)} AS BIGINT) AS prem_var,
   CAST(sum(prem) // (100 * count(prem)) AS BIGINT) AS prem_mean,
   CAST(sum(ver_days) // count(ver_days) AS BIGINT) AS days_mean,
   CAST({_VAR.format("ver_days", 1)} AS BIGINT) AS days_var,
-  count(DISTINCT vin) AS cntdist_vin, count(DISTINCT policy_num) AS cntdist_policy_num,
+  count(DISTINCT {_a}) AS cntdist_{_a}, count(DISTINCT {_b}) AS cntdist_{_b},
   count(DISTINCT term_eff) AS cntdist_term_eff, count(DISTINCT ver_eff) AS cntdist_ver_eff
 FROM sessions s JOIN exposure_windows w ON w.lo <= s.ver_eff AND w.hi > s.ver_exp
-GROUP BY s.dln, w.dt, near_months, far_months""", exposure_windows=f"""
-SELECT dt, CAST(x[1] AS BIGINT) AS near_months, CAST(x[2] AS BIGINT) AS far_months,
-  CAST(dt - to_months(x[2]) AS DATE) AS lo, CAST(dt - to_months(x[1]) AS DATE) AS hi
-FROM month_ends, (SELECT unnest({[list(w) for w in EXPOSURE_WINDOWS]}) AS x)"""))
+GROUP BY s.{_kk}, w.dt, near_months, far_months"""
+
+
+@query("retro_exposure_windows", sql("SELECT * FROM exposure_store_dln", **EXPOSURE_CTES))
 def retro_exposure_windows(spark, folder):
     return store.exposure_store(inputs.sessions(spark, folder), "dln", t.CALENDAR)
 
 
-@query("feature_store_nested", sql("""
-SELECT vin, count(*) AS snapshots, CAST(sum(len(list_filter(bins, lambda x: x > 0))
-    + len(list_filter(acum, lambda x: x > 0))) AS BIGINT) AS features,
-  CAST(sum(list_sum(bins)) + sum(list_sum(acum)) AS BIGINT) AS total
-FROM store_vin WHERE cvg = 'DC' GROUP BY vin"""))
-def feature_store_nested(spark, folder):
-    nested = store.nested_claim_store(_claim_store(spark, folder, "vin"), "vin", "DC")
+def _digest(nested, *keys):
+    """Snapshots, features and their total of each row's nested map."""
     inner = F.flatten(F.transform(F.map_values("properties"), F.map_values))
     return nested.select(
-        "vin", F.size("properties").alias("snapshots"), F.size(inner).alias("features"),
+        *keys, F.size("properties").alias("snapshots"), F.size(inner).alias("features"),
         F.aggregate(inner, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
     )
 
 
-@query("feature_store_exposure_nested")
+@query("feature_store_nested", sql("""
+SELECT vin, cvg, count(*) AS snapshots, CAST(sum(len(list_filter(bins, lambda x: x > 0))
+    + len(list_filter(acum, lambda x: x > 0))) AS BIGINT) AS features,
+  CAST(sum(list_sum(bins)) + sum(list_sum(acum)) AS BIGINT) AS total
+FROM store_vin GROUP BY vin, cvg"""))
+def feature_store_nested(spark, folder):
+    stored = checkpointed(_claim_store(spark, folder, "vin"))
+    nested = [store.nested_claim_store(stored, "vin", c).withColumn("cvg", F.lit(c))
+              for c in COVERAGES]
+    return _digest(reduce(lambda a, b: a.unionByName(b), nested), "vin", "cvg")
+
+
+def _exposure_digest(kk: str) -> str:
+    others = [k for k in ("vin", "dln", "policy_num") if k != kk]
+    figures = ["prem_sum", "prem_var", "prem_mean", "days_mean", "days_var", "cntdist_term_eff",
+               "cntdist_ver_eff", *[f"cntdist_{k}" for k in others]]
+    return (f"SELECT {kk}, count(DISTINCT dt) AS snapshots, count(*) * {len(figures)} AS features, "
+            f"CAST(sum({' + '.join(f'{f}::HUGEINT' for f in figures)}) AS BIGINT) AS total "
+            f"FROM exposure_store_{kk} GROUP BY {kk}")
+
+
+@query("feature_store_exposure_nested", sql(_exposure_digest("dln"), **EXPOSURE_CTES))
 def feature_store_exposure_nested(spark, folder):
     stored = store.exposure_store(inputs.sessions(spark, folder), "dln", t.CALENDAR)
-    return store.nested_exposure_store(stored, "dln")
+    return _digest(store.nested_exposure_store(stored, "dln"), "dln")
+
+
+@query("feature_store_exposure_saved", sql(_exposure_digest("vin"), **EXPOSURE_CTES))
+def feature_store_exposure_saved(spark, folder):
+    """Both id kinds saved, one of them loaded: only its partition is read."""
+    sessions = checkpointed(inputs.sessions(spark, folder))
+    root = scratch_folder(sessions)
+    for kk in ("vin", "dln"):
+        store.save_exposure_store(store.exposure_store(sessions, kk, t.CALENDAR), kk, root)
+    return _digest(
+        store.nested_exposure_store(store.load_exposure_store(spark, "vin", root), "vin"), "vin")
+
+
+@query("feature_store_claim_saved", sql("""
+SELECT vin, cvg, CAST(dt AS VARCHAR) AS dt, CAST(list_sum(bins) AS BIGINT) AS bin_total,
+  CAST(list_sum(acum) AS BIGINT) AS acum_total FROM store_vin"""))
+def feature_store_claim_saved(spark, folder):
+    stored = checkpointed(_claim_store(spark, folder, "vin"))
+    root = scratch_folder(stored)
+    store.save_claim_store(stored, "vin", root)
+    store.save_claim_store(stored.filter("cvg = 'DC'"), "vin", root)  # a rerun of one coverage
+
+    def total(column: str):
+        return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    return store.load_claim_store(spark, "vin", root).select(
+        "vin", "cvg", F.col("dt").cast("date").alias("dt"), total("bins").alias("bin_total"),
+        total("acum").alias("acum_total"))
 
 
 def _events(spark, folder):
     return inputs.labelled(spark, folder).select("policy_num", "vin", "dln", "ver_eff")
 
 
-@query("store_lookup_nested", sql("""
-SELECT e.policy_num, e.vin, e.dln, CAST(ver_eff AS VARCHAR) AS ver_eff,
-  coalesce(d.bins[1], 0) AS dc_bin_0, coalesce(d.acum[13], 0) AS dc_acum_12,
-  coalesce(a.acum[25], 0) AS ab_acum_24
-FROM (SELECT policy_num, vin, dln, ver_eff FROM events_labelled) e
-ASOF LEFT JOIN (SELECT * FROM store_vin WHERE cvg = 'DC') d ON d.vin = e.vin AND d.dt <= e.ver_eff
-ASOF LEFT JOIN (SELECT * FROM store_vin WHERE cvg = 'AB') a ON a.vin = e.vin AND a.dt <= e.ver_eff
-"""))
+_ENDS = [(kind, c, m) for c in COVERAGES for kind, m in (("bin", 0), ("acum", 24))]
+
+
+@query("store_lookup_nested", sql(
+    "SELECT e.policy_num, e.vin, e.dln, CAST(ver_eff AS VARCHAR) AS ver_eff, "
+    + ", ".join(f"coalesce({c}.{store.KINDS[kind]}[{m + 1}], 0) AS {c}_{kind}"
+                for kind, c, m in _ENDS)
+    + ", CAST(" + " + ".join(f"coalesce(list_sum({c}.{f}), 0)" for c in COVERAGES
+                             for f in store.KINDS.values()) + " AS BIGINT) AS total"
+    + " FROM (SELECT policy_num, vin, dln, ver_eff FROM events_labelled) e "
+    + " ".join(f"ASOF LEFT JOIN (SELECT * FROM store_vin WHERE cvg = '{c}') {c} "
+               f"ON {c}.vin = e.vin AND {c}.dt <= e.ver_eff" for c in COVERAGES)))
 def store_lookup_nested(spark, folder):
-    """The lookup on the nested form: newest snapshot, maps merged, vector, named columns."""
-    stored = _claim_store(spark, folder, "vin")
+    """The lookup on the nested form: newest snapshot, maps merged, vector, named columns.
+
+    ``total`` is over all features of the merged map; the vector names two of each coverage.
+    """
+    stored = checkpointed(_claim_store(spark, folder, "vin"))
     rows = _events(spark, folder)
-    for c in ("DC", "AB"):
+    for c in COVERAGES:
         nested = store.nested_claim_store(stored, "vin", c)
         rows = rows.join(nested, "vin", "left").withColumn(
             f"_{c}", maps.latest_snapshot("properties", "ver_eff")
         ).drop("properties")
-    names = [
-        store.loss_feature("vin", "bin", "DC", 0), store.loss_feature("vin", "acum", "DC", 12),
-        store.loss_feature("vin", "acum", "AB", 24),
-    ]
-    rows = rows.withColumn("_vector", maps.map_to_vector(maps.merge_maps(["_DC", "_AB"]), names))
-    rows = store.features_from_vector(rows.drop("_DC", "_AB"), "_vector", names)
-    return rows.withColumnsRenamed(
-        dict(zip(names, ("dc_bin_0", "dc_acum_12", "ab_acum_24")))
-    )
+    picked = [f"_{c}" for c in COVERAGES]
+    rows = rows.withColumn("_all", maps.merge_maps(picked)).drop(*picked)
+    names = [store.loss_feature("vin", kind, c, m) for kind, c, m in _ENDS]
+    rows = rows.withColumn("_vector", maps.map_to_vector("_all", names))
+    total = F.aggregate(F.map_values("_all"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    rows = store.features_from_vector(rows.withColumn("total", total).drop("_all"), "_vector", names)
+    return rows.withColumnsRenamed(dict(zip(names, (f"{c}_{kind}" for kind, c, _ in _ENDS))))
 
 
 def _wide(kk: str, c: str) -> str:
