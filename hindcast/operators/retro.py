@@ -63,16 +63,6 @@ def month_number(date: Column | str) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by keys ahead of an explode.
-
-    The number is fixed to the session's, as AQE would otherwise merge partitions by their size
-    before the explode, when they are still small.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
-
-
 def snapshot_grid(ids: DataFrame, id_column: str, calendar: MonthEnds) -> DataFrame:
     """Distinct ids x month ends."""
     every = calendar.months_between(
@@ -100,14 +90,13 @@ def retro_losses(
     end to end and money is decimal. Only then are both cut to whole units. Rows without a positive
     entry are left out.
     """
-    daily = _spread(
+    daily = (
         claims.filter(F.col("cvg").isin(*coverages))
         .select(id_column, "cvg", "int_claim_num", "loss_dt", "loss_sum")
         .dropna(subset=[id_column, "loss_dt"])
         .distinct()
         .groupBy(id_column, "cvg", "loss_dt")
-        .agg(F.sum("loss_sum").alias("loss")),
-        id_column, "cvg",  # one row per day from here on: the exploded rows stay in their task
+        .agg(F.sum("loss_sum").alias("loss"))
     )
     reach = F.add_months("loss_dt", retro_months + 1)
     dated = daily.select(
@@ -125,18 +114,26 @@ def retro_losses(
         "_bin", F.col("_month") - F.col("_loss_month") - reached
     )
     months = range(retro_months + 1)
+    # The days of an id are spread over tasks here, and summed in them before they are shuffled by
+    # snapshot: an id with very many days is split by its snapshots.
     sums = (
         binned.filter(F.col("_bin").between(0, retro_months))
         .groupBy(id_column, "cvg", "dt")
-        .agg(
-            *[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months],
-            *[F.expr(f"sum(if(_bin <= {m}, _cents, 0L)) as _a{m}") for m in months],
-        )
+        .agg(*[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months])
+    )
+    listed = sums.select(
+        id_column, "cvg", "dt", F.array(*[F.col(f"_b{m}") for m in months]).alias("_cents")
+    )
+    running = F.aggregate(
+        "_cents", F.array().cast("array<bigint>"),
+        lambda done, x: F.array_append(
+            done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("bigint")) + x),
     )
-    return sums.select(
+    return listed.select(
         id_column, "cvg", "dt",
-        F.expr(f"array({', '.join(f'_b{m} div 100' for m in months)})").alias("bins"),
-        F.expr(f"array({', '.join(f'_a{m} div 100' for m in months)})").alias("acum"),
+        F.expr("transform(_cents, x -> x div 100)").alias("bins"), running.alias("_running"),
+    ).select(
+        id_column, "cvg", "dt", "bins", F.expr("transform(_running, x -> x div 100)").alias("acum")
     ).filter((F.array_max("bins") > 0) | (F.array_max("acum") > 0))
 
 
@@ -162,8 +159,10 @@ def retro_exposures(
 
     A session meets a snapshot once, with a bit mask of the windows that hold it. Distinct values
     are counted by OR-ing the masks per value, in place of one distinct aggregate per window.
-    Before they meet the calendar, rows are reduced to one per id (or value) and pair of dates;
-    that bounds what a hot id brings to its task, and lets the exploded rows stay in theirs.
+    Before they meet the calendar, rows are reduced to one per id (or value) and pair of dates.
+    These stay spread over the tasks by their dates; exploded rows are summed there before they are
+    shuffled by id and snapshot, so an id with a third of all rows is in no single task. Store or
+    checkpoint ``sessions`` first: they are read twice.
     """
     reach = max(far for _, far in windows)
     eff, exp = F.col("ver_eff"), F.col("ver_exp")
@@ -192,7 +191,7 @@ def retro_exposures(
     cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("long")
     square = cents.cast("decimal(18,0)") * cents.cast("decimal(18,0)")
     days = F.col("ver_days").cast("long")
-    by_dates = _spread(
+    by_dates = (
         known.groupBy(id_column, "ver_eff", "ver_exp")
         .agg(
             F.count(cents).alias("_n_c"),
@@ -201,8 +200,7 @@ def retro_exposures(
             F.count(days).alias("_n_d"),
             F.sum(days).alias("_s_d"),
             F.sum(days * days).alias("_q_d"),
-        ),
-        id_column,
+        )
     )
     sums = [F.sum(c).alias(c) for c in figures]
     numbers = (
@@ -220,11 +218,10 @@ def retro_exposures(
             for i, d in enumerate(dims)
         ]
     )
-    by_value = _spread(
+    by_value = (
         known.select(id_column, "ver_eff", "ver_exp", F.inline(values))
         .filter("_value is not null")
-        .distinct(),
-        id_column, "_dim", "_value",
+        .distinct()
     )
     counts = (
         placed(by_value)

@@ -22,8 +22,13 @@ def _require_date(df: DataFrame, column: str) -> None:
 
 def _running(on: Sequence[str], newest_first: bool = False):
     at = F.col("_at").desc() if newest_first else F.col("_at")
+    # Rows with a NULL key have no neighbours on a line; dealt by date, they do not meet in one task.
+    unknown = F.lit(False)
+    for key in on:
+        unknown = unknown | F.col(key).isNull()
+    apart = F.when(unknown, F.xxhash64("_at"))
     return (
-        Window.partitionBy(*on)
+        Window.partitionBy(*on, apart)
         .orderBy(at, "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -250,6 +255,8 @@ def match_sessions(
     The array is in time order, sums the amounts of a day, and is empty for a session without an
     event. It has at most one entry per day of the session. Sessions are cut at month borders and
     joined on key and month, so a session only meets the at most 31 event days of its own months.
+    Only months from the first to the last event are listed: a session that ends in the year 9999
+    costs as many pieces as the events have months.
     """
     on = list(on)
     daily = (
@@ -258,15 +265,17 @@ def match_sessions(
         .agg(*[F.sum(a).alias(a) for a in amounts])
         .withColumn("_month", F.trunc(event_date, "month"))
     )
+    span = daily.select("_month")
+    cut = sessions.withColumns({
+        "_first": F.greatest(F.trunc(start, "month"), span.agg(F.min("_month")).scalar()),
+        "_last": F.least(F.trunc(end, "month"), span.agg(F.max("_month")).scalar()),
+    })
+    first, last = F.col("_first"), F.col("_last")
     months = F.when(
-        F.col(start) <= F.col(end),
-        F.sequence(
-            F.trunc(start, "month"),
-            F.trunc(F.greatest(start, end), "month"),
-            F.expr("interval 1 month"),
-        ),
+        (F.col(start) <= F.col(end)) & (first <= last),
+        F.sequence(first, F.greatest(first, last), F.expr("interval 1 month")),
     )
-    pieces = sessions.select("*", F.explode_outer(months).alias("_month")).alias("s")
+    pieces = cut.select("*", F.explode_outer(months).alias("_month")).alias("s")
     days = daily.alias("d")
     same = F.col(f"d.{event_date}").between(F.col(f"s.{start}"), F.col(f"s.{end}"))
     for key in (*on, "_month"):

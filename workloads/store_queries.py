@@ -83,7 +83,8 @@ GROUP BY s.{_kk}, w.dt, near_months, far_months"""
 
 @query("retro_exposure_windows", sql("SELECT * FROM exposure_store_dln", **EXPOSURE_CTES))
 def retro_exposure_windows(spark, folder):
-    return store.exposure_store(inputs.sessions(spark, folder), "dln", t.CALENDAR)
+    sessions = checkpointed(inputs.sessions(spark, folder))  # read twice
+    return store.exposure_store(sessions, "dln", t.CALENDAR)
 
 
 def _digest(nested, *keys):
@@ -118,7 +119,8 @@ def _exposure_digest(kk: str) -> str:
 
 @query("feature_store_exposure_nested", sql(_exposure_digest("dln"), **EXPOSURE_CTES))
 def feature_store_exposure_nested(spark, folder):
-    stored = store.exposure_store(inputs.sessions(spark, folder), "dln", t.CALENDAR)
+    sessions = checkpointed(inputs.sessions(spark, folder))
+    stored = store.exposure_store(sessions, "dln", t.CALENDAR)
     return _digest(store.nested_exposure_store(stored, "dln"), "dln")
 
 
