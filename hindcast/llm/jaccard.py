@@ -26,7 +26,7 @@ from hindcast.llm.components import components
 
 WIDTH, THRESHOLD, RUNS, LEVELS = 5, 0.8, 20, 2
 SKETCH, PLAUSIBLE = 64, 35  # equal sketch bytes of a plausible pair: 0.8 * 64 - 5 * 3.2
-LIMIT = 256  # sets that are compared in one piece
+SKETCH_LIMIT, LIMIT = 2048, 512  # sketches, and whole sets, that are compared in one piece
 ODDS = mixed(np.arange(1, RUNS * LEVELS + SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -93,7 +93,7 @@ def _groups(
     df: DataFrame, keys: list[str], work: Callable[[dict[str, list]], dict[str, list] | None],
     schema: str,
 ) -> DataFrame:
-    """Apply ``work`` to the rows of each group; groups are bounded by ``LIMIT`` and stream by.
+    """Apply ``work`` to the rows of each group; groups are tiles, so bounded, and stream by.
 
     Unlike a grouped map this costs no Arrow stream per group, of which there are very many.
     """
@@ -142,17 +142,17 @@ def _groups(
     return dealt.mapInArrow(stream, schema)
 
 
-def _tiled(members: DataFrame, group: str) -> DataFrame:
-    """Deal the members of each group to tiles of about ``LIMIT``: each pair meets in one tile.
+def _tiled(members: DataFrame, limit: int) -> DataFrame:
+    """Deal the members of each group to tiles of about ``limit``: each pair meets in one tile.
 
     ``members`` has the group's size in ``size``. Groups within the limit are one tile. Larger ones
     have k parts and a tile per pair of parts; a member is in the k tiles of its own part, as is
     needed to compare all its pairs, and pairs from one part are compared in that part's tile only.
     """
-    parts = F.ceil(F.col("size") / LIMIT).cast("int")
+    parts = F.ceil(F.col("size") / limit).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(1)), parts).cast("int")
-    rows = members.withColumn("part", F.when(F.col("size") > LIMIT, own).otherwise(0))
-    others = F.when(F.col("size") > LIMIT, F.sequence(F.lit(0), parts - 1)).otherwise(
+    rows = members.withColumn("part", F.when(F.col("size") > limit, own).otherwise(0))
+    others = F.when(F.col("size") > limit, F.sequence(F.lit(0), parts - 1)).otherwise(
         F.array(F.lit(0)))
     rows = rows.withColumn("_other", F.explode(others))
     return rows.withColumn("t1", F.least("part", "_other")).withColumn(
@@ -186,22 +186,37 @@ def _in_tile(held: dict[str, list]) -> np.ndarray:
 
 
 def plausible_edges(held: dict[str, list]) -> dict[str, list] | None:
-    """Edges (a, b) that span the plausible pairs of a bucket, by sketches and sizes."""
-    ids = held["set_id"]
-    if len(ids) < 2:
+    """Edges (a, b) that span the plausible pairs of a tile, by sketches and sizes.
+
+    A tile of two parts has only the edges that join the parts' own components, which are spanned by
+    the parts' own tiles.
+    """
+    ids, part = held["set_id"], np.array(held["part"])
+    n = len(ids)
+    if n < 2:
         return None
-    size = np.array(held["n"], dtype=float)
-    sketch = np.frombuffer(b"".join(held["sketch"]), dtype=np.uint8).reshape(len(ids), SKETCH)
-    equal = np.zeros((len(ids), len(ids)), dtype=np.int16)
-    for k in range(SKETCH):
-        equal += sketch[:, k, None] == sketch[None, :, k]
-    low = np.minimum(size[:, None], size[None, :])
-    high = np.maximum(size[:, None], size[None, :])
-    good = (equal >= PLAUSIBLE) & (low >= THRESHOLD * high - 1e-9) & _in_tile(held)
-    left, right = np.nonzero(good)
-    root = _roots(len(ids), left, right)
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return {"a": [ids[i] for i in moved], "b": [ids[root[i]] for i in moved]}
+    size = np.array(held["n"], dtype=np.float32)
+    sketch = np.frombuffer(b"".join(held["sketch"]), dtype=np.uint8).reshape(n, SKETCH)
+    pairs = []
+    for at in range(0, n, 256):  # strips of the upper triangle
+        own = slice(at, min(at + 256, n))
+        equal = np.zeros((own.stop - at, n - at), dtype=np.int16)
+        for k in range(SKETCH):
+            equal += sketch[own, k, None] == sketch[None, at:, k]
+        low = np.minimum(size[own, None], size[None, at:])
+        high = np.maximum(size[own, None], size[None, at:])
+        left, right = np.nonzero((equal >= PLAUSIBLE) & (low >= THRESHOLD * high - 1e-3))
+        upper = left < right
+        pairs.append((left[upper] + at, right[upper] + at))
+    left, right = (np.concatenate(x) for x in zip(*pairs))
+    root = np.arange(n)
+    if held["t1"][0] != held["t2"][0]:
+        inside = part[left] == part[right]
+        root = _roots(n, left[inside], right[inside])
+        left, right = root[left[~inside]], root[right[~inside]]
+    joined = _roots(n, left, right)
+    moved = np.flatnonzero((joined != np.arange(n)) & (root == np.arange(n)))
+    return {"a": [ids[i] for i in moved], "b": [ids[joined[i]] for i in moved]}
 
 
 def exact_links(held: dict[str, list]) -> dict[str, list] | None:
@@ -270,9 +285,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
     first = picks.filter("level = 0").select(
         F.xxhash64("run", "token").alias("node"), "run", "set_id")
     sizes = stored(sized(first))
-    small = first.join(once(sizes.filter(F.col("size") <= LIMIT)), "node").select(
+    small = first.join(once(sizes.filter(F.col("size") <= SKETCH_LIMIT)), "node").select(
         "node", "set_id", "size")
-    large = first.join(sizes.filter(F.col("size") > LIMIT).select("node"), "node")
+    large = first.join(sizes.filter(F.col("size") > SKETCH_LIMIT).select("node"), "node")
     again = picks.filter("level = 1").select("run", "set_id", "token")
     second = stored(large.join(again, ["run", "set_id"]).select(
         F.xxhash64("node", "token").alias("node"), "set_id"))
@@ -316,7 +331,7 @@ def set_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first("chosen").alias("chosen"), F.first("sketch").alias("sketch")))
     buckets = _buckets(sets)
     # Of a tile's rows only the sketch is needed; it joins after the tiles are dealt to few rows.
-    tiles = _tiled(buckets, "node").join(sets.select("set_id", "n", "sketch"), "set_id")
+    tiles = _tiled(buckets, SKETCH_LIMIT).join(sets.select("set_id", "n", "sketch"), "set_id")
     edges = _groups(tiles.select("node", "t1", "t2", "part", "set_id", "n", "sketch"),
                     ["node", "t1", "t2"], plausible_edges, "a long, b long")
     groups = components(edges).withColumnRenamed("node", "set_id").withColumnRenamed("root", "grp")
@@ -324,7 +339,7 @@ def set_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = groups.join(sizes, "grp").join(
         sets.select("set_id", "copies", "rep.doc_id", "rep.text_hash"), "set_id")
     whole = _tokens(documents, members)
-    dealt = _tiled(whole, "grp").select("grp", "t1", "t2", "part", "set_id", "copies", "tokens")
+    dealt = _tiled(whole, LIMIT).select("grp", "t1", "t2", "part", "set_id", "copies", "tokens")
     links = stored(_groups(dealt, ["grp", "t1", "t2"], exact_links,
                            "set_id long, root long, set_links long, doc_links long"))
     roots = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))

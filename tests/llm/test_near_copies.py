@@ -84,6 +84,7 @@ def test_null_and_repeated_ids(make, prose):
 
 def test_groups_larger_than_a_tile(make, prose, monkeypatch):
     monkeypatch.setattr(jaccard, "LIMIT", 7)
+    monkeypatch.setattr(jaccard, "SKETCH_LIMIT", 9)
     base = prose(100, 3)
     texts = [altered(base, 1, k) for k in range(40)] + [base] * 5 + [prose(50, k) for k in range(9)]
     assert got(make(texts)) == brute(list(enumerate(texts)))
