@@ -160,3 +160,15 @@ def test_terms_known_before_wait_for_their_end(spark):
     events = spark.createDataFrame([("v", day("2016-01-01"))], "vin string, term_eff date")
     assert history.previous_terms(events, terms, "vin").first()["prem_1"] == 2.0
     assert history.previous_terms(events, terms, "vin", known_before=True).first()["prem_1"] == 1.0
+
+
+def test_sums_beyond_32_bits_fit_the_nested_store(spark):
+    sessions = spark.createDataFrame(
+        [("V", "D", f"P{i}", day("2020-03-01"), day("2020-04-01"), day("2020-03-01"), 31,
+          Decimal(1_000_000_000 * (i + 1))) for i in range(4)],
+        "vin string, dln string, policy_num string, ver_eff date, ver_exp date, term_eff date, "
+        "ver_days int, session_prem decimal(18,2)")
+    stored = store.exposure_store(sessions, "dln", CALENDAR)
+    nested = store.nested_exposure_store(stored, "dln").collect()
+    values = [v for inner in nested[0]["properties"].values() for v in inner.values()]
+    assert max(values) > 2 ** 31

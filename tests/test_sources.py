@@ -92,3 +92,28 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
     named = Context("/shared/folder")
     reliable._use_checkpoint_folder(named)
     assert named.set == "/shared/folder"
+
+
+def test_header_names_decide_on_columns(spark, tmp_path):
+    (tmp_path / "turned.csv").write_text("b,a\nx,1\n")
+    strings = sources.read_strings(spark, str(tmp_path / "turned.csv"), ["a", "b"], ["a"])
+    assert rows(strings, "a", "b") == [(1.0, "x")]
+    with pytest.raises(Exception, match="[Hh]eader"):
+        sources.read_delimited(
+            spark, str(tmp_path / "turned.csv"), "a string, b string", header=True).collect()
+
+
+def test_exposure_stores_of_two_ids_are_kept_apart(spark, tmp_path):
+    from hindcast.plans import store
+
+    one = spark.createDataFrame([("V1", "2020-01-31", 7, 2, 3)],
+                                "vin string, dt string, prem_sum long, cntdist_dln long, cntdist_policy_num long")
+    two = spark.createDataFrame([("D1", "2020-01-31", 8, 4, 5)],
+                                "dln string, dt string, prem_sum long, cntdist_vin long, cntdist_policy_num long")
+    store.save_exposure_store(one, "vin", str(tmp_path))
+    store.save_exposure_store(two, "dln", str(tmp_path))
+    back = store.load_exposure_store(spark, "vin", str(tmp_path))
+    assert rows(back, *one.columns) == rows(one)
+    assert rows(store.load_exposure_store(spark, "dln", str(tmp_path)), *two.columns) == rows(two)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kk" in plan and "vin)" in plan

@@ -4,6 +4,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hindcast.operators import timeline
 from tests.helpers import day, money, random_day, rows
 
@@ -129,3 +131,35 @@ def test_each_value_is_looked_up_on_its_own(spark):
     )
     found = timeline.read_timeline(points, history, ["k"], "d", "dt", ["x", "y"])
     assert rows(found) == [("a", day("2020-03-01"), 1, 2)]
+
+
+def test_open_ended_sessions_list_the_months_of_the_events_only(spark):
+    s = spark.createDataFrame(
+        [("a", day("2016-01-01"), day("9999-12-31")), ("b", day("2016-01-01"), day("9999-12-31")),
+         ("a", day("2030-01-01"), day("9999-12-31")), ("a", day("2020-03-05"), day("2020-03-04"))],
+        "k string, start date, stop date",
+    )
+    events = spark.createDataFrame(
+        [("a", day("2020-01-31"), 1), ("a", day("2020-03-05"), 2), ("c", day("2018-07-01"), 9)],
+        "k string, d date, x int",
+    )
+    got = {(r["k"], r["start"]): [(h["d"], h["x"]) for h in r["hits"]] for r in timeline.match_sessions(
+        s, events, ["k"], "start", "stop", "d", ["x"]).collect()}
+    assert got == {
+        ("a", day("2016-01-01")): [(day("2020-01-31"), 1), (day("2020-03-05"), 2)],
+        ("b", day("2016-01-01")): [], ("a", day("2030-01-01")): [], ("a", day("2020-03-05")): [],
+    }
+    none = timeline.match_sessions(s, events.filter("x > 9"), ["k"], "start", "stop", "d", ["x"])
+    assert [r["hits"] for r in none.collect()] == [[]] * 4
+
+
+def test_points_without_a_key_are_dealt_by_date(spark):
+    points = spark.createDataFrame(
+        [(None, day("2020-01-01") + dt.timedelta(days=i)) for i in range(400)] + [("a", day("2020-05-01"))],
+        "k string, d date")
+    history = spark.createDataFrame([("a", day("2020-01-01"), 5)], "k string, dt date, x int")
+    found = timeline.read_timeline(points, history, ["k"], "d", "dt", ["x"])
+    assert {r["x"] for r in found.filter("k is null").collect()} == {None}
+    assert rows(found.filter("k = 'a'"), "x") == [(5,)]
+    parts = found.filter("k is null").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
