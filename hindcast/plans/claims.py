@@ -66,14 +66,15 @@ def claims_long(
     start: str,
     end: str | None = None,
     ties: Sequence[str] = (),
+    line_of_business: str = LINE_OF_BUSINESS,
 ) -> DataFrame:
     """``policy_num, int_claim_num, loss_dt, cvg, loss_sum, dln, vin`` of losses in the period.
 
-    A claim with several driver/vehicle pairs counts its loss once for each pair.
+    With a map, only rows of one line of business are mapped and kept. A claim with several driver/vehicle pairs counts its loss once for each pair.
     """
     rows = between_dates(coverage_rows, "loss_dt", start, end)
     if coverage_map is not None:
-        rows = map_coverages(rows.filter(F.col("line_of_business") == LINE_OF_BUSINESS), coverage_map)
+        rows = map_coverages(rows.filter(F.col("line_of_business") == line_of_business), coverage_map)
     parties = claim_parties(between_dates(common, "loss_dt", start, end))
     return latest_amounts(rows, ties).join(
         parties, list(CLAIM_DAY), "inner"

@@ -24,7 +24,7 @@ _SESSION = (
 SELECT policy_num, int_claim_num, CAST(loss_dt AS VARCHAR) AS loss_dt, cvg, sum(cents) / 100.0 AS loss_sum
 FROM claim_latest GROUP BY policy_num, int_claim_num, claim_latest.loss_dt, cvg"""))
 def claims_latest(spark, folder):
-    rows = t.claim_rows(spark, folder).filter("line_of_business = 'AUTO'")
+    rows = t.claim_rows(spark, folder).filter(F.col("line_of_business") == t.CAR_CLAIMS)
     mapped = claims.map_coverages(rows, t.coverage_map(spark))
     return claims.latest_amounts(mapped, t.CLAIM_TIES)
 

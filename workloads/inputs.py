@@ -28,8 +28,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 def claims_long(spark: SparkSession, folder: str) -> DataFrame:
     rows = t.claim_rows(spark, folder)
     return claims.claims_long(
-        rows, rows.filter("line_of_business = 'AUTO'"), t.coverage_map(spark), t.CLAIMS_FROM,
-        ties=t.CLAIM_TIES,
+        rows, rows.filter(F.col("line_of_business") == t.CAR_CLAIMS), t.coverage_map(spark),
+        t.CLAIMS_FROM, ties=t.CLAIM_TIES, line_of_business=t.CAR_CLAIMS,
     )
 
 

@@ -15,6 +15,7 @@ CALENDAR = MonthEnds("1996-08-31", "2001-12-31")
 AS_OF = tuple(f"2000-{m:02d}-01" for m in range(1, 9))
 TRAIN_UNTIL, TEST_FROM, TEST_UNTIL = "1999-12-31", "2000-01-01", "2000-12-31"
 ALL_COVERAGES = ("DC", "COMPSP", "APCOLL", "TPL", "AB", "UIN")
+CAR_CLAIMS = "R"  # returned lines stand for car claims, others for other lines of business
 CLAIM_TIES = ("src_order", "src_line")
 DRIVER_TIES = ("seq", "years_licensed", "disc", "status")
 
@@ -45,7 +46,7 @@ def exposure_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
 
 
 def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Claim versions with their parties; returned lines stand for car claims, others for homes."""
+    """Claim versions with their parties; the lines' flag is the line of business."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return joined.selectExpr(
@@ -53,7 +54,7 @@ def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
         "concat('V', o_custkey % 500) as vin",
         "case when l_orderkey % 23 = 0 then 'D999' else concat('D', o_custkey % 300) end as dln",
         "concat('C', o_custkey) as int_claim_num",
-        "case when l_returnflag = 'R' then 'AUTO' else 'HOME' end as line_of_business",
+        "l_returnflag as line_of_business",
         "cast(l_partkey % 6 as int) as line_type",
         "concat('line ', l_partkey % 6) as line_type_desc",
         "concat('T', l_partkey % 6) as cvg_type_cd",
@@ -69,7 +70,7 @@ def claim_rows(spark: SparkSession, folder: str) -> DataFrame:
 def coverage_map(spark: SparkSession) -> DataFrame:
     """A mapping file's rows: line and code to modelled coverage."""
     return spark.sql(
-        "SELECT 'AUTO' AS line_of_business, line_type, concat('line ', line_type) AS line_type_desc, "
+        "SELECT 'R' AS line_of_business, line_type, concat('line ', line_type) AS line_type_desc, "
         "concat('T', line_type) AS cvg_type_cd, modeling_id_cl FROM VALUES (0, 'DC'), (1, 'COMPSP'), "
         "(2, 'APCOLL'), (3, 'TPL'), (4, 'AB'), (5, 'UIN') AS m(line_type, modeling_id_cl)"
     )
