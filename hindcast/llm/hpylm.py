@@ -37,7 +37,7 @@ from hindcast.llm.common import HashedWords, stored
 CLASSES, CLASS_BITS = 4096, 12
 HELD = np.uint16(1 << 15)
 HOT = 128
-PART_TOKENS, PIECE_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 4_000_000, 1_000_000, 4_000_000, 60_000
+PART_TOKENS, PIECE_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_500_000, 1_000_000, 2_000_000, 60_000
 THETA = 1.0
 END = b"\x00end"
 DOCS, HOT_TOKENS, WORDS = 0, 1, 2
