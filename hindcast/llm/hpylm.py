@@ -37,7 +37,7 @@ from hindcast.llm.common import HashedWords, stored
 CLASSES, CLASS_BITS = 4096, 12
 HELD = np.uint16(1 << 15)
 HOT = 128
-PART_TOKENS, PIECE_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_500_000, 1_000_000, 2_000_000, 60_000
+PART_TOKENS, PIECE_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 1_000_000, 2_000_000, 60_000
 THETA = 1.0
 END = b"\x00end"
 DOCS, HOT_TOKENS, WORDS = 0, 1, 2
@@ -416,13 +416,18 @@ def averaged(cells: Cells, totals: Totals, sweeps: int, burn: int, rng: np.rando
 
 
 def _sums_by_document(doc, place, batches, score, base, known):
-    """Rows (batch, documents, sums) of one piece."""
+    """Rows (batch, documents, sums of scores and bases, documents with unknown words, how many).
+
+    Sums of scores are short floats, their error is far below that of the sampling.
+    """
     for n, batch in enumerate(batches):
         at = place == n
         own, inverse = np.unique(doc[at], return_inverse=True)
-        yield (int(batch), own.tobytes(), np.bincount(inverse, weights=score[at]).tobytes(),
+        lost, often = np.unique(doc[at & ~known], return_counts=True)
+        yield (int(batch), own.tobytes(),
+               np.bincount(inverse, weights=score[at]).astype(np.float32).tobytes(),
                np.bincount(inverse, weights=base[at]).tobytes(),
-               np.bincount(inverse, weights=known[at]).astype(np.uint32).tobytes())
+               lost.tobytes(), often.astype(np.uint32).tobytes())
 
 
 def score_documents(
@@ -471,7 +476,7 @@ def score_documents(
                     doc = np.frombuffer(row["d"], dtype=np.uint16)
                     out = _sums_by_document(
                         doc, np.zeros(len(doc), dtype=np.uint16), [row["batch"]],
-                        hot_logs[word, context], hot_base[word], np.ones(len(doc)))
+                        hot_logs[word, context], hot_base[word], np.ones(len(doc), dtype=bool))
                 else:
                     piece = Piece(row)
                     cells = piece.cells
@@ -487,15 +492,15 @@ def score_documents(
                     out = _sums_by_document(piece.doc, piece.place, piece.batches, np.log10(p),
                                             base[word], count[word] > 0)
                 columns = list(zip(*out))
-                types = [pa.int64()] + [pa.binary()] * 4
+                types = [pa.int64()] + [pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types)],
-                    names=["batch", "a", "b", "c", "d"])
+                    names=["batch", "a", "b", "c", "d", "e"])
 
     partial = rows.filter(F.col("kind") != DOCS).select(
         "kind", "batch", "part", "piece", "a", "b", "c", "d", "e").mapInArrow(
-        score, "batch long, a binary, b binary, c binary, d binary")
-    heads = rows.filter(F.col("kind") == DOCS).select("batch", "a", "b", "c", "d")
+        score, "batch long, a binary, b binary, c binary, d binary, e binary")
+    heads = rows.filter(F.col("kind") == DOCS).select("batch", "a", "b", "c", "d", "e")
     both = heads.withColumn("head", F.lit(True)).unionByName(
         partial.withColumn("head", F.lit(False)))
 
@@ -504,17 +509,19 @@ def score_documents(
         head = next(r for r in rows if r["head"])
         ids = np.frombuffer(head["a"], dtype=np.int64)
         score, base = np.zeros(len(ids)), np.zeros(len(ids))
-        known = np.zeros(len(ids), dtype=np.int64)
+        tokens = np.frombuffer(head["b"], dtype=np.int64)
+        known = tokens.copy()
         for r in rows:
             if not r["head"]:
                 at = np.frombuffer(r["a"], dtype=np.uint16)
-                score[at] += np.frombuffer(r["b"], dtype=float)
+                score[at] += np.frombuffer(r["b"], dtype=np.float32)
                 base[at] += np.frombuffer(r["c"], dtype=float)
-                known[at] += np.frombuffer(r["d"], dtype=np.uint32)
+                known[np.frombuffer(r["d"], dtype=np.uint16)] -= np.frombuffer(
+                    r["e"], dtype=np.uint32)
         return pa.Table.from_arrays([
             pa.array(ids, mask=np.frombuffer(head["d"], dtype=bool)),
             pa.array(np.frombuffer(head["c"], dtype=bool)),
-            pa.array(np.frombuffer(head["b"], dtype=np.int64)), pa.array(known),
+            pa.array(tokens), pa.array(known),
             pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(score),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                   "score"])
