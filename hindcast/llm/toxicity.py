@@ -82,7 +82,7 @@ def _present(df: DataFrame) -> DataFrame:
             for text, grade in zip(batch.column(0), batch.column(1)):
                 grade = grade.as_py()
                 seen.update((f, grade) for f in feature_counts(text.as_py()))
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     yield rows(seen)
                     seen.clear()
         yield rows(seen)
@@ -214,7 +214,7 @@ def grade_by_markers(sample: DataFrame, features: list[str], toxic: str, severe:
 class Scorer:
     """Margins of texts under a model; remembers what the words it has seen contribute to."""
 
-    def __init__(self, model: Severity, remember: int = 500_000):
+    def __init__(self, model: Severity, remember: int = 200_000):
         self.model, self.remember = model, remember
         self.known: dict[str, tuple[str, ...]] = {}
 
