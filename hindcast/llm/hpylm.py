@@ -2,23 +2,23 @@
 
 Two levels of restaurants: one per context, whose customers are the words that follow it, and their
 common parent, the unigram restaurant, whose base is uniform over the known words and one more for
-all unknown ones. A context is the class of the word before, one of ``CLASSES`` by hash; that bounds
-what is broadcast (totals per context), and rare words share a restaurant. Seating follows the
-Chinese restaurant process: the first customer of a dish opens a table and sends a customer to the
-parent, each further one opens another with probability a / (a + k - d t), with a = (theta + d T) *
+all unknown ones. A context is the word before, by the first 48 bits of its hash: of n words
+about n^2 / 2^49 pairs share one, at 100 million words 18. Seating follows the Chinese
+restaurant process: the first customer of a dish opens a table and sends a customer to the parent,
+each further one opens another with probability a / (a + k - d t), with a = (theta + d T) *
 P(dish in the parent), k customers and t tables of the dish so far, T tables in the restaurant.
 
-All cells (context, word) of a word are in one part (parts are ranges of the word's hash), so a part
-knows its words' parent counts; only totals per context and of the parent go between parts, once per
-round. In a part, Gibbs sweeps take out all customers of a cell and seat them anew given the rest,
-accepted by the ratio of the seating weights (Metropolis-Hastings); the parent is sampled in
-between. Predictive probabilities are averaged over the sweeps after the first. Words with more than
-1/``HOT`` of all tokens, fewer than ``HOT`` by definition, are not dealt to parts: their cells are a
-bounded table, fitted on its own and broadcast, and their tokens are scored where they are.
-
-Data flow: (1) word counts; (2) one pass that writes tokens as blocks of (word, context, document)
-numbers, dealt to parts once and stored in word order; (3) a round of seating over these; (4)
-seating and scoring over the same rows, sums per document.
+All cells (context, word) of a word are in one part; parts are ranges of the word's hash. What a part needs of the others, the
+customers and tables of its words and contexts, it gets once per round: parts send their sums to
+places (ranges of the key's hash), and a place sends back what the other parts hold. No table of
+words or contexts is held or broadcast whole. In a part, Gibbs sweeps take out all customers of a
+cell and seat them anew given the rest, accepted by the ratio of the seating weights
+(Metropolis-Hastings); the parent is sampled in between. Predictive probabilities are averaged over
+the sweeps after the first.
+
+Data flow: (1) word counts; (2) one pass that cuts documents into blocks, which keep the document of
+each token and deal their cells to parts, stored there once per part; (3) rounds of seating over
+these; (4) seating and scoring, one probability per cell of each block, summed per document there.
 """
 
 from __future__ import annotations
@@ -34,22 +34,59 @@ from pyspark.sql import functions as F
 
 from hindcast.llm.common import HashedWords, stored
 
-CLASSES, CLASS_BITS = 4096, 12
-HELD = np.uint16(1 << 15)
-HOT = 128
-PART_TOKENS, PIECE_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 1_000_000, 2_000_000, 60_000
+PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 1_800_000, 60_000
+WORD_BYTES, CONTEXT_BYTES = 8, 6
 THETA = 1.0
 END = b"\x00end"
-DOCS, HOT_TOKENS, WORDS = 0, 1, 2
-BLOCKS = "part long, batch long, kind int, a binary, b binary, c binary, d binary"
+DOCS, CELLS = 0, 1
+WORD, CONTEXT, PARENT = 0, 1, 2
+COLUMNS = list("abcdefg")
+BLOCKS = "part long, batch long, kind int, " + ", ".join(f"{c} binary" for c in COLUMNS)
+SUMS = "place long, part long, kind int, a binary, b binary, c binary"
+REPLIES = ("part long, place long, kind int, a binary, b binary, customers double, tables double, "
+           "ones double, twos double")
+PROBABILITIES = "batch long, part long, a binary, b binary, c binary, words long"
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double"
 )
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
 
 
-def context_class(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - CLASS_BITS)).astype(np.uint16)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(field.split() for field in schema.split(", ")))
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, ARROW[k]) for c, k in zip(columns, kinds)], names=list(names))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the narrowest type that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // max(n, 1) or 1}").astype(np.int64)
+
+
+def planes(keys: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of hashes, all first bytes, then all second: sorted, these pack."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def hashes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def context_of(words: np.ndarray) -> np.ndarray:
+    return words & ~np.uint64(2 ** (64 - 8 * CONTEXT_BYTES) - 1)
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges of 64-bit hashes each key is in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def tokens_of(text: str | None, hashed: HashedWords) -> np.ndarray:
@@ -95,79 +132,102 @@ def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Ge
     return out_t, out_w
 
 
-class Totals:
-    """What all parts share: sums per context and of the parent, and the discounts."""
+class Parent:
+    """The unigram restaurant's totals, and its discount."""
 
-    def __init__(self, customers, tables, ones, twos, root_customers, root_tables, root_ones,
-                 root_twos, types, n_words):
+    def __init__(self, n_words: int, customers: float, tables: float, ones: float, twos: float):
         self.customers, self.tables = customers, tables
         self.discount = _discount(ones, twos)
-        self.root_discount = _discount(root_ones, root_twos)
-        self.root_customers, self.root_tables = root_customers, root_tables
-        self.base = 1.0 / (n_words + 1)
-        self.types = types
-
-    def parent(self, served: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Predictive probability of words in the unigram restaurant; 0 served: unknown."""
-        d = self.root_discount
-        new = (THETA + d * self.root_tables) * self.base
-        return (np.maximum(served - d * tables, 0.0) + new) / (THETA + self.root_customers)
+        self.mass = (THETA + self.discount * tables) / (n_words + 1)
 
-    def escape(self) -> np.ndarray:
-        """Per context: the share of probability that goes to the parent."""
-        return (THETA + self.discount * self.tables) / (THETA + self.customers)
+    def probability(self, served: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Predictive probability of words; 0 served: unknown."""
+        return (np.maximum(served - self.discount * tables, 0.0) + self.mass) / (
+            THETA + self.customers)
 
 
 def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-class Cells:
-    """The cells (word, context, count) of some words, and their seating."""
+class Part:
+    """The cells (word, context, count) of a part and their seating; count 0: held out only."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int):
-        self.word, self.context, self.count, self.n = word, context, count.astype(float), n_words
-        self.many = np.flatnonzero(count > 1)
-        self.tables = np.ones(len(word))
+    def __init__(self, row: dict, step: int):
+        self.number = row["part"]
+        self.words = hashes(row["a"], WORD_BYTES)
+        context = hashes(row["c"], CONTEXT_BYTES)
+        self.word = np.repeat(np.arange(len(self.words)), unpacked(row["b"], len(self.words)))
+        self.count = unpacked(row["d"], len(context)).astype(float)
+        self.contexts, self.context = np.unique(context, return_inverse=True)
+        self.many = np.flatnonzero(self.count > 1)
+        self.tables = np.minimum(self.count, 1.0)
         self.weight: np.ndarray | None = None
-        self.root_tables = np.zeros(n_words)
-
-    def served(self) -> np.ndarray:
-        return np.bincount(self.word, weights=self.tables, minlength=self.n)
-
-    def sweep(self, totals: Totals, rng: np.random.Generator) -> None:
+        self.root_tables = np.zeros(len(self.words))
+        self.rng = np.random.default_rng([7, self.number, step])
+
+    def of_words(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, weights=values, minlength=len(self.words))
+
+    def of_contexts(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=values, minlength=len(self.contexts))
+
+    def sums(self, places: int) -> Iterator[tuple]:
+        """Customers and tables of the part's words and contexts, for the places of these."""
+        for kind, width, keys, total in (
+                (WORD, WORD_BYTES, self.words, self.of_words),
+                (CONTEXT, CONTEXT_BYTES, self.contexts, self.of_contexts)):
+            customers, tables = total(self.count), total(self.tables)
+            edges = np.searchsorted(ranges(keys, places), np.arange(places + 1))
+            for place, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if a < b:
+                    yield (place, self.number, kind, planes(keys[a:b], width),
+                           packed(customers[a:b]), packed(tables[a:b]))
+
+    def listen(self, replies: list[dict], places: int) -> None:
+        """Take the customers of all parts and the tables of the others."""
+        size = {kind: np.bincount(ranges(keys, places), minlength=places)
+                for kind, keys in ((WORD, self.words), (CONTEXT, self.contexts))}
+        got = {WORD: ([], []), CONTEXT: ([], [])}
+        for r in sorted(replies, key=lambda r: r["place"]):
+            n = int(size[r["kind"]][r["place"]])
+            got[r["kind"]][0].append(unpacked(r["a"], n))
+            got[r["kind"]][1].append(unpacked(r["b"], n))
+        self.word_count, self.others_served = (np.concatenate(x) for x in got[WORD])
+        self.customers, self.others_tables = (np.concatenate(x) for x in got[CONTEXT])
+
+    def sweep(self, parent: Parent, discount: float) -> None:
         """Seat the parent's customers, then those of each cell with more than one."""
-        served = self.served()
+        served = self.others_served + self.of_words(self.tables)
         known = np.flatnonzero(served > 0)
-        d = totals.root_discount
-        base = np.full(len(known), (THETA + d * totals.root_tables) * totals.base)
-        self.root_tables[known], _ = seat(served[known], base, d, rng)
-        p = totals.parent(served, self.root_tables)
+        self.root_tables[known], _ = seat(
+            served[known], np.full(len(known), parent.mass), parent.discount, self.rng)
+        p = parent.probability(served, self.root_tables)
+        seated = self.others_tables + self.of_contexts(self.tables)
         cells = self.many
-        mass = (THETA + totals.discount * totals.tables[self.context[cells]]) * p[self.word[cells]]
-        new, weight = seat(self.count[cells], mass, totals.discount, rng)
+        mass = (THETA + discount * seated[self.context[cells]]) * p[self.word[cells]]
+        new, weight = seat(self.count[cells], mass, discount, self.rng)
         if self.weight is None:
             take = np.ones(len(cells), dtype=bool)
             self.weight = weight
         else:
-            take = np.log(rng.random(len(cells))) < weight - self.weight
+            take = np.log(self.rng.random(len(cells))) < weight - self.weight
             self.weight = np.where(take, weight, self.weight)
         self.tables[cells[take]] = new[take]
 
-    def sums(self) -> np.ndarray:
-        """Additive contributions to ``Totals``, as one vector."""
-        served = self.served()
-        return np.concatenate([
-            np.bincount(self.context, weights=self.count, minlength=CLASSES),
-            np.bincount(self.context, weights=self.tables, minlength=CLASSES),
-            [(self.count == 1).sum(), (self.count == 2).sum(), served.sum(),
-             self.root_tables.sum(), (served == 1).sum(), (served == 2).sum(), len(self.word)]])
-
-
-def totals_from(sums: np.ndarray, n_words: int) -> Totals:
-    rest = sums[2 * CLASSES:]
-    return Totals(sums[:CLASSES], sums[CLASSES:2 * CLASSES], rest[0], rest[1], rest[2], rest[3],
-                  rest[4], rest[5], rest[6], n_words)
+    def averaged(self, parent: Parent, discount: float, sweeps: int, burn: int) -> np.ndarray:
+        """Each cell's predictive probability, averaged over the sweeps after ``burn``."""
+        total = np.zeros(len(self.word))
+        for step in range(burn + sweeps):
+            self.sweep(parent, discount)
+            if step >= burn:
+                served = self.others_served + self.of_words(self.tables)
+                base = parent.probability(served, self.root_tables)
+                seated = self.others_tables + self.of_contexts(self.tables)
+                escape = THETA + discount * seated
+                total += np.maximum(self.count - discount * self.tables, 0.0)
+                total += escape[self.context] * base[self.word]
+        return total / (sweeps * (THETA + self.customers[self.context]))
 
 
 # --- passes over the corpus ----------------------------------------------------------------------
@@ -202,16 +262,17 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """Blocks of documents: their ids, their tokens of hot words, and the others by part.
+def token_blocks(documents: DataFrame, parts: int) -> DataFrame:
+    """Blocks of documents, their cells dealt to parts.
 
-    A token is its document's number in the block and the class of the word before, with a bit for
-    held-out documents; words are listed once per block and part.
+    Row DOCS: (a) ids, (b) lengths, (c) held out or not, (d) NULL ids, and, in the order of part,
+    word and context, (e) tokens per cell and (f) the number in the block of each token's document.
+    Rows CELLS, one per part: (a) words, (b) cells per word, (c) contexts, (d) training tokens.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = HashedWords()
-        first = int(context_class(hashed.array([END]))[0])
+        first = context_of(hashed.array([END]))[0]
         number = 0
         names: list[int | None] = []
         texts: list[np.ndarray] = []
@@ -222,41 +283,32 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
             length = np.array([len(t) for t in texts], dtype=np.int64)
             held = np.array([_held_out(n) for n in names])
             words = np.concatenate(texts)
-            before = np.empty(len(words), dtype=np.uint16)
-            before[1:] = context_class(words[:-1])
+            before = np.empty(len(words), dtype=np.uint64)
+            before[1:] = context_of(words[:-1])
             before[np.cumsum(length) - length] = first
-            before |= np.where(np.repeat(held, length), HELD, np.uint16(0))
-            doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)
-            spread = -1 - batch_id % 1_000_003
-            rows = [(spread, batch_id, DOCS,
+            part = ranges(words, parts)
+            order = np.lexsort((before, words, part))
+            words, before, part = words[order], before[order], part[order]
+            doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)[order]
+            starts = np.flatnonzero(np.concatenate(
+                [[True], (words[1:] != words[:-1]) | (before[1:] != before[:-1])]))
+            often = np.diff(np.concatenate([starts, [len(words)]]))
+            train = np.add.reduceat((~held[doc]).astype(np.int64), starts)
+            words, before, part = words[starts], before[starts], part[starts]
+            rows = [(-1 - batch_id % 1_000_003, batch_id, DOCS,
                      np.array([n or 0 for n in names], dtype=np.int64).tobytes(),
                      length.tobytes(), held.tobytes(),
-                     np.array([n is None for n in names]).tobytes())]
-            place = np.searchsorted(hot, words)
-            place[place == len(hot)] = 0
-            is_hot = hot[place] == words if len(hot) else np.zeros(len(words), dtype=bool)
-            if is_hot.any():
-                rows.append((spread, batch_id, HOT_TOKENS,
-                             place[is_hot].astype(np.uint16).tobytes(), b"",
-                             before[is_hot].tobytes(), doc[is_hot].tobytes()))
-            cold = ~is_hot
-            words, before, doc = words[cold], before[cold], doc[cold]
-            order = np.argsort(words, kind="stable")
-            words, before, doc = words[order], before[order], doc[order]
-            part = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                     np.array([n is None for n in names]).tobytes(), packed(often), doc.tobytes(),
+                     None)]
+            edges = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 a, b = edges[p], edges[p + 1]
                 if a < b:
-                    own, often = np.unique(words[a:b], return_counts=True)
-                    rows.append((p, batch_id, WORDS, own.tobytes(),
-                                 often.astype(np.uint32).tobytes(), before[a:b].tobytes(),
-                                 doc[a:b].tobytes()))
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)],
-                names=["part", "batch", "kind", "a", "b", "c", "d"])
+                    own, cells = np.unique(words[a:b], return_counts=True)
+                    rows.append((p, batch_id, CELLS, planes(own, WORD_BYTES), packed(cells),
+                                 planes(before[a:b], CONTEXT_BYTES), packed(train[a:b]),
+                                 None, None, None))
+            return _batch(rows, BLOCKS)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -272,162 +324,91 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, BLOCKS)
 
 
-PIECES = (
-    "kind int, batch long, part long, piece long, a binary, b binary, c binary, d binary, e binary"
-)
-PIECE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 5
-PIECE_NAMES = ["kind", "batch", "part", "piece", "a", "b", "c", "d", "e"]
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [[]] * len(PIECE_NAMES)
-    return pa.Table.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, PIECE_TYPES)], names=PIECE_NAMES)
-
-
-def pieces(blocks: DataFrame) -> DataFrame:
-    """Blocks brought together by part and cut into pieces of about ``PIECE_TOKENS`` tokens.
+def gathered(blocks: DataFrame) -> DataFrame:
+    """The cells of each part, added up over blocks, as one row; rows DOCS pass through.
 
-    A piece holds all tokens of its words: (a) tokens per word, (b) contexts, (c) documents' numbers
-    in their blocks, (d) places in (e), the list of blocks. Rows about documents and hot words pass
-    through. A word too frequent for a piece is hot, so pieces are bounded.
+    (a) words, (b) cells per word, (c) contexts, (d) training tokens per cell; (e) blocks, (f) cells
+    of each and (g) steps between the places of a block's cells among the part's.
     """
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [(r["kind"], r["batch"], r["part"], 0, r["a"], r["b"], r["c"], r["d"], None)
-               for r in rows if r["kind"] != WORDS]
-        rows = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["batch"])
-        if not rows:
-            return _table(out)
-        words = np.concatenate([np.repeat(
-            np.frombuffer(r["a"], dtype=np.uint64), np.frombuffer(r["b"], dtype=np.uint32))
-            for r in rows])
-        before = np.concatenate([np.frombuffer(r["c"], dtype=np.uint16) for r in rows])
-        doc = np.concatenate([np.frombuffer(r["d"], dtype=np.uint16) for r in rows])
-        batches = np.array([r["batch"] for r in rows], dtype=np.int64)
-        kind = np.uint16 if len(batches) < 65_536 else np.uint32
-        place = np.repeat(np.arange(len(rows), dtype=kind), [len(r["c"]) // 2 for r in rows])
-        order = np.argsort(words, kind="stable")
-        words, before, doc, place = words[order], before[order], doc[order], place[order]
-        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [len(words)]]))
-        piece = starts // PIECE_TOKENS
-        for n, p in enumerate(np.unique(piece)):
-            own = np.flatnonzero(piece == p)
-            a, b = starts[own[0]], starts[own[-1]] + lengths[own[-1]]
-            used, local = np.unique(place[a:b], return_inverse=True)
-            out.append((WORDS, 0, rows[0]["part"], n, lengths[own].astype(np.uint32).tobytes(),
-                        before[a:b].tobytes(), doc[a:b].tobytes(),
-                        local.astype(kind).tobytes(), batches[used].tobytes()))
-        return _table(out)
-
-    return blocks.groupBy("part").applyInArrow(gather, PIECES)
-
-
-class Piece:
-    """A piece's tokens and the cells of its training tokens."""
-
-    def __init__(self, row: dict):
-        lengths = np.frombuffer(row["a"], dtype=np.uint32)
-        before = np.frombuffer(row["b"], dtype=np.uint16)
-        self.doc = np.frombuffer(row["c"], dtype=np.uint16)
-        self.batches = np.frombuffer(row["e"], dtype=np.int64)
-        self.place = np.frombuffer(row["d"], dtype=np.uint16 if len(row["d"]) == 2 * len(self.doc)
-                                   else np.uint32)
-        word = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-        self.key = (word << CLASS_BITS) | (before & np.uint16(CLASSES - 1))
-        self.train = before < HELD
-        keys, count = np.unique(self.key[self.train], return_counts=True)
-        self.keys = keys
-        self.cells = Cells(keys >> CLASS_BITS, keys & (CLASSES - 1), count, len(lengths))
-        self.rng = np.random.default_rng([7, abs(row["part"]), row["piece"]])
-
-
-def _fitted(cells: Cells, totals: Totals | None, parts_share: float, n_words: int, sweeps: int,
-            rng: np.random.Generator) -> None:
-    """Sweeps under given totals; without any, totals are scaled up from these cells alone."""
-    for _ in range(sweeps):
-        own = totals
-        if own is None:
-            if cells.weight is None:
-                cells.root_tables = np.minimum(cells.served(), 1.0)
-            own = totals_from(cells.sums() * parts_share, n_words)
-        cells.sweep(own, rng)
-
-
-def seating_sums(rows: DataFrame, totals, n_tokens: int, n_words: int, sweeps: int) -> np.ndarray:
-    """A round over all pieces: the sum of their contributions (a vector of bounded length)."""
-    shared = rows.sparkSession.sparkContext.broadcast(totals)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CLASSES + 7)
+        out = [(r["part"], r["batch"], DOCS, *(r[c] for c in COLUMNS))
+               for r in rows if r["kind"] == DOCS]
+        number = rows[0]["part"]
+        rows = sorted((r for r in rows if r["kind"] == CELLS), key=lambda r: r["batch"])
+        if rows:
+            length = np.array([len(r["c"]) // CONTEXT_BYTES for r in rows], dtype=np.int64)
+            words = np.concatenate([np.repeat(
+                hashes(r["a"], WORD_BYTES), unpacked(r["b"], len(r["a"]) // WORD_BYTES))
+                for r in rows])
+            before = np.concatenate([hashes(r["c"], CONTEXT_BYTES) for r in rows])
+            train = np.concatenate([unpacked(r["d"], n) for r, n in zip(rows, length)])
+            batches = np.array([r["batch"] for r in rows], dtype=np.int64)
+            del rows
+            order = np.lexsort((before, words))
+            words, before = words[order], before[order]
+            new = np.concatenate([[True], (words[1:] != words[:-1]) | (before[1:] != before[:-1])])
+            starts = np.flatnonzero(new)
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.cumsum(new) - 1
+            step = np.diff(place, prepend=0)
+            firsts = np.cumsum(length) - length
+            step[firsts] = place[firsts]
+            own, cells = np.unique(words[starts], return_counts=True)
+            out.append((number, 0, CELLS, planes(own, WORD_BYTES), packed(cells),
+                        planes(before[starts], CONTEXT_BYTES),
+                        packed(np.add.reduceat(train[order], starts)),
+                        batches.tobytes(), length.tobytes(), packed(step)))
+        return pa.Table.from_batches([_batch(out, BLOCKS)])
+
+    return blocks.groupBy("part").applyInArrow(gather, BLOCKS)
+
+
+def first_sums(cells: DataFrame, places: int) -> DataFrame:
+    """What parts send when each cell has one table."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                piece = Piece(batch.slice(i, 1).to_pylist()[0])
-                share = n_tokens / max(1.0, piece.cells.count.sum())
-                _fitted(piece.cells, shared.value, share, n_words, sweeps, piece.rng)
-                total += piece.cells.sums()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
-
-    out = rows.filter(F.col("kind") == WORDS).mapInArrow(fit, "i long, x double")
-    got = out.groupBy("i").agg(F.sum(F.col("x").cast("decimal(30,4)")).alias("x")).collect()
-    total = np.zeros(2 * CLASSES + 7)  # one row per entry, whatever the corpus
-    for r in got:
-        total[r["i"]] = float(r["x"])
-    return total
-
-
-def hot_cells(rows: DataFrame, n_hot: int) -> Cells:
-    """The cells of hot words, at most ``HOT * CLASSES`` of them, summed in Spark."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_hot * CLASSES, dtype=np.int64)
-        for batch in batches:
-            for a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word, before = np.frombuffer(a, dtype=np.uint16), np.frombuffer(c, dtype=np.uint16)
-                train = before < HELD
-                total += np.bincount(word[train].astype(np.int64) * CLASSES + before[train],
-                                     minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
-
-    sums = rows.filter(F.col("kind") == HOT_TOKENS).select("a", "c").mapInArrow(
-        count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
-    key = np.array([r["i"] for r in sums], dtype=np.int64)
-    n = np.array([r["n"] for r in sums], dtype=np.int64)
-    return Cells(key // CLASSES, key % CLASSES, n, n_hot)
-
-
-def averaged(cells: Cells, totals: Totals, sweeps: int, burn: int, rng: np.random.Generator
-             ) -> tuple[np.ndarray, np.ndarray]:
-    """Averages over the sweeps after ``burn``: each cell's own part of the probability of its word
-    in its context, and each word's probability in the parent."""
-    own = np.zeros(len(cells.word))
-    parent = np.zeros(cells.n)
-    for step in range(burn + sweeps):
-        cells.sweep(totals, rng)
-        if step >= burn:
-            own += np.maximum(cells.count - totals.discount * cells.tables, 0.0)
-            parent += totals.parent(cells.served(), cells.root_tables)
-    own /= sweeps * (THETA + totals.customers[cells.context])
-    return own, parent / sweeps
-
-
-def _sums_by_document(doc, place, batches, score, base, known):
-    """Rows (batch, documents, sums of scores and bases, documents with unknown words, how many).
-
-    Sums of scores are short floats, their error is far below that of the sampling.
-    """
-    for n, batch in enumerate(batches):
-        at = place == n
-        own, inverse = np.unique(doc[at], return_inverse=True)
-        lost, often = np.unique(doc[at & ~known], return_counts=True)
-        yield (int(batch), own.tobytes(),
-               np.bincount(inverse, weights=score[at]).astype(np.float32).tobytes(),
-               np.bincount(inverse, weights=base[at]).tobytes(),
-               lost.tobytes(), often.astype(np.uint32).tobytes())
+                yield _batch(list(Part(batch.slice(i, 1).to_pylist()[0], 0).sums(places)), SUMS)
+
+    return cells.mapInArrow(send, SUMS)
+
+
+def met(sums: DataFrame, parent: Parent, step: int) -> DataFrame:
+    """Replies of the places, and rows PARENT that add up to the parent's totals."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        out = []
+        for kind, width in ((WORD, WORD_BYTES), (CONTEXT, CONTEXT_BYTES)):
+            own = [r for r in rows if r["kind"] == kind]
+            if not own:
+                continue
+            length = [len(r["a"]) // width for r in own]
+            keys = np.concatenate([hashes(r["a"], width) for r in own])
+            tables = np.concatenate([unpacked(r["c"], n) for r, n in zip(own, length)])
+            _, at = np.unique(keys, return_inverse=True)
+            customers = np.bincount(at, weights=np.concatenate(
+                [unpacked(r["b"], n) for r, n in zip(own, length)]))
+            total = np.bincount(at, weights=tables)
+            if kind == WORD:
+                served = total[total > 0]
+                seated, _ = seat(served, np.full(len(served), parent.mass), parent.discount,
+                                 np.random.default_rng([11, own[0]["place"], step]))
+                out.append((-1, own[0]["place"], PARENT, None, None, float(served.sum()),
+                            float(seated.sum()), float((served == 1).sum()),
+                            float((served == 2).sum())))
+            others = total[at] - tables
+            end = 0
+            for r, n in zip(own, length):
+                a, end = end, end + n
+                out.append((r["part"], r["place"], kind, packed(customers[at[a:end]]),
+                            packed(others[a:end]), None, None, None, None))
+        return pa.Table.from_batches([_batch(out, REPLIES)])
+
+    return sums.groupBy("place").applyInArrow(meet, REPLIES)
 
 
 def score_documents(
@@ -439,90 +420,99 @@ def score_documents(
     id too. NULL and empty texts are their end alone. Repeated rows are scored (and counted) each.
     Words are known by a 64-bit hash. An empty table gives no rows.
     """
-    spark = documents.sparkSession
     counts = stored(word_counts(documents))
     size = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens, n_words = size["n"] or 0, size["v"]
-    hot_rows = counts.filter(F.col("n") * HOT > n_tokens).collect()  # fewer than HOT by definition
-    hot_rows.sort(key=lambda r: r["word"] % 2 ** 64)
-    hot = np.array([r["word"] % 2 ** 64 for r in hot_rows], dtype=np.uint64)
-    hot_counts = np.array([r["n"] for r in hot_rows], dtype=float)
     parts = max(24, -(-n_tokens // PART_TOKENS))
-    rows = stored(pieces(token_blocks(documents, hot, parts)))
-
-    frequent = hot_cells(rows, len(hot))
-    rng = np.random.default_rng(7)
-    totals = None
-    for _ in range(rounds + 1):
-        sums = seating_sums(rows, totals, n_tokens, n_words, 2)
-        _fitted(frequent, totals, n_tokens / max(1.0, frequent.count.sum()), n_words, 2, rng)
-        totals = totals_from(sums + frequent.sums(), n_words)
-    own, parent = averaged(frequent, totals, sweeps, burn, rng)
-    escape = totals.escape()
-    grid = escape[None, :] * parent[:, None]
-    grid[frequent.word, frequent.context] += own
-    base_of = np.log10((hot_counts + 1) / (n_tokens + n_words + 1))
-    shared = spark.sparkContext.broadcast((totals, np.log10(np.maximum(grid, 1e-300)), base_of))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, hot_logs, hot_base = shared.value
-        escape = totals.escape()
+    places = max(24, parts // 4)
+    rows = stored(gathered(token_blocks(documents, parts)))
+    cells = rows.filter(F.col("kind") == CELLS)
+
+    def once_or_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if row["kind"] == HOT_TOKENS:
-                    word = np.frombuffer(row["a"], dtype=np.uint16)
-                    context = np.frombuffer(row["c"], dtype=np.uint16) & np.uint16(CLASSES - 1)
-                    doc = np.frombuffer(row["d"], dtype=np.uint16)
-                    out = _sums_by_document(
-                        doc, np.zeros(len(doc), dtype=np.uint16), [row["batch"]],
-                        hot_logs[word, context], hot_base[word], np.ones(len(doc), dtype=bool))
-                else:
-                    piece = Piece(row)
-                    cells = piece.cells
-                    own, parent = averaged(cells, totals, sweeps, burn, piece.rng)
-                    count = np.bincount(cells.word, weights=cells.count, minlength=cells.n)
-                    word = piece.key >> CLASS_BITS
-                    p = escape[piece.key & (CLASSES - 1)] * parent[word]
-                    if len(piece.keys):
-                        at = np.searchsorted(piece.keys, piece.key)
-                        at[at == len(piece.keys)] = 0
-                        p += np.where(piece.keys[at] == piece.key, own[at], 0.0)
-                    base = np.log10((count + 1) / (n_tokens + n_words + 1))
-                    out = _sums_by_document(piece.doc, piece.place, piece.batches, np.log10(p),
-                                            base[word], count[word] > 0)
-                columns = list(zip(*out))
-                types = [pa.int64()] + [pa.binary()] * 5
+            for c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = unpacked(d, len(c) // CONTEXT_BYTES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
-                    names=["batch", "a", "b", "c", "d", "e"])
-
-    partial = rows.filter(F.col("kind") != DOCS).select(
-        "kind", "batch", "part", "piece", "a", "b", "c", "d", "e").mapInArrow(
-        score, "batch long, a binary, b binary, c binary, d binary, e binary")
-    heads = rows.filter(F.col("kind") == DOCS).select("batch", "a", "b", "c", "d", "e")
-    both = heads.withColumn("head", F.lit(True)).unionByName(
-        partial.withColumn("head", F.lit(False)))
+                    [pa.array([int((n == k).sum())], pa.int64()) for k in (1, 2)],
+                    names=["ones", "twos"])
+
+    few = cells.select("c", "d").mapInArrow(once_or_twice, "ones long, twos long").agg(
+        F.sum("ones"), F.sum("twos")).first()
+    discount = _discount(few[0] or 0, few[1] or 0)
+
+    own = cells.select("part", "a", "b", "c", "d")
+    parent = Parent(n_words, n_words, n_words, 0, 0)
+
+    def exchanged(sums: DataFrame, step: int) -> tuple[DataFrame, Parent]:
+        replies = stored(met(sums, parent, step))
+        total = replies.filter(F.col("kind") == PARENT).agg(
+            *(F.sum(c) for c in ("customers", "tables", "ones", "twos"))).first()
+        return (replies.filter(F.col("kind") != PARENT).select("part", "place", "kind", "a", "b"),
+                Parent(n_words, *(x or 0.0 for x in total)))
+
+    def round_of(parent: Parent, step: int):
+        def seat_part(cells: pa.Table, replies: pa.Table) -> pa.Table:
+            out = []
+            for row in cells.to_pylist():
+                part = Part(row, step)
+                part.listen(replies.to_pylist(), places)
+                for _ in range(2):
+                    part.sweep(parent, discount)
+                out += part.sums(places)
+            return pa.Table.from_batches([_batch(out, SUMS)])
+
+        return seat_part
+
+    replies, parent = exchanged(first_sums(own, places), 0)
+    for step in range(1, rounds + 2):
+        sums = own.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(
+            round_of(parent, step), SUMS)
+        replies, parent = exchanged(sums, step)
+
+    def score(cells: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for row in cells.to_pylist():
+            part = Part(row, rounds + 2)
+            part.listen(replies.to_pylist(), places)
+            logs = np.log10(part.averaged(parent, discount, sweeps, burn)).astype(np.float32)
+            length = np.frombuffer(row["f"], dtype=np.int64)
+            step = unpacked(row["g"], int(length.sum()))
+            end = 0
+            for batch, n in zip(np.frombuffer(row["e"], dtype=np.int64), length):
+                a, end = end, end + n
+                at = np.cumsum(step[a:end])
+                word, run = np.unique(part.word[at], return_counts=True)
+                out.append((int(batch), row["part"], logs[at].tobytes(), packed(run),
+                            packed(part.word_count[word]), len(word)))
+        return pa.Table.from_batches([_batch(out, PROBABILITIES)])
+
+    probabilities = cells.select("part", *COLUMNS).groupBy("part").cogroup(
+        replies.groupBy("part")).applyInArrow(score, PROBABILITIES)
+    heads = rows.filter(F.col("kind") == DOCS).select(
+        "batch", F.lit(-1).cast("long").alias("part"), *COLUMNS[:6])
+    both = heads.unionByName(probabilities, allowMissingColumns=True)
 
     def summed(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["head"])
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        head, rows = rows[0], rows[1:]
         ids = np.frombuffer(head["a"], dtype=np.int64)
-        score, base = np.zeros(len(ids)), np.zeros(len(ids))
-        tokens = np.frombuffer(head["b"], dtype=np.int64)
-        known = tokens.copy()
-        for r in rows:
-            if not r["head"]:
-                at = np.frombuffer(r["a"], dtype=np.uint16)
-                score[at] += np.frombuffer(r["b"], dtype=np.float32)
-                base[at] += np.frombuffer(r["c"], dtype=float)
-                known[np.frombuffer(r["d"], dtype=np.uint16)] -= np.frombuffer(
-                    r["e"], dtype=np.uint32)
+        doc = np.frombuffer(head["f"], dtype=np.uint16)
+        score = np.concatenate([np.frombuffer(r["a"], dtype=np.float32) for r in rows])
+        count = np.concatenate([np.repeat(unpacked(r["c"], r["words"]),
+                                          unpacked(r["b"], r["words"])) for r in rows])
+        often = unpacked(head["e"], len(score))
+
+        def total(values):
+            return np.bincount(doc, weights=np.repeat(values, often), minlength=len(ids))
+
         return pa.Table.from_arrays([
             pa.array(ids, mask=np.frombuffer(head["d"], dtype=bool)),
             pa.array(np.frombuffer(head["c"], dtype=bool)),
-            pa.array(tokens), pa.array(known),
-            pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(score),
+            pa.array(np.frombuffer(head["b"], dtype=np.int64)),
+            pa.array(total(count > 0).astype(np.int64)),
+            pa.array(np.full(len(ids), n_tokens)),
+            pa.array(total(np.log10((count + 1) / (n_tokens + n_words + 1)))),
+            pa.array(total(score)),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                   "score"])
 
