@@ -8,7 +8,9 @@ restaurant process: the first customer of a dish opens a table and sends a custo
 each further one opens another with probability a / (a + k - d t), with a = (theta + d T) *
 P(dish in the parent), k customers and t tables of the dish so far, T tables in the restaurant.
 
-All cells (context, word) of a word are in one part; parts are ranges of the word's hash. What a part needs of the others, the
+A cell (context, word) and all its tokens' counts are in one part. Parts are ranges of the word's
+hash; the cells of a word with more than 1/``HOT_SHARE`` of a part's tokens are dealt by the hash of
+the pair, so that no part depends on how frequent a word is. What a part needs of the others, the
 customers and tables of its words and contexts, it gets once per round: parts send their sums to
 places (ranges of the key's hash), and a place sends back what the other parts hold. No table of
 words or contexts is held or broadcast whole. In a part, Gibbs sweeps take out all customers of a
@@ -32,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import HashedWords, stored
+from hindcast.llm.common import HashedWords, mixed, stored
 
+HOT_SHARE = 8
 PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 1_800_000, 60_000
 WORD_BYTES, CONTEXT_BYTES = 8, 6
 THETA = 1.0
@@ -89,6 +92,17 @@ def ranges(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
+def parts_of(words: np.ndarray, before: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each cell: by its word, by word and context where the word is hot."""
+    part = ranges(words, parts)
+    if len(hot):
+        place = np.searchsorted(hot, words)
+        place[place == len(hot)] = 0
+        at = np.flatnonzero(hot[place] == words)
+        part[at] = ranges(mixed(mixed(words[at]) ^ before[at]), parts)
+    return part
+
+
 def tokens_of(text: str | None, hashed: HashedWords) -> np.ndarray:
     """Hashes of the words, A-Z in lower case, and of the end."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -262,7 +276,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def token_blocks(documents: DataFrame, parts: int) -> DataFrame:
+def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
     """Blocks of documents, their cells dealt to parts.
 
     Row DOCS: (a) ids, (b) lengths, (c) held out or not, (d) NULL ids, and, in the order of part,
@@ -286,7 +300,7 @@ def token_blocks(documents: DataFrame, parts: int) -> DataFrame:
             before = np.empty(len(words), dtype=np.uint64)
             before[1:] = context_of(words[:-1])
             before[np.cumsum(length) - length] = first
-            part = ranges(words, parts)
+            part = parts_of(words, before, hot, parts)
             order = np.lexsort((before, words, part))
             words, before, part = words[order], before[order], part[order]
             doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)[order]
@@ -328,7 +342,8 @@ def gathered(blocks: DataFrame) -> DataFrame:
     """The cells of each part, added up over blocks, as one row; rows DOCS pass through.
 
     (a) words, (b) cells per word, (c) contexts, (d) training tokens per cell; (e) blocks, (f) cells
-    of each and (g) steps between the places of a block's cells among the part's.
+    of each and (g) steps between the places of a block's cells among the part's. A block has a cell
+    once, so a part is bounded by its share of the blocks' cells however frequent a word is.
     """
 
     def gather(table: pa.Table) -> pa.Table:
@@ -425,7 +440,10 @@ def score_documents(
     n_tokens, n_words = size["n"] or 0, size["v"]
     parts = max(24, -(-n_tokens // PART_TOKENS))
     places = max(24, parts // 4)
-    rows = stored(gathered(token_blocks(documents, parts)))
+    # Fewer than HOT_SHARE per part by definition.
+    often = counts.filter(F.col("n") * HOT_SHARE > PART_TOKENS).select("word").collect()
+    hot = np.array(sorted(r["word"] % 2 ** 64 for r in often), dtype=np.uint64)
+    rows = stored(gathered(token_blocks(documents, hot, parts)))
     cells = rows.filter(F.col("kind") == CELLS)
 
     def once_or_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
