@@ -26,15 +26,22 @@ RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr nobr".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset input "
-                    "figcaption".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|"
-    r"sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|"
-    r"footer|masthead|cookie|cookies|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|"
-    r"signup|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|"
-    r"discussion|reply|replies|respond|widget|toolbar|pagination|pager|login|search|alert|"
-    r"toc|skip|copyright|legal|disclaimer)(?:$|[\s_-])", re.IGNORECASE)
+DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset "
+                    "input".split())
+# Words of class names and ids that mark what is not main text, words that go with them without
+# meaning anything, and words that make a name a flag of the layout around it.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo nav navbar "
+    "navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice "
+    "notices popup modal newsletter subscribe signup share sharing social related recommended comment "
+    "comments commentlist disqus discussion reply replies respond widget toolbar pagination pager login "
+    "search alert toc skip copyright legal disclaimer".split())
+PLAIN = frozenset(
+    "area bar block bottom box button buttons center col column container content form group icon icons "
+    "inner item items label left link links list main module outer overlay panel posts right row section "
+    "slot thread title to top unit wrap wrapper".split())
+FLAGS = frozenset("has no with without".split())
+STRONG, WEAK = 0.95, 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert "
                   "alertdialog menu menubar".split())
 TOKEN = re.compile(
@@ -67,6 +74,26 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def marked(tag: str, attributes: dict[str, str]) -> tuple[bool, str] | None:
+    """Whether the class or id of an element says that it is not main text: (surely, its name).
+
+    Surely where one name says nothing else (``comment-list``); not surely where other words go with
+    the mark (``legal-news``). Names like ``has-sidebar`` are flags of the layout.
+    """
+    if tag in ("body", "html", "main", "article"):
+        return None
+    found = []
+    for key in ("class", "id"):
+        for name in attributes.get(key, "").lower().replace("side-bar", "sidebar").split():
+            words = [w for w in re.split(r"[-_\d]+", name) if w]
+            if MARKS.intersection(words) and words[0] not in FLAGS:
+                found.append(all(w in MARKS or w in PLAIN for w in words))
+    if not found:
+        return None
+    name = re.sub(r"\d+", "0", attributes.get("id", ""))
+    return any(found), f"{generalised(tag, attributes)}#{name}"
+
+
 def dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element and all in it is not main text."""
     if tag in DROPPED and not (tag == "header" and in_article):
@@ -79,22 +106,45 @@ def dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    return any(MARKED.search(attributes[k]) for k in ("class", "id") if attributes.get(k))
+    if tag != "a":
+        return False
+    mark = marked(tag, attributes)
+    return mark is not None and mark[0]
 
 
 class Block:
-    """A piece of text between block boundaries: path of its elements, text, text inside links."""
+    """A piece of text between block boundaries: path of its elements, text, text inside links, marks
+    of its elements."""
 
-    __slots__ = ("path", "text", "linked", "tag")
+    __slots__ = ("path", "text", "linked", "tag", "marks")
 
-    def __init__(self, path, text, linked, tag):
-        self.path, self.text, self.linked, self.tag = path, text, linked, tag
+    def __init__(self, path, text, linked, tag, marks):
+        self.path, self.text, self.linked, self.tag, self.marks = path, text, linked, tag, marks
+
+
+def without_marked(blocks: list[Block]) -> list[Block]:
+    """Blocks without those in marked elements, unless these hold the page's text.
+
+    Elements of one name count together. They stay when they hold more than ``STRONG`` of the text
+    outside links, or, where the mark is not sure, more than ``WEAK`` of what is left then.
+    """
+    for sure, least in ((True, STRONG), (False, WEAK)):
+        held: dict[tuple[bool, str], int] = defaultdict(int)
+        total = 0
+        for block in blocks:
+            total += len(block.text) - block.linked
+            for mark in block.marks:
+                held[mark] += len(block.text) - block.linked
+        gone = {mark for mark, n in held.items() if mark[0] == sure and n <= least * total}
+        if gone:
+            blocks = [b for b in blocks if gone.isdisjoint(b.marks)]
+    return blocks
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, without dropped elements, scripts and markup."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, generalised name
+    stack: list[tuple[str, str, tuple[bool, str] | None]] = []  # tag, generalised name, mark
     path: tuple[str, ...] = ()
     gone = 0  # depth from which on everything is dropped; 0: nothing
     parts: list[str] = []
@@ -107,17 +157,18 @@ def blocks_of(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 out.append(Block(path, text, min(linked, len(text)),
-                                 stack[-1][0] if stack else ""))
+                                 stack[-1][0] if stack else "",
+                                 frozenset(mark for _, _, mark in stack if mark)))
             parts.clear()
         linked = 0
 
     def close(depth: int):
         nonlocal path, gone, links
         flush()
-        for tag, _ in stack[depth:]:
+        for tag, _, _ in stack[depth:]:
             links -= tag == "a"
         del stack[depth:]
-        path = tuple(name for tag, name in stack if tag not in INLINE)
+        path = tuple(name for tag, name, _ in stack if tag not in INLINE)
         if gone > depth:
             gone = 0
 
@@ -180,14 +231,15 @@ def blocks_of(page: str) -> list[Block]:
         attributes = _attributes(m.group(3)) if m.group(3).strip() else {}
         if tag not in INLINE:
             flush()
-        stack.append((tag, generalised(tag, attributes)))
+        mark = marked(tag, attributes) if attributes and tag not in INLINE else None
+        stack.append((tag, generalised(tag, attributes), mark))
         links += tag == "a"
         if tag not in INLINE:
             path = (*path, stack[-1][1])
-        if not gone and dropped(tag, attributes, any(t in ("article", "main") for t, _ in stack[:-1])):
+        if not gone and dropped(tag, attributes, any(t in ("article", "main") for t, _, _ in stack[:-1])):
             gone = len(stack)
     flush()
-    return out
+    return without_marked(out)
 
 
 def best_path(blocks: list[Block]) -> tuple[str, float]:
