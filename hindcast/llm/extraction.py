@@ -2,8 +2,9 @@
 
 Each page is cut into blocks of text with their tag paths. A path names every open element by tag
 and classes with digits and long tokens generalised. A page votes for the container path that
-scores best by its text, links and paragraphs; votes are summed per host in Spark, and the page is
-extracted again with the path its host has chosen, or with its own best where it lacks that path.
+scores best by its text, links and paragraphs; votes are summed per host in Spark. The host's path is
+widened while its parent adds text that is not mostly links, and the page is extracted again with
+it, or with its own best path, widened likewise, where the host's covers little of the page.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ PLAIN = frozenset(
     "slot thread title to top unit wrap wrapper".split())
 FLAGS = frozenset("has no with without".split())
 STRONG, WEAK = 0.95, 0.5
+LINKED, COVERED = 0.25, 0.1
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert "
                   "alertdialog menu menubar".split())
 TOKEN = re.compile(
@@ -267,6 +269,57 @@ def best_path(blocks: list[Block]) -> tuple[str, float]:
     return (" ".join(path), score) if score > 0 else ("", 0.0)
 
 
+def beside(blocks: list[Block], path: str) -> dict[int, tuple[int, int]]:
+    """Per level above ``path``: text outside and inside links that it adds to the level below."""
+    wanted = tuple(path.split(" "))
+    out: dict[int, tuple[int, int]] = {}
+    for block in blocks:
+        depth = 0
+        for own, name in zip(block.path, wanted):
+            if own != name:
+                break
+            depth += 1
+        if depth < len(wanted):
+            plain, linked = out.get(len(wanted) - depth, (0, 0))
+            out[len(wanted) - depth] = (
+                plain + len(block.text) - block.linked, linked + block.linked)
+    return out
+
+
+def widened(path: str, added: dict[int, tuple[int, int]]) -> str:
+    """The path, cut while the level above adds text of which at most ``LINKED`` is in links.
+
+    Not beyond an article or main element. Empty: all blocks of a page.
+    """
+    names = path.split(" ")
+    keep = len(names)
+    for up in range(1, len(names) + 1):
+        if names[len(names) - up].split(".")[0] in ("article", "main"):
+            break
+        plain, linked = added.get(up, (0, 0))
+        if linked > LINKED * (plain + linked):
+            break
+        if plain:
+            keep = len(names) - up
+    return " ".join(names[:keep])
+
+
+def main_path(blocks: list[Block], hosts: str | None) -> str:
+    """The path to read a page with, given that of its host."""
+    own, _ = best_path(blocks)
+    if own:
+        own = widened(own, beside(blocks, own))
+    if hosts is None:
+        return own
+    covered = plain_under(blocks, hosts)
+    return hosts if covered and covered >= COVERED * plain_under(blocks, own) else own
+
+
+def plain_under(blocks: list[Block], path: str) -> int:
+    wanted = tuple(path.split(" ")) if path else ()
+    return sum(len(b.text) - b.linked for b in blocks if b.path[:len(wanted)] == wanted)
+
+
 def text_under(blocks: list[Block], path: str) -> str:
     wanted = tuple(path.split(" ")) if path else ()
     return " ".join(b.text for b in blocks if b.path[:len(wanted)] == wanted)
@@ -279,37 +332,57 @@ def host(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """Per host: the container path with the most votes.
+    """Per host: the container path with the most votes, widened.
 
-    A page's vote weighs the square root of its score. Votes are added up inside each batch before
-    they are shuffled, so a host with most of the pages costs one row per path and batch. Ties go
-    to the path that sorts first.
+    A page's vote weighs the square root of its score. Votes, and what the levels above the path add
+    on the pages that vote for it, are summed inside each batch before they are shuffled, so a host
+    with most of the pages costs one row per path, level and batch. Ties go to the path that sorts
+    first. The path is empty where it is widened to the whole page.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = defaultdict(float)
+            votes: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                path, score = best_path(blocks_of(page.as_py() or ""))
+                blocks = blocks_of(page.as_py() or "")
+                path, score = best_path(blocks)
                 if path:
-                    votes[name, path] += round(score ** 0.5)
+                    votes[name, path, 0][0] += round(score ** 0.5)
+                    for up, (plain, linked) in beside(blocks, path).items():
+                        own = votes[name, path, up]
+                        own[1] += plain
+                        own[2] += linked
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in votes], pa.string()),
                  pa.array([k[1] for k in votes], pa.string()),
-                 pa.array(list(votes.values()), pa.float64())], names=["host", "path", "votes"])
+                 pa.array([k[2] for k in votes], pa.int32()),
+                 *(pa.array([v[i] for v in votes.values()], pa.int64()) for i in range(3))],
+                names=["host", "path", "up", "votes", "plain", "linked"])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [widened(r["path"], {x["up"]: (x["plain"], x["linked"]) for x in r["added"]})
+                     for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
     votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(
-        vote, "host string, path string, votes double")
-    sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return sums.groupBy("host").agg(
-        F.min_by("path", F.struct((-F.col("votes")).alias("v"), "path")).alias("path"))
+        vote, "host string, path string, up int, votes long, plain long, linked long")
+    names = ("votes", "plain", "linked")
+    levels = votes.groupBy("host", "path", "up").agg(*(F.sum(c).alias(c) for c in names))
+    sums = levels.groupBy("host", "path").agg(
+        F.sum("votes").alias("votes"), F.collect_list(F.struct("up", "plain", "linked")).alias("added"))
+    chosen = sums.groupBy("host").agg(F.min_by(
+        F.struct("path", "added"), F.struct((-F.col("votes")).alias("v"), "path")).alias("best"))
+    return chosen.mapInArrow(widen, "host string, path string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars, the path used.
 
-    NULL html is an empty page: empty text. A page without any block under its host's path is read
-    with its own best path, and with all its blocks when it has none. Pages without a host vote
+    NULL html is an empty page: empty text. A page that has under its host's path less than
+    ``COVERED`` of the text outside links that its own best path holds, or none, is read with its
+    own, and with all its blocks when it has none. Pages without a host vote
     together under the empty name. Repeated rows give repeated rows.
     """
     chosen = stored(host_paths(pages))
@@ -323,12 +396,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts, used = [], []
             for page, path in zip(batch.column(2), batch.column(3).to_pylist()):
                 blocks = blocks_of(page.as_py() or "")
-                text = text_under(blocks, path) if path else ""
-                if not text:
-                    path, _ = best_path(blocks)
-                    text = text_under(blocks, path)
-                texts.append(text)
-                used.append(path or "")
+                used.append(main_path(blocks, path))
+                texts.append(text_under(blocks, used[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())],

@@ -33,3 +33,43 @@ def test_inline_marks_and_captions_are_text():
     page = ("<html><body><div><p>Type a <span class='search term'>word</span> here.</p>"
             "<figure><img><figcaption>A caption</figcaption></figure></div></body></html>")
     assert text_of(page) == "Type a word here. A caption"
+
+
+TEMPLATE = ("<html><body><nav><a href=/>Home</a></nav><div class=page><h1>Title</h1>"
+            "<div class=lead><p>What it is about.</div><div class=text><p>{}</div>"
+            "<div class=links><a href=1>Other story</a> <a href=2>And another one</a></div></div>"
+            "<div class=list><a href=3>An index of all stories of this site</a></div></body></html>")
+
+
+def test_text_beside_the_main_block_is_kept(spark):
+    rows = [(n, f"http://a.org/{n}", TEMPLATE.format(LONG).replace(
+        "<div class=links>", "<div class=second><p>Afterword.</div><div class=links>"
+    ).replace("<div class=links><a href=1>Other story</a> <a href=2>And another one</a></div>", ""))
+        for n in range(4)]
+    # Another template with a caption under the host's path.
+    other = ("<html><body><div class=page><div class=text><p>Seen.</div></div>"
+             f"<section><p>{LONG}</p><p>{LONG}</p></section></body></html>")
+    rows.append((9, "http://a.org/9", other))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in extraction.extract(df).collect()}
+    for n in range(4):
+        assert got[n]["text"] == f"Title What it is about. {LONG.strip()} Afterword."
+        assert got[n]["path"] == "html body div.page"
+    assert LONG.strip() in got[9]["text"]
+
+
+def test_a_level_of_links_ends_the_widening():
+    page = TEMPLATE.replace("<h1>Title</h1><div class=lead><p>What it is about.</div>", "")
+    blocks = extraction.blocks_of(page.format(LONG))
+    path, _ = extraction.best_path(blocks)
+    assert extraction.main_path(blocks, None) == path == "html body div.page div.text"
+    blocks = extraction.blocks_of("<h1>Title</h1><div>" + LONG + "</div>")
+    assert extraction.text_under(blocks, extraction.main_path(blocks, None)).startswith("Title")
+
+
+def test_a_caption_under_the_hosts_path_does_not_replace_the_article():
+    page = ("<html><body><div class=page><div class=text><p>Seen.</div></div>"
+            f"<section><p>{LONG}</p><p>{LONG}</p></section></body></html>")
+    blocks = extraction.blocks_of(page)
+    path = extraction.main_path(blocks, "html body div.page div.text")
+    assert LONG.strip() in extraction.text_under(blocks, path)
