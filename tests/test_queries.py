@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from workloads.compare import compare
+from workloads.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Fits are covered by test_models; running them here would only repeat the training.
 FITS = {"coverage_models", "tweedie_model", "classifier", "huber_model", "cv_grid",
         "feature_ranking", "ablation_runs"}
