@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import (
-    chat, decontamination, extraction, hpylm, jaccard, mixing, quality_rules, substrings,
-    token_files, toxicity,
+    chat, decontamination, extraction, hpylm, importance, jaccard, mixing, oracles, quality_rules,
+    substrings, token_files, toxicity,
 )
 from hindcast.llm.common import ship_package, stored, table
 from hindcast.operators.reliable import scratch_folder
@@ -166,3 +166,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op12_importance_resampling", oracles.IMPORTANCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
