@@ -51,3 +51,37 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END::BIGINT AS rank
 FROM numbered
 """
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+    FROM documents) WHERE len(run) >= 7 GROUP BY ALL),
+words AS (SELECT *, doc_id || ':' || run AS word FROM runs), {_CRC},
+counted AS (
+  SELECT CASE WHEN crc % 31 = 0
+    THEN substr(run, 1, (crc % len(run))::INT) || substr(run, (crc % len(run))::INT + 2)
+    ELSE run END AS w, sum(n)::BIGINT AS n FROM crcs GROUP BY w),
+vocabulary AS (SELECT w, n FROM counted WHERE len(w) >= 7 AND n >= 2),
+deletions AS (
+  SELECT w, n, i, substr(w, 1, i) || substr(w, i + 2) AS d FROM (
+    SELECT w, n, unnest(range(len(w)))::INT AS i FROM vocabulary)),
+pairs AS (
+  SELECT a.w, a.n, b.w AS near, b.n AS near_n
+  FROM deletions a JOIN deletions b ON a.i = b.i AND a.d = b.d AND a.w <> b.w
+  UNION SELECT a.w, a.n, v.w, v.n FROM deletions a JOIN vocabulary v ON a.d = v.w
+  UNION SELECT v.w, v.n, a.w, a.n FROM deletions a JOIN vocabulary v ON a.d = v.w),
+best AS (
+  SELECT w, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n
+  FROM pairs GROUP BY w),
+grouped AS (
+  SELECT v.w, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.form_n >= 10 * v.n THEN b.form END AS form,
+    CASE WHEN b.form_n >= 10 * v.n THEN b.form_n END AS form_n
+  FROM vocabulary v LEFT JOIN best b USING (w)),
+paths AS (
+  SELECT w, w AS reached, form AS next FROM grouped
+  UNION ALL SELECT p.w, p.next, g.form FROM paths p JOIN grouped g ON p.next = g.w)
+SELECT g.w AS word, n, n_near, g.form, form_n, p.reached AS root
+FROM grouped g JOIN paths p ON g.w = p.w AND p.next IS NULL
+"""

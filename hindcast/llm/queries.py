@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import (
     chat, decontamination, extraction, hpylm, importance, jaccard, mixing, oracles, quality_rules,
-    substrings, token_files, toxicity,
+    substrings, token_files, toxicity, variants,
 )
 from hindcast.llm.common import ship_package, stored, table
 from hindcast.operators.reliable import scratch_folder
@@ -171,3 +171,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_importance_resampling", oracles.IMPORTANCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants", oracles.VARIANTS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
