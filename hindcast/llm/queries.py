@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import (
     chat, decontamination, extraction, hpylm, importance, jaccard, mixing, oracles, quality_rules,
-    substrings, token_files, toxicity, variants,
+    personal_data, substrings, token_files, toxicity, variants,
 )
 from hindcast.llm.common import ship_package, stored, table
 from hindcast.operators.reliable import scratch_folder
@@ -168,6 +168,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op12_importance_resampling", oracles.IMPORTANCE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
