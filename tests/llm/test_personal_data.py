@@ -168,7 +168,7 @@ def test_held_out_numbers_are_recovered_and_clean_ones_left(model):
 def test_result_of_all_kinds_of_rows(spark, make, corpus):
     texts = [t for _, t in corpus[:80]]
     texts += [None, "", "no data here", texts[0], texts[0], "é é +1 (323) 555-1212 é (323) 555-1212",
-              "9" * 100_000, "4111 1111 1111 1111 " * 3000, "a@b.cc " * 3000]
+              "9" * 4000, "4111 1111 1111 1111 " * 3000, "a@b.cc " * 3000]
     rows = pii.find_personal_data(make(texts)).collect()
     assert len(rows) == len(texts)
     for r in rows:

@@ -131,6 +131,30 @@ def lift_top5_approximate(spark, folder):
     )
 
 
+_AUC = """
+SELECT as_of, horizon, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (
+  SELECT *, sum(neg) OVER (PARTITION BY as_of, horizon ORDER BY mpa_score) - neg AS below FROM (
+    SELECT as_of, horizon, mpa_score, coalesce(sum({w}) FILTER (loss > 0), 0)::DOUBLE AS pos,
+      coalesce(sum({w}) FILTER (NOT loss > 0), 0)::DOUBLE AS neg FROM scored
+    WHERE mpa_score IS NOT NULL AND loss IS NOT NULL AND {w} IS NOT NULL
+    GROUP BY as_of, horizon, mpa_score)) GROUP BY as_of, horizon"""
+
+
+@query("auc_scores", sql("""
+SELECT as_of, horizon, round(u.auc, 9) AS auc, round(w.auc, 9) AS weighted_auc
+FROM plain u LEFT JOIN weighted w USING (as_of, horizon)""", scored=_LONG, plain=_AUC.format(w="1"),
+    weighted=_AUC.format(w="floor(p / 1000000)")))
+def auc_scores(spark, folder):
+    """How well the score tells rows with a loss from those without, also weighted by premium."""
+    rows = _scored(spark, folder).select(
+        *GROUP, "mpa_score", (F.col("loss") > 0).cast("int").alias("has_loss"),
+        F.floor("prem").alias("weight"))
+    plain = evaluate.area_under_curve(rows, "mpa_score", "has_loss", GROUP)
+    weighted = evaluate.area_under_curve(rows, "mpa_score", "has_loss", GROUP, "weight")
+    return plain.join(weighted.withColumnRenamed("auc", "weighted_auc"), list(GROUP), "left").select(
+        *GROUP, F.round("auc", 9).alias("auc"), F.round("weighted_auc", 9).alias("weighted_auc"))
+
+
 @query("lift_top1_count", sql("""
 SELECT as_of, horizon, rn <= n * 0.01 // 1 AS in_top, count(*) AS rows,
   round(avg(CAST(loss AS DOUBLE) / 100.0 / nullif(p / 1000000.0, 0)), 6) AS mean_row_ratio,
