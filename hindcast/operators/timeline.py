@@ -3,7 +3,9 @@
 All of them avoid pairing the rows of a key. Both sides are first reduced to at most one row per key
 and day, then laid on one time line per key and read off with a running window. A key that holds a
 third of a table therefore costs at most two rows per calendar day in its window, and the work is
-linear in the rows.
+linear in the rows. What was read off goes back to the rows by an equi join on key and day, which
+spreads a large key over its days and which AQE splits further. Inputs are read once for the line
+and once for that join: pass a stored or checkpointed table if their plan is long.
 """
 
 from __future__ import annotations
@@ -135,6 +137,28 @@ def asof_lookup(
     )
 
 
+def _known(*columns: str) -> Column:
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def next_event(
+    sessions: DataFrame, events: DataFrame, on: Sequence[str], start: str, event_date: str,
+    name: str = "next_event",
+) -> DataFrame:
+    """Sessions with the date of the first event of their key on or after their start, or NULL."""
+    _require_date(sessions, start)
+    on = list(on)
+    days = events.select(*on, F.col(event_date).alias(name)).dropna().distinct()
+    starts = sessions.select(*on, start).dropna().distinct()
+    found = read_timeline(
+        starts, days.withColumn("_day", F.col(name)), on, start, "_day", [name], "forward")
+    return sessions.join(found.filter(F.col(name).isNotNull()), [*on, start], "left").select(
+        *sessions.columns, name)
+
+
 def sessions_without_event(
     sessions: DataFrame,
     events: DataFrame,
@@ -147,11 +171,7 @@ def sessions_without_event(
 
     The next event on or after the start decides, so no session meets more than one event.
     """
-    _require_date(sessions, start)
-    days = events.select(*on, F.col(event_date).alias("_next")).dropna().distinct()
-    looked_up = read_timeline(
-        sessions, days.withColumn("_day", F.col("_next")), on, start, "_day", ["_next"], "forward"
-    )
+    looked_up = next_event(sessions, events, on, start, event_date, "_next")
     return looked_up.filter(
         F.col("_next").isNull() | (F.col("_next") > F.col(end)) | F.col(end).isNull()
     ).select(*sessions.columns)
@@ -168,30 +188,13 @@ def events_and_free_sessions(
 ) -> DataFrame:
     """All events, and as rows of zeros the sessions of :func:`sessions_without_event`.
 
-    Both come out of the same time line, so each input is read and shuffled once. The date column
-    of the result is called ``start``.
+    Events are not shuffled but for their distinct days. The date column is called ``start``.
     """
-    _require_date(sessions, start)
-    marks = events.select(
-        *on, F.col(event_date).alias("_at"), F.lit(0).alias("_kind"),
-        F.col(event_date).alias("_next"), *amounts,
-    )
-    asked = sessions.select(*on, F.col(start).alias("_at"), F.lit(1).alias("_kind"),
-                            F.col(end).alias("_end"))
-    line = marks.unionByName(asked, allowMissingColumns=True)
-    following = F.last("_next", ignorenulls=True).over(_running(on, newest_first=True))
-    free = F.col("_next").isNull() | (F.col("_next") > F.col("_end")) | F.col("_end").isNull()
-    for key in (*on, "_at"):
-        free = free | F.col(key).isNull()
-    return (
-        line.select(*on, "_at", "_kind", "_end", following.alias("_next"), *amounts)
-        .filter((F.col("_kind") == 0) | free)
-        .select(
-            *on, F.col("_at").alias(start),
-            *[F.when(F.col("_kind") == 0, F.col(a)).otherwise(0)
-              .cast(events.schema[a].dataType).alias(a) for a in amounts],
-        )
-    )
+    free = sessions_without_event(
+        sessions.select(*on, start, end), events, on, start, end, event_date)
+    zeros = [F.lit(0).cast(events.schema[a].dataType).alias(a) for a in amounts]
+    return events.select(*on, F.col(event_date).alias(start), *amounts).unionByName(
+        free.select(*on, start, *zeros))
 
 
 def session_sums(
@@ -205,8 +208,9 @@ def session_sums(
 ) -> DataFrame:
     """Per session the sum of each amount over its events in ``[start, end]``, 0 when there are none.
 
-    Running totals per key are read at the end and just before the start; their difference is the
-    sum. Amounts should be decimals, for which that difference is exact. Equal sessions are merged.
+    Running totals per key and day are read at the end and just before the start; their difference
+    is the sum. Amounts should be decimals, for which that difference is exact. Equal sessions are
+    merged.
     """
     _require_date(sessions, start)
     on = list(on)
@@ -221,24 +225,18 @@ def session_sums(
         F.struct(F.date_sub(F.col(start), 1).alias("_at"), F.lit(-1).alias("_sign")),
         F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign")),
     )
-    asked = sessions.select("*", F.inline(edges)).withColumn("_kind", F.lit(1))
-    line = daily.unionByName(asked, allowMissingColumns=True)
+    known = _known(*on, start, end) & (F.col(start) <= F.col(end))
+    asked = sessions.select("*", F.inline(edges)).withColumn(
+        "_at", F.when(known, F.col("_at")))
+    days = asked.select(*on, "_at").dropna().distinct().withColumn("_kind", F.lit(1))
     window = _running(on)
     running = [F.sum(F.coalesce(t, F.lit(0))).over(window).alias(t) for t in totals]
-    known = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))
-    for key in on:
-        known = known & F.col(key).isNotNull()
-    return (
-        line.select(*sessions.columns, "_kind", "_sign", *running)
-        .filter("_kind = 1")
-        .groupBy(*sessions.columns)
-        .agg(
-            *[
-                F.sum(F.when(known, F.col(t) * F.col("_sign")).otherwise(0)).alias(a)
-                for a, t in zip(amounts, totals)
-            ]
-        )
-    )
+    read = daily.unionByName(days, allowMissingColumns=True).select(
+        *on, "_at", "_kind", *running).filter("_kind = 1").drop("_kind")
+    return asked.join(read, [*on, "_at"], "left").groupBy(*sessions.columns).agg(*[
+        F.coalesce(F.sum(F.col(t) * F.col("_sign")), F.lit(0)).alias(a)
+        for a, t in zip(amounts, totals)
+    ])
 
 
 def match_sessions(
@@ -256,7 +254,7 @@ def match_sessions(
     event. It has at most one entry per day of the session. Sessions are cut at month borders and
     joined on key and month, so a session only meets the at most 31 event days of its own months.
     Only months from the first to the last event are listed: a session that ends in the year 9999
-    costs as many pieces as the events have months.
+    costs as many pieces as the events have months. Equal sessions are merged.
     """
     on = list(on)
     daily = (
@@ -265,11 +263,15 @@ def match_sessions(
         .agg(*[F.sum(a).alias(a) for a in amounts])
         .withColumn("_month", F.trunc(event_date, "month"))
     )
-    span = daily.select("_month")
-    cut = sessions.withColumns({
-        "_first": F.greatest(F.trunc(start, "month"), span.agg(F.min("_month")).scalar()),
-        "_last": F.least(F.trunc(end, "month"), span.agg(F.max("_month")).scalar()),
-    })
+    # one pass for both ends, over the days alone
+    days_known = events.dropna(subset=[*on, event_date])
+    span = days_known.agg(F.struct(
+        F.trunc(F.min(event_date), "month").alias("low"),
+        F.trunc(F.max(event_date), "month").alias("high")).alias("span")).scalar()
+    cut = sessions.withColumn("_span", span).withColumns({
+        "_first": F.greatest(F.trunc(start, "month"), F.col("_span.low")),
+        "_last": F.least(F.trunc(end, "month"), F.col("_span.high")),
+    }).drop("_span")
     first, last = F.col("_first"), F.col("_last")
     months = F.when(
         (F.col(start) <= F.col(end)) & (first <= last),

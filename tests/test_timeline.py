@@ -163,3 +163,52 @@ def test_points_without_a_key_are_dealt_by_date(spark):
     assert rows(found.filter("k = 'a'"), "x") == [(5,)]
     parts = found.filter("k is null").select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def rows_into_windows(df):
+    """Rows shuffled into each window of the executed plan."""
+    df.collect()
+    found = []
+
+    def walk(node, below):
+        name = node.nodeName()
+        if name == "Window":
+            below = True
+        if name == "Exchange" and below:
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            below = False
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan(), below)
+        if "QueryStage" in name or name.endswith("Stage"):
+            return walk(node.plan(), below)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), below)
+
+    walk(df._jdf.queryExecution().executedPlan(), False)
+    return found
+
+
+@pytest.mark.parametrize("one_day", [False, True])
+def test_a_key_with_a_third_of_all_rows_costs_its_days(spark, one_day):
+    days = 1 if one_day else 40
+    hot = F.col("id") % 3 == 0
+    base = spark.range(30_000).select(
+        F.when(hot, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
+        F.date_add(F.lit("2021-01-01").cast("date"), (F.col("id") * 7 % days).cast("int")).alias("start"),
+        F.col("id"))
+    sessions = base.select("k", "start", F.date_add("start", 9).alias("stop"), "id")
+    events = base.select("k", F.date_add("start", 4).alias("d"),
+                         (F.col("id") % 5).cast("decimal(10,2)").alias("x"))
+    bound = 501 * days * 3 + 10
+    sums = timeline.session_sums(sessions, events, ["k"], "start", "stop", "d", ["x"])
+    free = timeline.sessions_without_event(sessions, events, ["k"], "start", "stop", "d")
+    both = timeline.events_and_free_sessions(sessions, events, ["k"], "start", "stop", "d", ["x"])
+    for df in (sums, free, both):
+        sizes = rows_into_windows(df)
+        assert sizes and max(sizes) <= min(bound, 30_000), sizes
+        assert "hot" in {r["k"] for r in df.limit(30_000).collect()} or df is free
+    hot_rows = sums.filter("k = 'hot' and start = '2021-01-01'")
+    per_day = {r["d"]: r["x"] for r in events.filter("k = 'hot'").groupBy("d").agg(F.sum("x").alias("x")).collect()}
+    want = sum((x for d, x in per_day.items() if day("2021-01-01") <= d <= day("2021-01-10")), 0)
+    assert {r["x"] for r in hot_rows.collect()} == {want}
