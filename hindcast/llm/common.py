@@ -65,6 +65,30 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the machine; the next task may need it elsewhere."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library need not have it
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives memory back when it ends: Spark goes on using its workers."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def rows_where(df: DataFrame, test: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """Rows of ``df`` whose text passes; ``test()`` is called once per task. No shuffle."""
     at = df.columns.index("text")
@@ -74,7 +98,7 @@ def rows_where(df: DataFrame, test: Callable[[], Callable[[str | None], bool]])
         for batch in batches:
             yield batch.filter(pa.array([good(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-    return df.mapInArrow(passing, df.schema)
+    return df.mapInArrow(lean(passing), df.schema)
 
 
 class HashedWords(dict):

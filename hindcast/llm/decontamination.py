@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import HashedWords, rows_where, runs
+from hindcast.llm.common import HashedWords, lean, rows_where, runs
 
 MARKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 RESULT = ("doc_id long, item_id long, item_words long, covered_words long, n_tiles long, "
@@ -203,4 +203,4 @@ def _against(documents: DataFrame, block: dict, least: int, threshold: float) ->
                 [pa.array(c, type=t) for c, t in zip(columns, kinds)],
                 names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pairs, RESULT)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(pairs), RESULT)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import HashedWords, mixed, runs, stored
+from hindcast.llm.common import HashedWords, lean, mixed, runs, stored
 from hindcast.llm.components import components
 
 WIDTH, THRESHOLD, RUNS, LEVELS = 5, 0.8, 20, 2
@@ -85,7 +85,7 @@ def shingle_rows(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     return source.mapInArrow(
-        rows, "doc_id long, text_hash long, set_id long, n long, which array<int>, "
+        lean(rows), "doc_id long, text_hash long, set_id long, n long, which array<int>, "
         "chosen array<long>, sketch binary")
 
 
@@ -139,7 +139,7 @@ def _groups(
         yield flushed()
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, "set_id")
-    return dealt.mapInArrow(stream, schema)
+    return dealt.mapInArrow(lean(stream), schema)
 
 
 def _tiled(members: DataFrame, limit: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _tokens(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 [*batch.columns[1:], pa.array(tokens, pa.binary())], names=[*names, "tokens"])
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in names)
-    return joined.mapInArrow(cut, f"{schema}, tokens binary")
+    return joined.mapInArrow(lean(cut), f"{schema}, tokens binary")
 
 
 def set_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hindcast.llm.common import lean
+
 BLOCKS = (
     "shard int, block int, start long, n_ids long, bits int, packed binary, "
     "doc_ids array<long>, doc_ends array<long>"
@@ -165,7 +167,7 @@ def write_token_file(
         if held:
             yield closed()
 
-    ordered.mapInArrow(pack_blocks, BLOCKS).write.parquet(folder)
+    ordered.mapInArrow(lean(pack_blocks), BLOCKS).write.parquet(folder)
 
 
 NAMES = ["shard", "block", "start", "n_ids", "bits", "packed", "doc_ids", "doc_ends"]
@@ -206,7 +208,7 @@ def read_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
     blocks = spark.read.schema(BLOCKS).parquet(folder)
     return _placed(blocks).mapInArrow(
-        unpack_documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        lean(unpack_documents), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 

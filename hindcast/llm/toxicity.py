@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import rows_where, stored
+from hindcast.llm.common import lean, rows_where, stored
 
 STRIP = ".,;:!?\"'()[]{}«»#*$%&|<>-_"
 
@@ -93,7 +93,7 @@ def _present(df: DataFrame) -> DataFrame:
              pa.array([k[1] for k in seen], type=pa.int32()),
              pa.array(list(seen.values()), type=pa.int64())], names=["feature", "grade", "n"])
 
-    return df.select("text", "grade").mapInArrow(count, "feature string, grade int, n long")
+    return df.select("text", "grade").mapInArrow(lean(count), "feature string, grade int, n long")
 
 
 def select_features(sample: DataFrame, most: int = 4_096, least_z: float = 5.0) -> list[str]:
@@ -142,7 +142,7 @@ def fit_severity(sample: DataFrame, features: list[str], steps: int = 400,
                  pa.array(value, type=pa.list_(pa.float64()))], names=["grade", "at", "value"])
 
     rows = sample.select("text", "grade").mapInArrow(
-        sparse, "grade int, at array<int>, value array<double>"
+        lean(sparse), "grade int, at array<int>, value array<double>"
     ).orderBy("grade", "at", "value").collect()
     grade = np.array([r["grade"] for r in rows], dtype=int)
     top = int(grade.max()) if len(grade) else 0
@@ -208,7 +208,7 @@ def grade_by_markers(sample: DataFrame, features: list[str], toxic: str, severe:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, type=pa.int32())], names=["text", "grade"])
 
-    return sample.select("text", toxic).mapInArrow(grade, "text string, grade int")
+    return sample.select("text", toxic).mapInArrow(lean(grade), "text string, grade int")
 
 
 class Scorer:
@@ -252,7 +252,7 @@ def score_severity(documents: DataFrame, model: Severity) -> DataFrame:
                 names=["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        score, "doc_id long, p_toxic double, expected_severity double, grade long, toxic boolean")
+        lean(score), "doc_id long, p_toxic double, expected_severity double, grade long, toxic boolean")
 
 
 def without_toxic(documents: DataFrame, model: Severity) -> DataFrame:
