@@ -42,7 +42,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Write the token file and describe it: one row per document, read back from the file."""
     ship_package(spark)
     folder = scratch_folder(docs)
-    token_files.write_token_file(docs, folder, TOKENIZER)
+    token_files.write_token_file(docs, folder, TOKENIZER, remember=REMEMBERED)
     return token_files.read_token_file(spark, folder)
 
 
@@ -61,6 +61,7 @@ ORACLE_SQL = None
 # Rows handed to a Python worker at a time. Texts differ in length by orders of magnitude, and the
 # workers of one executor share its memory with the stages before and after.
 BATCH_ROWS = 1000
+REMEMBERED = 100_000  # pieces an encoder remembers; four stages have used the memory before it
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,9 @@ def unpack(packed: bytes, bits: int, first: int, last: int) -> np.ndarray:
     return np.packbits(wide, axis=1).view(">u4").reshape(-1).astype(np.uint32)
 
 
+REMEMBERED = 400_000  # pieces in either half of an encoder's memory, about 200 bytes each
+
+
 class Encoder:
     """The tokenizer with a bounded memory of pieces it has seen, as packed ids.
 
@@ -70,7 +73,7 @@ class Encoder:
     come again move back, so that rare pieces are forgotten first.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = REMEMBERED, longest: int = 64):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,25 +116,26 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = REMEMBERED) -> Encoder:
     """One encoder per Python worker, so that tasks share what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remember) not in _ENCODERS:
+        _ENCODERS[path, remember] = Encoder(path, remember)
+    return _ENCODERS[path, remember]
 
 
 def write_token_file(
     documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0,
-    block_ids: int = 65_536,
+    block_ids: int = 65_536, remember: int = REMEMBERED,
 ) -> None:
     """Tokenize ``documents`` (doc_id, text) and write them in ascending ``doc_id`` order.
 
     Rows are range partitioned by (doc_id, text), so a repeated doc_id cannot fill one task unless
     its rows are equal; each partition is one shard. NULL doc_id comes first, rows of one doc_id
     are ordered by text. A NULL or empty text is its end id alone. An empty table gives no blocks.
+    ``remember`` trades a worker's memory for time.
     """
     ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(
@@ -139,7 +143,7 @@ def write_token_file(
     )
 
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path, remember)
         bits = bits_for(coder.tokenizer.get_vocab_size(with_added_tokens=True))
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         held, names, ends, size = [], [], [], 0
