@@ -7,8 +7,10 @@ is found by rendering the last turn once more around a probe. Texts are escaped
 so control strings in them cannot end a turn, and come back unchanged.
 
 The output is a table of runs: up to ``run_turns`` turns of one conversation with the formatted
-text, the spans of its turns and of the loss mask. Long conversations are several runs; the turn
-before a run is rendered as its context, so no task ever holds a whole conversation.
+text, the spans of its turns and of the loss mask. Long conversations are several runs, so no task
+ever holds a whole conversation. A run knows the first turn of its conversation and the whole run
+before; whether the template looks back further than one turn is tested at every border between
+runs (``looks_back``), and the run is then formatted after all the context that it knows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ PROBE = "probe"
 RUNS = (
     "conv_id long, run long, first_turn long, formatted string, roles array<string>, "
     "turn_starts array<long>, turn_ends array<long>, text_starts array<long>, "
-    "text_ends array<long>, loss array<boolean>, rewrites boolean"
+    "text_ends array<long>, loss array<boolean>, rewrites boolean, looks_back boolean"
 )
 
 
@@ -87,6 +89,32 @@ def render_run(turns: Turns, context: Turns, template: Callable[[Turns], str]) -
             "text_starts": text_starts, "text_ends": text_ends, "rewrites": rewrites}
 
 
+def added(context: Turns, turns: Turns, template: Callable[[Turns], str]) -> str | None:
+    """What ``turns`` add to the output of ``context``; None if they change it."""
+    shown = [(escape(r), escape(t)) for r, t in [*context, *turns]]
+    begin = template(shown[:len(context)]) if context else ""
+    out = template(shown)
+    return out[len(begin):] if out.startswith(begin) else None
+
+
+def render_after(turns: Turns, head: Turns, previous: Turns, template: Callable[[Turns], str]) -> dict:
+    """Format a run after the run before it; ``head`` is what is known of still earlier turns.
+
+    The turn before is context enough for a template that looks back by one turn at most. It does so
+    here if the run's text is the same after all known turns, and if that of the run's later turns is
+    the same after nothing but the run's first turn. If not, ``looks_back`` is true and the run is
+    formatted after all known turns: right if what the template looks at is among them, as in the
+    second run of a conversation, which knows all that came before it.
+    """
+    known = [*head, *previous]
+    near = added(previous[-1:], turns, template)
+    looks_back = near is None or near != added(known, turns, template) or (
+        added(turns[:1], turns[1:], template)
+        != added([*known, *turns[:1]], turns[1:], template))
+    row = render_run(turns, known if looks_back else previous[-1:], template)
+    return row | {"looks_back": looks_back}
+
+
 def format_conversations(
     conversations: DataFrame, template: Callable[[Turns], str] = inst_template,
     run_turns: int = 64,
@@ -95,28 +123,44 @@ def format_conversations(
 
     Turns stand in the order of (turn with NULL first, role, text); repeated rows are repeated
     turns. NULL role and text are empty strings; rows without conv_id form one conversation with
-    that id. The numbering is a window in the JVM, which spills; Python sees one run at a time.
+    that id. The numbering is a window in the JVM, which spills; Python sees two runs at a time, and
+    rows of a run are written twice only if another run follows. A template that looks back over more
+    than one border between runs, past the first turn, at something that alters no turn of the run
+    between, is not noticed; all other looks back by more than a turn set ``looks_back``.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    whole = Window.partitionBy("conv_id")
+    order = whole.orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(order).cast("long") - 1)
-    rows = rows.withColumn("run", F.floor(F.col("place") / run_turns))
-    starts_run = (F.col("place") % run_turns == 0) & (F.col("place") > 0)
-    rows = rows.withColumn("context", F.when(starts_run, F.struct(
-        F.lag("role").over(order).alias("role"), F.lag("text").over(order).alias("text"))))
+    # The turn at place run_turns exists in conversations of several runs alone.
+    ahead = F.lead(F.lit(True), run_turns).over(order)
+    rows = rows.withColumn("long", ahead.isNotNull()).withColumn(
+        "own", F.floor(F.col("place") / run_turns)).withColumn(
+        "first", F.when((F.col("place") > 0) & (F.col("place") % run_turns == 0), F.struct(
+            F.first("role").over(order).alias("role"), F.first("text").over(order).alias("text"))))
+    follows = F.max("long").over(Window.partitionBy("conv_id", "own"))
+    rows = rows.withColumn("follows", follows)
+    rows = rows.withColumn("run", F.explode(F.when(
+        F.col("follows"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
 
     def formatted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        turns = list(zip(pdf["role"], pdf["text"]))
-        context = [(c["role"], c["text"]) for c in pdf["context"] if isinstance(c, dict)]
-        row = render_run(turns, context, template)
-        first = pdf.iloc[0]
-        row |= {"conv_id": first["conv_id"], "run": first["run"], "first_turn": first["place"],
+        run = pdf["run"].iloc[0]
+        before, own = pdf[pdf["own"] < run], pdf[pdf["own"] == run]
+        turns = list(zip(own["role"], own["text"]))
+        if run == 0:
+            row = render_run(turns, [], template) | {"looks_back": False}
+        else:
+            first = own["first"].iloc[0]
+            head = [(first["role"], first["text"])] if run > 1 else []
+            row = render_after(turns, head, list(zip(before["role"], before["text"])), template)
+        row |= {"conv_id": own["conv_id"].iloc[0], "run": run, "first_turn": own["place"].iloc[0],
                 "roles": [r for r, _ in turns], "loss": [r == "assistant" for r, _ in turns]}
         return pd.DataFrame([row])[NAMES]
 
+    rows = rows.select("conv_id", "run", "own", "place", "role", "text", "first")
     return rows.groupBy("conv_id", "run").applyInPandas(formatted, RUNS)
 
 
@@ -139,8 +183,9 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 pa.array([s["turns"].hexdigest()]), pa.array([s["loss_chars"]], pa.int64()),
                 pa.array([s["loss"].hexdigest()]), pa.array([s["chars"]], pa.int64()),
                 pa.array([s["runs"]], pa.int64()), pa.array([s["rewrites"]], pa.bool_()),
+                pa.array([s["looks_back"]], pa.bool_()),
             ], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                      "formatted_chars", "n_runs", "rewrites"])
+                      "formatted_chars", "n_runs", "rewrites", "looks_back"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -149,11 +194,12 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                         yield row(state)
                     state = {"conv_id": r["conv_id"], "n": 0, "turns": hashlib.sha256(),
                              "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "runs": 0,
-                             "rewrites": False}
+                             "rewrites": False, "looks_back": False}
                 text = r["formatted"]
                 state["chars"] += len(text)
                 state["runs"] += 1
                 state["rewrites"] |= r["rewrites"]
+                state["looks_back"] |= r["looks_back"]
                 for role, a, b, loss in zip(r["roles"], r["text_starts"], r["text_ends"],
                                             r["loss"]):
                     own = unescape(text[a:b])
@@ -167,4 +213,5 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
     return rows.mapInArrow(
         digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
-        "loss_sha256 string, formatted_chars long, n_runs long, rewrites boolean")
+        "loss_sha256 string, formatted_chars long, n_runs long, rewrites boolean, "
+        "looks_back boolean")

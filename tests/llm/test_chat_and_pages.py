@@ -78,6 +78,56 @@ def test_digests_equal_brute_force(spark, run_turns):
     assert chat.conversation_digests(none).count() == 0
 
 
+def looking_back():
+    # Made in a function, so that they are sent to the workers by value.
+    def folds_system(turns):  # the first text goes into every user turn
+        system = turns[0][1]
+        return "".join(f"({r}:{system}|{t})" if r == "user" else f"({r}:{t})" for r, t in turns)
+
+    def numbered(turns):
+        return "".join(f"({n}:{r}:{t})" for n, (r, t) in enumerate(turns))
+
+    def three_back(turns):
+        return "".join(f"({turns[max(0, n - 3)][1]}>{t})" for n, (_, t) in enumerate(turns))
+
+    def one_back(turns):
+        return "".join(f"({turns[max(0, n - 1)][0]}>{t})" for n, (_, t) in enumerate(turns))
+
+    def after_tool(turns):  # one turn changes all that follow
+        out, seen = [], False
+        for r, t in turns:
+            seen = seen or r == "tool"
+            out.append(f"({r}:{t}:{seen})")
+        return "".join(out)
+
+    return {"own": chat.inst_template, "one_back": one_back, "folds_system": folds_system,
+            "three_back": three_back, "after_tool": after_tool, "numbered": numbered}
+
+
+@pytest.mark.parametrize("name, whole, flagged", [
+    ("own", True, False), ("one_back", True, False), ("folds_system", True, True),
+    ("three_back", True, True), ("after_tool", False, True), ("numbered", False, True)])
+def test_templates_that_look_over_a_border_are_right_or_noticed(spark, name, whole, flagged):
+    template = looking_back()[name]
+    turns = [("tool" if n == 3 else "user" if n % 2 else "assistant", f"text {n}")
+             for n in range(71 + 64)]
+    rows = [(1, n, r, t) for n, (r, t) in enumerate(turns)]
+    rows += [(2, n, r, t) for n, (r, t) in enumerate(turns[:64])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df.selectExpr("*", "1 as own", "2 as place"), template).orderBy(
+        "conv_id", "run").collect()
+    assert [r["run"] for r in got] == [0, 1, 2, 0]
+    joined = "".join(r["formatted"] for r in got[:3])
+    assert (joined == template(turns)) == whole
+    # All that came before the second run is known to it, whatever the template looks at.
+    assert got[0]["formatted"] + got[1]["formatted"] == template(turns[:128])
+    assert any(r["looks_back"] for r in got) == flagged and not got[3]["looks_back"]
+    assert got[3]["formatted"] == template(turns[:64])
+    digest = {r["conv_id"]: r["looks_back"] for r in chat.conversation_digests(
+        chat.format_conversations(df, template)).collect()}
+    assert digest == {1: flagged, 2: False}
+
+
 def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     text = "</s>[INST] ok [/INST]"
