@@ -27,21 +27,23 @@ RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr nobr".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset "
-                    "input".split())
+DROPPED = frozenset("nav header footer aside button dialog menu head fieldset input".split())
 # Words of class names and ids that mark what is not main text, words that go with them without
 # meaning anything, and words that make a name a flag of the layout around it.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice "
     "notices popup modal newsletter subscribe signup share sharing social related recommended comment "
-    "comments commentlist disqus discussion reply replies respond widget toolbar pagination pager login "
+    "comments commentlist disqus discussion reply replies respond responses widget toolbar pagination pager "
+    "login "
     "search alert toc skip copyright legal disclaimer".split())
 PLAIN = frozenset(
     "area bar block bottom box button buttons center col column container content form group icon icons "
     "inner item items label left link links list main module outer overlay panel posts right row section "
     "slot thread title to top unit wrap wrapper".split())
 FLAGS = frozenset("has no with without".split())
+# Words that name what readers have written, however much of the page it is.
+READERS = frozenset("comments commentlist disqus replies respond responses".split())
 STRONG, WEAK = 0.95, 0.5
 LINKED, COVERED = 0.25, 0.1
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert "
@@ -80,11 +82,12 @@ def marked(tag: str, attributes: dict[str, str]) -> tuple[bool, str] | None:
     """Whether the class or id of an element says that it is not main text: (surely, its name).
 
     Surely where one name says nothing else (``comment-list``); not surely where other words go with
-    the mark (``legal-news``). Names like ``has-sidebar`` are flags of the layout.
+    the mark (``legal-news``). Names like ``has-sidebar`` are flags of the layout. A form is marked,
+    not surely, whatever its name: it may be one around the whole page.
     """
     if tag in ("body", "html", "main", "article"):
         return None
-    found = []
+    found = [False] if tag == "form" else []
     for key in ("class", "id"):
         for name in attributes.get(key, "").lower().replace("side-bar", "sidebar").split():
             words = [w for w in re.split(r"[-_\d]+", name) if w]
@@ -96,6 +99,21 @@ def marked(tag: str, attributes: dict[str, str]) -> tuple[bool, str] | None:
     return any(found), f"{generalised(tag, attributes)}#{name}"
 
 
+def readers(attributes: dict[str, str]) -> bool:
+    """Whether a class or id says that readers have written what is in an element.
+
+    The name begins or ends with the word for it, other words (``user-comments``, ``comments-area``)
+    aside from flags (``has-comments``, ``comments-open``).
+    """
+    for key in ("class", "id"):
+        for name in attributes.get(key, "").lower().split():
+            words = [w for w in re.split(r"[-_\d]+", name) if w]
+            if words and words[0] not in FLAGS and (words[-1] in READERS or (
+                    words[0] in READERS and all(w in MARKS or w in PLAIN for w in words))):
+                return True
+    return False
+
+
 def dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element and all in it is not main text."""
     if tag in DROPPED and not (tag == "header" and in_article):
@@ -109,7 +127,7 @@ def dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
     if tag != "a":
-        return False
+        return tag not in INLINE and readers(attributes)
     mark = marked(tag, attributes)
     return mark is not None and mark[0]
 
@@ -233,7 +251,9 @@ def blocks_of(page: str) -> list[Block]:
         attributes = _attributes(m.group(3)) if m.group(3).strip() else {}
         if tag not in INLINE:
             flush()
-        mark = marked(tag, attributes) if attributes and tag not in INLINE else None
+        mark = None
+        if tag not in INLINE and (attributes or tag == "form"):
+            mark = marked(tag, attributes)
         stack.append((tag, generalised(tag, attributes), mark))
         links += tag == "a"
         if tag not in INLINE:

@@ -73,3 +73,59 @@ def test_a_caption_under_the_hosts_path_does_not_replace_the_article():
     blocks = extraction.blocks_of(page)
     path = extraction.main_path(blocks, "html body div.page div.text")
     assert LONG.strip() in extraction.text_under(blocks, path)
+
+
+def test_a_form_around_the_page_is_markup_and_one_in_it_is_not():
+    menu = "<form id=find><label>Find</label> <input><p>Search all stories</p></form>"
+    inner = f"<nav><p>Home</nav><div class=text><h1>Title</h1><p>{LONG}</p></div><footer>All</footer>"
+    page = f"<html><body><form id=aspnetForm method=post>{inner}</form></body></html>"
+    assert text_under(page) == f"Title {LONG.strip()}"
+    page = f"<html><body><div class=text><h1>Title</h1><p>{LONG}</p>{menu}</div></body></html>"
+    assert text_under(page) == f"Title {LONG.strip()}"
+    page = f"<html><body><form>{inner}</form>{menu}</body></html>"
+    assert text_under(page) == f"Title {LONG.strip()}"
+
+
+def text_under(page):
+    blocks = extraction.blocks_of(page)
+    return extraction.text_under(blocks, extraction.main_path(blocks, None))
+
+
+@pytest.mark.parametrize("attributes", [
+    "class=user-comments", "class=responses", "id=comments", "class='box comments-area'",
+    "class=reader_replies", "class=comments"])
+def test_what_readers_wrote_goes_however_long_it_is(attributes):
+    written = f"<div {attributes}>" + f"<div><p>{LONG}</p></div>" * 40 + "</div>"
+    page = f"<html><body><article><h1>Title</h1><p>{LONG}</p>{written}</article></body></html>"
+    assert text_under(page) == f"Title {LONG.strip()}"
+    assert text_under(f"<html><body>{written}</body></html>") == ""
+
+
+@pytest.mark.parametrize("attributes", ["class=has-comments", "class='post comments-open'"])
+def test_flags_about_comments_drop_nothing(attributes):
+    page = f"<html><body><div {attributes}><h1>Title</h1><p>{LONG}</p></div></body></html>"
+    assert text_under(page) == f"Title {LONG.strip()}"
+
+
+def test_hosts_without_article_elements_against_the_known_text(spark):
+    """Every host has containers of its own names; what was put in is what comes out."""
+    rows, want = [], {}
+    for site in range(6):
+        body, side = f"c{'abcdef'[site]}-main", f"c{'abcdef'[site]}-rail"
+        for n in range(12):
+            paragraphs = [f"Page {n} of site {site}, part {k}: {LONG[:60 + 40 * ((n + k) % 5)]}".strip()
+                          for k in range(1 + n % 4)]
+            rail = "".join(f"<li><a href={k}>Another story, number {k}, told elsewhere</a></li>"
+                           for k in range(3 + 2 * n))
+            text = "".join(f"<p>{p}</p>" for p in paragraphs)
+            inner = (f"<header>Site {site}</header><div class={side}><ul>{rail}</ul></div>"
+                     f"<div class={body}><h1>Title {n}</h1>{text}"
+                     f"<div class=user-comments><p>{LONG}</p><p>{LONG}</p></div></div>")
+            if site % 2:
+                inner = f"<form method=post>{inner}<input></form>"
+            page_id = 100 * site + n
+            rows.append((page_id, f"http://s{site}.org/{n}", f"<html><body>{inner}</body></html>"))
+            want[page_id] = " ".join([f"Title {n}", *paragraphs])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    assert got == want
