@@ -19,9 +19,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turns = list[tuple[str, str]]
@@ -29,11 +28,19 @@ Turns = list[tuple[str, str]]
 CONTROL = re.compile(r"[\\<\[]")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 PROBE = "probe"
+SCHEMA = pa.schema([
+    ("conv_id", pa.int64()), ("run", pa.int64()), ("first_turn", pa.int64()),
+    ("formatted", pa.string()), ("roles", pa.list_(pa.string())),
+    ("turn_starts", pa.list_(pa.int64())), ("turn_ends", pa.list_(pa.int64())),
+    ("text_starts", pa.list_(pa.int64())), ("text_ends", pa.list_(pa.int64())),
+    ("loss", pa.list_(pa.bool_())), ("rewrites", pa.bool_()), ("looks_back", pa.bool_())])
 RUNS = (
     "conv_id long, run long, first_turn long, formatted string, roles array<string>, "
     "turn_starts array<long>, turn_ends array<long>, text_starts array<long>, "
     "text_ends array<long>, loss array<boolean>, rewrites boolean, looks_back boolean"
 )
+# Runs handed back at a time; more of either closes a batch.
+BATCH_CHARS, BATCH_RUNS = 4_000_000, 1000
 
 
 def escape(text: str) -> str:
@@ -123,48 +130,58 @@ def format_conversations(
 
     Turns stand in the order of (turn with NULL first, role, text); repeated rows are repeated
     turns. NULL role and text are empty strings; rows without conv_id form one conversation with
-    that id. The numbering is a window in the JVM, which spills; Python sees two runs at a time, and
-    rows of a run are written twice only if another run follows. A template that looks back over more
-    than one border between runs, past the first turn, at something that alters no turn of the run
-    between, is not noticed; all other looks back by more than a turn set ``looks_back``.
+    that id. Rows are dealt by conversation, sorted in the JVM, which spills, and streamed: Python holds
+    two runs of one conversation at a time. A template that looks back over more than one border
+    between runs, past the first turn, at something that alters no turn of the run between, is not
+    noticed; all other looks back by more than a turn set ``looks_back``.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = Window.partitionBy("conv_id")
-    order = whole.orderBy("turn", "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(order).cast("long") - 1)
-    # The turn at place run_turns exists in conversations of several runs alone.
-    ahead = F.lead(F.lit(True), run_turns).over(order)
-    rows = rows.withColumn("long", ahead.isNotNull()).withColumn(
-        "own", F.floor(F.col("place") / run_turns)).withColumn(
-        "first", F.when((F.col("place") > 0) & (F.col("place") % run_turns == 0), F.struct(
-            F.first("role").over(order).alias("role"), F.first("text").over(order).alias("text"))))
-    follows = F.max("long").over(Window.partitionBy("conv_id", "own"))
-    rows = rows.withColumn("follows", follows)
-    rows = rows.withColumn("run", F.explode(F.when(
-        F.col("follows"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
-
-    def formatted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        run = pdf["run"].iloc[0]
-        before, own = pdf[pdf["own"] < run], pdf[pdf["own"] == run]
-        turns = list(zip(own["role"], own["text"]))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, chars = [], 0
+        for row in _runs(batches, template, run_turns):
+            out.append(row)
+            chars += len(row["formatted"])
+            if chars > BATCH_CHARS or len(out) >= BATCH_RUNS:
+                yield pa.RecordBatch.from_pylist(out, SCHEMA)
+                out, chars = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, SCHEMA)
+
+    return rows.select("conv_id", "role", "text").mapInArrow(formatted, RUNS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], template, run_turns: int) -> Iterator[dict]:
+    """Formatted runs of sorted rows (conv_id, role, text)."""
+    conv, run = None, 0
+    head: Turns = []
+    previous: Turns = []
+    turns: Turns = []
+
+    def finished() -> dict:
         if run == 0:
             row = render_run(turns, [], template) | {"looks_back": False}
         else:
-            first = own["first"].iloc[0]
-            head = [(first["role"], first["text"])] if run > 1 else []
-            row = render_after(turns, head, list(zip(before["role"], before["text"])), template)
-        row |= {"conv_id": own["conv_id"].iloc[0], "run": run, "first_turn": own["place"].iloc[0],
-                "roles": [r for r, _ in turns], "loss": [r == "assistant" for r, _ in turns]}
-        return pd.DataFrame([row])[NAMES]
-
-    rows = rows.select("conv_id", "run", "own", "place", "role", "text", "first")
-    return rows.groupBy("conv_id", "run").applyInPandas(formatted, RUNS)
-
-
-NAMES = [part.split()[0] for part in RUNS.split(", ")]
+            row = render_after(turns, head if run > 1 else [], previous, template)
+        return row | {"conv_id": conv, "run": run, "first_turn": run * run_turns,
+                      "roles": [r for r, _ in turns],
+                      "loss": [r == "assistant" for r, _ in turns]}
+
+    for batch in batches:
+        for own, role, text in zip(*(column.to_pylist() for column in batch.columns)):
+            if turns and (own != conv or len(turns) == run_turns):
+                yield finished()
+                head = head or turns[:1]
+                previous, turns, run = turns, [], run + 1
+                if own != conv:
+                    head, previous, run = [], [], 0
+            conv = own
+            turns.append((role, text))
+    if turns:
+        yield finished()
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
