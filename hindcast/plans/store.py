@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast import COVERAGES, TRIPLET
@@ -21,7 +21,6 @@ from hindcast.operators.retro import (
     retro_exposures,
     retro_losses,
 )
-from hindcast.operators.timeline import read_timeline
 from hindcast.sources import overwrite_partitions, read_parquet, store_path
 
 CLAIM_STORE = "feature_store_claim"
@@ -56,6 +55,25 @@ def load_claim_store(spark: SparkSession, id_column: str, root: str) -> DataFram
     return rows.select(F.col("id").alias(id_column), "cvg", "dt", "bins", "acum")
 
 
+def save_claim_table(
+    stored: DataFrame, id_column: str, table: str, folder: str, buckets: int
+) -> None:
+    """Write the store of one id kind as a catalog table over ``folder``, bucketed by id.
+
+    A table of that name is replaced. There is one file per bucket, sorted by id and date. An id has at
+    most one row per coverage and month end, so buckets differ little in size.
+    """
+    (
+        stored.repartition(buckets, id_column)
+        .write.mode("overwrite")
+        .format("parquet")
+        .option("path", folder)
+        .bucketBy(buckets, id_column)
+        .sortBy(id_column, "dt", "cvg")
+        .saveAsTable(table)
+    )
+
+
 def save_exposure_store(stored: DataFrame, id_column: str, root: str) -> None:
     """Write the exposure store of one id kind; a rerun replaces that kind and no other."""
     rows = stored.withColumnRenamed(id_column, "id").withColumn("kk", F.lit(id_column))
@@ -150,18 +168,36 @@ def loss_feature_names(
 
 
 def _lookup(
-    events: DataFrame, stored: DataFrame, id_column: str, coverages: Sequence[str]
+    events: DataFrame, stored: DataFrame, id_column: str, coverages: Sequence[str],
+    buckets: int | None,
 ) -> DataFrame:
-    """Per distinct (id, date) of the events the newest entry of each coverage, date included."""
-    wide = stored.groupBy(id_column, "dt").agg(
-        *[
-            F.max(F.when(F.col("cvg") == c, F.struct("bins", "acum"))).alias(f"_{id_column}_{c}")
-            for c in coverages
-        ]
-    )
+    """Per distinct (id, date) of the events the newest entry of each coverage, date included.
+
+    An entry holds from its date up to the next of its id and coverage. Each entry picks the dates asked
+    for its id that it holds at; both sides of that join are bounded by the calendar per id, and only
+    entries that some date needs leave it.
+    """
     asked = events.select(id_column, "ver_eff").dropna().distinct()
-    values = [f"_{id_column}_{c}" for c in coverages]
-    return read_timeline(asked, wide, [id_column], "ver_eff", "dt", values)
+    entries = stored.filter(F.col(id_column).isNotNull() & F.col("cvg").isin(*coverages))
+    if buckets:
+        asked = asked.repartition(buckets, id_column)
+    else:
+        asked, entries = asked.repartition(id_column), entries.repartition(id_column)
+    dates = asked.groupBy(id_column).agg(F.collect_list("ver_eff").alias("_asked"))
+    following = Window.partitionBy(id_column, "cvg").orderBy("dt")
+    entries = entries.withColumn("_until", F.lead("dt").over(following))
+
+    def holds(day: Column) -> Column:
+        until = F.col("_until")
+        return (day >= F.col("dt")) & (until.isNull() | (day < until))
+
+    picked = entries.join(dates, id_column).select(
+        id_column, F.explode(F.filter("_asked", holds)).alias("ver_eff"), "cvg",
+        F.struct("bins", "acum").alias("entry"))
+    found = picked.groupBy(id_column, "ver_eff").agg(
+        F.map_from_entries(F.collect_list(F.struct("cvg", "entry"))).alias("_entries"))
+    return found.select(id_column, "ver_eff", *[
+        F.try_element_at("_entries", F.lit(c)).alias(f"_{id_column}_{c}") for c in coverages])
 
 
 def point_in_time_features(
@@ -169,15 +205,19 @@ def point_in_time_features(
     stores: Mapping[str, DataFrame],
     coverages: Sequence[str] = COVERAGES,
     retro_months: int = DEFAULT_RETRO_MONTHS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Events with one column per id, coverage, month and kind; 0 where the store has nothing.
 
     Each coverage is looked up on its own: the newest snapshot that has an entry for it counts, even
-    if a newer one exists for another coverage.
+    if a newer one exists for another coverage. A store has one row per id, coverage and date; of
+    repeated ones any counts. With stores read from tables of :func:`save_claim_table`, pass their number of ``buckets``: the ids and
+    dates asked for are then dealt like the tables, whose rows are looked up where they lie.
     """
     joined = events
     for kk, stored in stores.items():
-        joined = joined.join(_lookup(events, stored, kk, coverages), [kk, "ver_eff"], "left")
+        found = _lookup(events, stored, kk, coverages, buckets)
+        joined = joined.join(found, [kk, "ver_eff"], "left")
     values = [
         f"cast(coalesce(get(_{kk}_{c}.{field}, {m}), 0) as bigint) as "
         f"`{loss_feature(kk, kind, c, m)}`"

@@ -109,6 +109,58 @@ def test_nested_store_and_lookup_agree_with_the_rows(spark):
     assert rows(wide, "vin", "ver_eff", *names) == rows(via_maps, "vin", "ver_eff", *names)
 
 
+def test_a_bucketed_store_is_looked_up_where_it_lies(spark, tmp_path):
+    rng = random.Random(9)
+    # One id holds a third of all entries; ids, coverages and dates repeat, some ids are unknown.
+    ids = ["a"] * 20 + [f"id{n}" for n in range(40)] + [None]
+    stored = {(rng.choice(ids), rng.choice(["DC", "TPL", "other"]), rng.randrange(0, 400, 20)):
+              (rng.randrange(1, 99), rng.randrange(1, 99)) for _ in range(1500)}
+    start = day("2020-01-01")
+    entries = [(i, c, start + dt.timedelta(days=d), [x, 0], [x, y])
+               for (i, c, d), (x, y) in stored.items()]
+    entries += entries[:50]
+    events = [(n, rng.choice([*ids, "z"]), start + dt.timedelta(days=rng.randrange(-20, 420)))
+              for n in range(700)] + [(700, "a", None), (701, None, start)]
+    store_rows = spark.createDataFrame(
+        entries, "vin string, cvg string, dt date, bins array<bigint>, acum array<bigint>")
+    event_rows = spark.createDataFrame(events, "n long, vin string, ver_eff date")
+
+    def newest(vin, when, coverage):
+        dated = [(d, v) for (i, c, d), v in stored.items() if vin is not None and i == vin
+                 and c == coverage and when is not None and start + dt.timedelta(days=d) <= when]
+        return max(dated)[1] if dated else None
+
+    want = []
+    for n, vin, when in events:
+        figures = []
+        for c in ("DC", "TPL"):
+            x, y = newest(vin, when, c) or (0, 0)
+            figures += [x, x, 0, y]  # bin and total of the month itself, then of the one before
+        want.append((n, vin, when, *figures))
+
+    buckets = 4
+    store.save_claim_table(store_rows, "vin", "bucketed_claims", str(tmp_path / "t"), buckets)
+    table = spark.table("bucketed_claims")
+    found = store.point_in_time_features(event_rows, {"vin": table}, ["DC", "TPL"], 1, buckets)
+    assert rows(found) == sorted(want, key=repr)
+    plain = store.point_in_time_features(event_rows, {"vin": store_rows}, ["DC", "TPL"], 1)
+    assert rows(plain) == sorted(want, key=repr)
+    none = store.point_in_time_features(event_rows, {"vin": store_rows.limit(0)}, ["DC"], 0)
+    assert {r[3:] for r in rows(none)} == {(0, 0)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked_up = store._lookup(event_rows, table, "vin", ["DC", "TPL"], buckets)
+        plan = looked_up._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_claims")
+    # The two exchanges deal the dates asked for; no row of the store is dealt again.
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 2
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan" in line)
+    assert not any("Exchange" in line for line in lines[:scan])
+
+
 def test_merge_maps_last_wins_and_lookup_edges(spark):
     df = spark.createDataFrame(
         [({"a": 1, "b": 2}, {"b": 3}, None)], "x map<string,int>, y map<string,int>, z map<string,int>"

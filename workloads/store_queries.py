@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from hindcast.functions import maps
 from hindcast.operators.reliable import checkpointed, scratch_folder
 from hindcast.operators.retro import EXPOSURE_WINDOWS, retro_losses_long
 from hindcast.plans import history, store
+from hindcast.sources import read_table
 from workloads import inputs
 from workloads import tables as t
 from workloads.ctes import sql
@@ -208,9 +210,15 @@ def _wide(kk: str, c: str) -> str:
     )))
 def point_in_time_features(spark, folder):
     claims = checkpointed(inputs.claims_long(spark, folder))
-    stores = {kk: store.claim_store(claims, kk, t.CALENDAR) for kk in ("vin", "dln")}
     events = checkpointed(_events(spark, folder))
-    return store.point_in_time_features(events, stores)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stores = {}
+    for kk in ("vin", "dln"):
+        table = f"claim_store_{kk}_{uuid.uuid4().hex}"
+        rows = store.claim_store(claims, kk, t.CALENDAR)
+        store.save_claim_table(rows, kk, table, scratch_folder(claims), buckets)
+        stores[kk] = read_table(spark, table)
+    return store.point_in_time_features(events, stores, buckets=buckets)
 
 
 def _term_figures(kk: str) -> str:
