@@ -21,6 +21,7 @@ from hindcast.operators.retro import (
     retro_exposures,
     retro_losses,
 )
+from hindcast.operators.timeline import read_timeline
 from hindcast.sources import overwrite_partitions, read_parquet, store_path
 
 CLAIM_STORE = "feature_store_claim"
@@ -168,23 +169,33 @@ def loss_feature_names(
 
 
 def _lookup(
-    events: DataFrame, stored: DataFrame, id_column: str, coverages: Sequence[str],
-    buckets: int | None,
+    events: DataFrame, stored: DataFrame, id_column: str, coverages: Sequence[str]
 ) -> DataFrame:
-    """Per distinct (id, date) of the events the newest entry of each coverage, date included.
+    """Per distinct (id, date) of the events the newest entry of each coverage, date included."""
+    wide = stored.groupBy(id_column, "dt").agg(
+        *[
+            F.max(F.when(F.col("cvg") == c, F.struct("bins", "acum"))).alias(f"_{id_column}_{c}")
+            for c in coverages
+        ]
+    )
+    asked = events.select(id_column, "ver_eff").dropna().distinct()
+    values = [f"_{id_column}_{c}" for c in coverages]
+    return read_timeline(asked, wide, [id_column], "ver_eff", "dt", values)
+
+
+def _lookup_in_buckets(
+    events: DataFrame, stored: DataFrame, id_column: str, coverages: Sequence[str], buckets: int
+) -> DataFrame:
+    """:func:`_lookup` on a table bucketed by id, none of whose rows is shuffled before it is found.
 
     An entry holds from its date up to the next of its id and coverage. Each entry picks the dates asked
     for its id that it holds at; both sides of that join are bounded by the calendar per id, and only
     entries that some date needs leave it.
     """
-    asked = events.select(id_column, "ver_eff").dropna().distinct()
-    entries = stored.filter(F.col(id_column).isNotNull() & F.col("cvg").isin(*coverages))
-    if buckets:
-        asked = asked.repartition(buckets, id_column)
-    else:
-        asked, entries = asked.repartition(id_column), entries.repartition(id_column)
+    asked = events.select(id_column, "ver_eff").dropna().distinct().repartition(buckets, id_column)
     dates = asked.groupBy(id_column).agg(F.collect_list("ver_eff").alias("_asked"))
     following = Window.partitionBy(id_column, "cvg").orderBy("dt")
+    entries = stored.filter(F.col(id_column).isNotNull() & F.col("cvg").isin(*coverages))
     entries = entries.withColumn("_until", F.lead("dt").over(following))
 
     def holds(day: Column) -> Column:
@@ -216,7 +227,10 @@ def point_in_time_features(
     """
     joined = events
     for kk, stored in stores.items():
-        found = _lookup(events, stored, kk, coverages, buckets)
+        if buckets:
+            found = _lookup_in_buckets(events, stored, kk, coverages, buckets)
+        else:
+            found = _lookup(events, stored, kk, coverages)
         joined = joined.join(found, [kk, "ver_eff"], "left")
     values = [
         f"cast(coalesce(get(_{kk}_{c}.{field}, {m}), 0) as bigint) as "

@@ -149,7 +149,7 @@ def test_a_bucketed_store_is_looked_up_where_it_lies(spark, tmp_path):
     assert {r[3:] for r in rows(none)} == {(0, 0)}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        looked_up = store._lookup(event_rows, table, "vin", ["DC", "TPL"], buckets)
+        looked_up = store._lookup_in_buckets(event_rows, table, "vin", ["DC", "TPL"], buckets)
         plan = looked_up._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

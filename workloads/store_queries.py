@@ -199,7 +199,7 @@ def _wide(kk: str, c: str) -> str:
     )
 
 
-@query("point_in_time_features", sql(
+_POINT_IN_TIME = sql(
     "SELECT e.policy_num, e.vin, e.dln, CAST(e.ver_eff AS VARCHAR) AS ver_eff,\n"
     + ",\n".join(_wide(kk, c) for kk in ("vin", "dln") for c in COVERAGES)
     + "\nFROM (SELECT policy_num, vin, dln, ver_eff FROM events_labelled) e\n"
@@ -207,8 +207,20 @@ def _wide(kk: str, c: str) -> str:
         f"ASOF LEFT JOIN (SELECT * FROM store_{kk} WHERE cvg = '{c}') {kk}_{c} "
         f"ON {kk}_{c}.{kk} = e.{kk} AND {kk}_{c}.dt <= e.ver_eff"
         for kk in ("vin", "dln") for c in COVERAGES
-    )))
+    ))
+
+
+@query("point_in_time_features", _POINT_IN_TIME)
 def point_in_time_features(spark, folder):
+    claims = checkpointed(inputs.claims_long(spark, folder))
+    stores = {kk: store.claim_store(claims, kk, t.CALENDAR) for kk in ("vin", "dln")}
+    events = checkpointed(_events(spark, folder))
+    return store.point_in_time_features(events, stores)
+
+
+@query("point_in_time_features_bucketed", _POINT_IN_TIME)
+def point_in_time_features_bucketed(spark, folder):
+    """The same from saved tables, whose rows are looked up where they lie."""
     claims = checkpointed(inputs.claims_long(spark, folder))
     events = checkpointed(_events(spark, folder))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
