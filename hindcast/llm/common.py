@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 import tempfile
 import zipfile
@@ -89,6 +90,26 @@ def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return task
 
 
+def lean_group(work: Callable) -> Callable:
+    """The same for a function of whole groups, one or two tables at a time."""
+    if len(inspect.signature(work).parameters) == 2:  # Spark tells cogroups by the parameters
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return work(left, right)
+            finally:
+                give_back()
+
+        return pair
+
+    def group(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    return group
+
+
 def rows_where(df: DataFrame, test: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """Rows of ``df`` whose text passes; ``test()`` is called once per task. No shuffle."""
     at = df.columns.index("text")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import HashedWords, mixed, stored
+from hindcast.llm.common import HashedWords, lean, lean_group, mixed, stored
 
 HOT_SHARE = 8
 PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 1_800_000, 60_000
@@ -272,7 +272,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             yield counted()
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        count, "word long, n long")
+        lean(count), "word long, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -335,7 +335,7 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
         if texts:
             yield block()
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, BLOCKS)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), BLOCKS)
 
 
 def gathered(blocks: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def gathered(blocks: DataFrame) -> DataFrame:
                         batches.tobytes(), length.tobytes(), packed(step)))
         return pa.Table.from_batches([_batch(out, BLOCKS)])
 
-    return blocks.groupBy("part").applyInArrow(gather, BLOCKS)
+    return blocks.groupBy("part").applyInArrow(lean_group(gather), BLOCKS)
 
 
 def first_sums(cells: DataFrame, places: int) -> DataFrame:
@@ -388,7 +388,7 @@ def first_sums(cells: DataFrame, places: int) -> DataFrame:
             for i in range(batch.num_rows):
                 yield _batch(list(Part(batch.slice(i, 1).to_pylist()[0], 0).sums(places)), SUMS)
 
-    return cells.mapInArrow(send, SUMS)
+    return cells.mapInArrow(lean(send), SUMS)
 
 
 def met(sums: DataFrame, parent: Parent, step: int) -> DataFrame:
@@ -423,7 +423,7 @@ def met(sums: DataFrame, parent: Parent, step: int) -> DataFrame:
                             packed(others[a:end]), None, None, None, None))
         return pa.Table.from_batches([_batch(out, REPLIES)])
 
-    return sums.groupBy("place").applyInArrow(meet, REPLIES)
+    return sums.groupBy("place").applyInArrow(lean_group(meet), REPLIES)
 
 
 def score_documents(
@@ -484,7 +484,7 @@ def score_documents(
     replies, parent = exchanged(first_sums(own, places), 0)
     for step in range(1, rounds + 2):
         sums = own.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(
-            round_of(parent, step), SUMS)
+            lean_group(round_of(parent, step)), SUMS)
         replies, parent = exchanged(sums, step)
 
     def score(cells: pa.Table, replies: pa.Table) -> pa.Table:
@@ -505,7 +505,7 @@ def score_documents(
         return pa.Table.from_batches([_batch(out, PROBABILITIES)])
 
     probabilities = cells.select("part", *COLUMNS).groupBy("part").cogroup(
-        replies.groupBy("part")).applyInArrow(score, PROBABILITIES)
+        replies.groupBy("part")).applyInArrow(lean_group(score), PROBABILITIES)
     heads = rows.filter(F.col("kind") == DOCS).select(
         "batch", F.lit(-1).cast("long").alias("part"), *COLUMNS[:6])
     both = heads.unionByName(probabilities, allowMissingColumns=True)
@@ -534,4 +534,4 @@ def score_documents(
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                   "score"])
 
-    return both.groupBy("batch").applyInArrow(summed, SCORES)
+    return both.groupBy("batch").applyInArrow(lean_group(summed), SCORES)
