@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,19 +122,16 @@ def retro_losses(
         .groupBy(id_column, "cvg", "dt")
         .agg(*[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months])
     )
-    listed = sums.select(
-        id_column, "cvg", "dt", F.array(*[F.col(f"_b{m}") for m in months]).alias("_cents")
-    )
-    running = F.aggregate(
-        "_cents", F.array().cast("array<bigint>"),
-        lambda done, x: F.array_append(
-            done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("bigint")) + x),
-    )
-    return listed.select(
-        id_column, "cvg", "dt",
-        F.expr("transform(_cents, x -> x div 100)").alias("bins"), running.alias("_running"),
-    ).select(
-        id_column, "cvg", "dt", "bins", F.expr("transform(_running, x -> x div 100)").alias("acum")
+    # Chained in one projection: what the sums share is evaluated once per row, no array is copied.
+    single = [F.col(f"_b{m}") for m in months]
+    running = list(accumulate(single, lambda done, x: done + x))
+
+    def whole_units(cents: Sequence[Column]) -> Column:
+        return F.transform(F.array(*cents), lambda x: F.call_function("div", x, F.lit(100)))
+
+    return sums.select(
+        id_column, "cvg", "dt", whole_units(single).alias("bins"),
+        whole_units(running).alias("acum"),
     ).filter((F.array_max("bins") > 0) | (F.array_max("acum") > 0))
 
 
