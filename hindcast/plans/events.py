@@ -122,9 +122,12 @@ def policy_regions(
 
 def postal_features(
     postal: DataFrame, area_map: DataFrame, area_facts: DataFrame,
-    loads: Sequence[str] = ("dlh_batch_ts", "dlh_process_ts"),
+    loads: Sequence[str] = (),
 ) -> DataFrame:
-    """Census facts of the areas in which vehicles were garaged, stamped with the job date."""
+    """Census facts of the areas in which vehicles were garaged, stamped with the job date.
+
+    ``loads`` names columns of ``area_facts`` that only tell when they were loaded; they are dropped.
+    """
     facts = area_facts.drop(*loads)
     areas = area_map.join(facts, ["da"], "inner").select(
         "postalcode", "province", "municipalityname", "longitude", "latitude",

@@ -49,7 +49,8 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
 
 def postal(spark: SparkSession, folder: str) -> DataFrame:
     return events.postal_features(
-        t.vehicle_postal(spark, folder), t.area_map(spark, folder), t.area_facts(spark, folder)
+        t.vehicle_postal(spark, folder), t.area_map(spark, folder), t.area_facts(spark, folder),
+        loads=t.AREA_LOADS,
     )
 
 

@@ -18,6 +18,7 @@ ALL_COVERAGES = ("DC", "COMPSP", "APCOLL", "TPL", "AB", "UIN")
 CAR_CLAIMS = "R"  # returned lines stand for car claims, others for other lines of business
 CLAIM_TIES = ("src_order", "src_line")
 DRIVER_TIES = ("seq", "years_licensed", "disc", "status")
+AREA_LOADS = ("loaded_at",)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -114,7 +115,7 @@ def area_map(spark: SparkSession, folder: str) -> DataFrame:
 def area_facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "region").selectExpr(
         "concat('A', r_regionkey) as da", "r_name as area_name",
-        "cast(r_regionkey * 1000 as int) as population", "current_timestamp() as dlh_batch_ts",
+        "cast(r_regionkey * 1000 as int) as population", "current_timestamp() as loaded_at",
     )
 
 
