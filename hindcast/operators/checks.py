@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.operators.reliable import checkpointed
+
 
 def _verdict(df: DataFrame, check: str, left: str, right: str, ok) -> DataFrame:
     return df.select(
@@ -54,6 +56,31 @@ def no_nulls(df: DataFrame, columns: Sequence[str], check: str) -> DataFrame:
     return _verdict(totals, check, "a", "b", F.col("a") == 0)
 
 
+def watched(
+    df: DataFrame, nulls: Sequence[str] = (), **counts: Column
+) -> tuple[DataFrame, dict[str, int]]:
+    """Write ``df`` to the checkpoint folder and count on the way: (written table, figures).
+
+    Figures are ``rows``, ``null_<column>`` for each of ``nulls`` and the rows where a condition in
+    ``counts`` holds. They are collected by the job that writes, in its last stage, so a check costs
+    no second evaluation and a task that is run again counts once. An empty table has zeros.
+    """
+    figures = {"rows": F.count(F.lit(1))}
+    figures |= {f"null_{c}": F.count(F.when(F.col(c).isNull(), 1)) for c in nulls}
+    figures |= {name: F.count(F.when(holds, 1)) for name, holds in counts.items()}
+    seen = Observation()
+    written = checkpointed(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return written, {name: seen.get.get(name) or 0 for name in figures}
+
+
+def from_figures(
+    spark: SparkSession, check: str, found: int, expected: int, passed: bool
+) -> DataFrame:
+    """The row of a check whose figures :func:`watched` has collected."""
+    one = spark.range(1).select(F.lit(found).alias("a"), F.lit(expected).alias("b"))
+    return _verdict(one, check, "a", "b", F.lit(passed))
+
+
 def same_columns(left: DataFrame, right: DataFrame) -> bool:
     """Whether two frames have the same columns in the same order."""
     return left.columns == right.columns

@@ -144,8 +144,14 @@ def value_ranks(cells: DataFrame, weight: str | None = None) -> DataFrame:
 
 def exact_quantiles(cells: DataFrame, q: float) -> DataFrame:
     """``column_name, quantile``: linear interpolation between the two neighbouring ranks."""
-    ranks = value_ranks(cells)
-    at = (F.col("total") - 1) * F.lit(q)
+    return quantile_table(cells, [q]).select("column_name", "quantile")
+
+
+def quantile_table(cells: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """``column_name, q, quantile`` for several shares ``q`` from one ranking pass."""
+    asked = F.explode(F.array(*[F.lit(float(q)) for q in shares]))
+    ranks = value_ranks(cells).withColumn("q", asked)
+    at = (F.col("total") - 1) * F.col("q")
     low, high = F.floor(at), F.ceil(at)
 
     def holds(place: Column) -> Column:
@@ -153,11 +159,11 @@ def exact_quantiles(cells: DataFrame, q: float) -> DataFrame:
 
     near = (
         ranks.filter(holds(low) | holds(high))
-        .groupBy("column_name")
+        .groupBy("column_name", "q")
         .agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(at - low).alias("w"))
     )
     return near.select(
-        "column_name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile")
+        "column_name", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile")
     )
 
 
