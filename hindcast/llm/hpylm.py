@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,19 +58,42 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double":
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch, their binary fields compressed; :func:`opened` undoes that."""
     names, kinds = zip(*(field.split() for field in schema.split(", ")))
     columns = list(zip(*rows)) or [[]] * len(names)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, ARROW[k]) for c, k in zip(columns, kinds)], names=list(names))
+        [pa.array([squeeze(x) if type(x) is bytes else x for x in c], ARROW[k])
+         for c, k in zip(columns, kinds)], names=list(names))
+
+
+def opened(row: dict) -> dict:
+    widen = zstandard.ZstdDecompressor().decompress
+    return {name: widen(x) if isinstance(x, (bytes, bytearray)) else x for name, x in row.items()}
+
+
+def opened_rows(table: pa.Table) -> list[dict]:
+    return [opened(row) for row in table.to_pylist()]
+
+
+def apart(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: high bytes are alike and compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def together(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(parts.T).view(kind).ravel()
 
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 on in the narrowest type that holds them all."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+    return apart(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"u{len(data) // max(n, 1) or 1}").astype(np.int64)
+    return together(data, f"u{len(data) // max(n, 1) or 1}").astype(np.int64)
 
 
 def planes(keys: np.ndarray, width: int) -> bytes:
@@ -168,6 +192,7 @@ class Part:
     """The cells (word, context, count) of a part and their seating; count 0: held out only."""
 
     def __init__(self, row: dict, step: int):
+        row = opened(row)
         self.number = row["part"]
         self.words = hashes(row["a"], WORD_BYTES)
         context = hashes(row["c"], CONTEXT_BYTES)
@@ -312,7 +337,7 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
             rows = [(-1 - batch_id % 1_000_003, batch_id, DOCS,
                      np.array([n or 0 for n in names], dtype=np.int64).tobytes(),
                      length.tobytes(), held.tobytes(),
-                     np.array([n is None for n in names]).tobytes(), packed(often), doc.tobytes(),
+                     np.array([n is None for n in names]).tobytes(), packed(often), apart(doc),
                      None)]
             edges = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
@@ -347,7 +372,7 @@ def gathered(blocks: DataFrame) -> DataFrame:
     """
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = opened_rows(table)
         out = [(r["part"], r["batch"], DOCS, *(r[c] for c in COLUMNS))
                for r in rows if r["kind"] == DOCS]
         number = rows[0]["part"]
@@ -395,7 +420,7 @@ def met(sums: DataFrame, parent: Parent, step: int) -> DataFrame:
     """Replies of the places, and rows PARENT that add up to the parent's totals."""
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        rows = sorted(opened_rows(table), key=lambda r: r["part"])
         out = []
         for kind, width in ((WORD, WORD_BYTES), (CONTEXT, CONTEXT_BYTES)):
             own = [r for r in rows if r["kind"] == kind]
@@ -448,8 +473,9 @@ def score_documents(
 
     def once_or_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = unpacked(d, len(c) // CONTEXT_BYTES)
+            for i in range(batch.num_rows):
+                row = opened(batch.slice(i, 1).to_pylist()[0])
+                n = unpacked(row["d"], len(row["c"]) // CONTEXT_BYTES)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int((n == k).sum())], pa.int64()) for k in (1, 2)],
                     names=["ones", "twos"])
@@ -473,7 +499,7 @@ def score_documents(
             out = []
             for row in cells.to_pylist():
                 part = Part(row, step)
-                part.listen(replies.to_pylist(), places)
+                part.listen(opened_rows(replies), places)
                 for _ in range(2):
                     part.sweep(parent, discount)
                 out += part.sums(places)
@@ -491,7 +517,8 @@ def score_documents(
         out = []
         for row in cells.to_pylist():
             part = Part(row, rounds + 2)
-            part.listen(replies.to_pylist(), places)
+            row = opened({name: row[name] for name in ("part", "e", "f", "g")})
+            part.listen(opened_rows(replies), places)
             logs = np.log10(part.averaged(parent, discount, sweeps, burn)).astype(np.float32)
             length = np.frombuffer(row["f"], dtype=np.int64)
             step = unpacked(row["g"], int(length.sum()))
@@ -500,7 +527,7 @@ def score_documents(
                 a, end = end, end + n
                 at = np.cumsum(step[a:end])
                 word, run = np.unique(part.word[at], return_counts=True)
-                out.append((int(batch), row["part"], logs[at].tobytes(), packed(run),
+                out.append((int(batch), row["part"], apart(logs[at]), packed(run),
                             packed(part.word_count[word]), len(word)))
         return pa.Table.from_batches([_batch(out, PROBABILITIES)])
 
@@ -511,11 +538,11 @@ def score_documents(
     both = heads.unionByName(probabilities, allowMissingColumns=True)
 
     def summed(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        rows = sorted(opened_rows(table), key=lambda r: r["part"])
         head, rows = rows[0], rows[1:]
         ids = np.frombuffer(head["a"], dtype=np.int64)
-        doc = np.frombuffer(head["f"], dtype=np.uint16)
-        score = np.concatenate([np.frombuffer(r["a"], dtype=np.float32) for r in rows])
+        doc = together(head["f"], "u2")
+        score = np.concatenate([together(r["a"], "f4") for r in rows])
         count = np.concatenate([np.repeat(unpacked(r["c"], r["words"]),
                                           unpacked(r["b"], r["words"])) for r in rows])
         often = unpacked(head["e"], len(score))
