@@ -1,9 +1,9 @@
 """Snapshots at month ends and sums over windows that reach back from them.
 
 Facts are never range-joined with ids x month ends. A snapshot calendar is a rule, so each claim or
-session can name the months whose windows may hold it: at most one per month of reach. That is an
-explode of bounded width, an equi join with the calendar (one row per month end, so its size is
-known before it is broadcast) and an aggregation.
+session can name the months whose windows may hold it. Losses, whose bins differ with every month,
+are exploded over them, but after all shuffles. The calendar has one row per month end, so its size
+is known before it is broadcast.
 """
 
 from __future__ import annotations
@@ -52,9 +52,12 @@ class MonthEnds:
 
     def months_between(self, start: Column | str, end: Column | str) -> Column:
         """Month numbers of the calendar from the month of ``start`` to that of ``end``."""
+        return self.numbers_between(month_number(start), month_number(end))
+
+    def numbers_between(self, first: Column, last: Column) -> Column:
+        """The month numbers from ``first`` to ``last`` that the calendar has; NULL for none."""
         low, high = self._span()
-        first = F.greatest(month_number(start), F.lit(low))
-        last = F.least(month_number(end), F.lit(high))
+        first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
         return F.when(first <= last, F.sequence(first, last))
 
 
@@ -99,24 +102,33 @@ def retro_losses(
         .groupBy(id_column, "cvg", "loss_dt")
         .agg(F.sum("loss_sum").alias("loss"))
     )
-    reach = F.add_months("loss_dt", retro_months + 1)
-    dated = daily.select(
-        id_column, "cvg",
-        (F.col("loss") * 100).cast("bigint").alias("_cents"),
-        month_number("loss_dt").alias("_loss_month"),
-        F.dayofmonth("loss_dt").alias("_day"),
-        F.dayofmonth(F.last_day("loss_dt")).alias("_days_in_month"),
-        F.explode(calendar.months_between("loss_dt", reach)).alias("_month"),
+    # a month end taken back to the month of the loss falls on its own day, or on that month's last:
+    # days before the 28th are on the same side of every month end
+    day = F.dayofmonth("loss_dt")
+    reach = calendar.numbers_between(F.col("_loss_month"), F.col("_loss_month") + retro_months + 1)
+    # Few rows per id and month are dealt by id and coverage. All that follows stays in the task, so
+    # the wide rows per snapshot are never shuffled; the calendar bounds what an id brings there.
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    monthly = (
+        daily.select(
+            id_column, "cvg",
+            (F.col("loss") * 100).cast("bigint").alias("_cents"),
+            month_number("loss_dt").alias("_loss_month"),
+            F.greatest(day, F.lit(27)).alias("_day"),
+            F.dayofmonth(F.last_day("loss_dt")).alias("_days_in_month"),
+        )
+        .filter(reach.isNotNull())
+        .repartition(parts, id_column, "cvg")
+        .groupBy(id_column, "cvg", "_loss_month", "_day", "_days_in_month")
+        .agg(F.sum("_cents").alias("_cents"))
     )
-    # a month end taken back to the month of the loss falls on its own day, or on that month's last
+    dated = monthly.withColumn("_month", F.explode(reach))
     edge = F.least(F.dayofmonth("dt"), F.col("_days_in_month"))
     reached = (F.col("_day") >= edge).cast("int")
     binned = dated.join(F.broadcast(calendar.table(claims.sparkSession)), "_month").withColumn(
         "_bin", F.col("_month") - F.col("_loss_month") - reached
     )
     months = range(retro_months + 1)
-    # The days of an id are spread over tasks here, and summed in them before they are shuffled by
-    # snapshot: an id with very many days is split by its snapshots.
     sums = (
         binned.filter(F.col("_bin").between(0, retro_months))
         .groupBy(id_column, "cvg", "dt")

@@ -224,3 +224,13 @@ def test_sums_beyond_32_bits_fit_the_nested_store(spark):
     nested = store.nested_exposure_store(stored, "dln").collect()
     values = [v for inner in nested[0]["properties"].values() for v in inner.values()]
     assert max(values) > 2 ** 31
+
+
+def test_rows_per_snapshot_are_not_shuffled(spark):
+    claims = spark.createDataFrame(
+        [(f"P{i}", "DC", f"C{i}", random_day(random.Random(i)), Decimal(i + 1)) for i in range(30)],
+        "policy_num string, cvg string, int_claim_num string, loss_dt date, loss_sum decimal(18,2)")
+    stored = retro_losses(claims, "policy_num", CALENDAR, ["DC"], 5)
+    plan = stored._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert dealt and min(dealt) > max(k for k, line in enumerate(plan) if "Generate explode" in line)
