@@ -2,8 +2,9 @@
 
 Facts are never range-joined with ids x month ends. A snapshot calendar is a rule, so each claim or
 session can name the months whose windows may hold it. Losses, whose bins differ with every month,
-are exploded over them, but after all shuffles. The calendar has one row per month end, so its size
-is known before it is broadcast.
+are exploded over them, but after all shuffles. Exposures change a running total at the first and
+after the last of them. The calendar is joined last: it has one row per month end, so its size is
+known before it is broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.dates import months_back
@@ -167,60 +168,74 @@ def retro_exposures(
     sum, mean and sample variance of ``session_prem``; mean and variance of ``ver_days``; distinct
     counts of the two ``others``, ``term_eff`` and ``ver_eff``. A variance over one session is 0.
 
-    A session meets a snapshot once, with a bit mask of the windows that hold it. Distinct values
-    are counted by OR-ing the masks per value, in place of one distinct aggregate per window.
-    Before they meet the calendar, rows are reduced to one per id (or value) and pair of dates.
-    These stay spread over the tasks by their dates; exploded rows are summed there before they are
-    shuffled by id and snapshot, so an id with a third of all rows is in no single task. Store or
+    The snapshots whose window ``(near, far)`` holds a session run from a month that its end and
+    ``near`` give to one that its start and ``far`` give. So a session, or a value's sessions, adds
+    its figures at the first of them and takes them back after the last; running totals over the
+    months that something happens in give all snapshots. No row is repeated per month before it is
+    summed per id, window and month.
+
+    A value counts once while any of its sessions is held. In the order of their ends the runs of
+    months begin in order too, so each adds what lies after the furthest run before it. Of sessions
+    of a value with one end the latest start decides, so a value has at most one row per day. Store or
     checkpoint ``sessions`` first: they are read twice.
     """
-    reach = max(far for _, far in windows)
     eff, exp = F.col("ver_eff"), F.col("ver_exp")
-    edges = [m for window in windows for m in window]
-    months = F.broadcast(calendar.table(sessions.sparkSession, edges))
-    mask = F.lit(0)
-    for bit, (near, far) in enumerate(windows):
-        inside = (F.col(f"_back_{far}") <= eff) & (F.col(f"_back_{near}") > exp)
-        mask = mask.bitwiseOR(F.when(inside, F.lit(1 << bit)).otherwise(F.lit(0)))
-
-    def placed(df: DataFrame) -> DataFrame:
-        near_by = calendar.months_between(exp, F.add_months(eff, reach + 1))
-        return (
-            df.withColumn("_month", F.explode(near_by))
-            .join(months, "_month")
-            .withColumn("_mask", mask)
-            .filter("_mask > 0")
-        )
+    low, high = calendar._span()
+    nears, fars = (sorted({w[i] for w in windows}) for i in (0, 1))
+
+    def reaches(date: Column, months: int) -> tuple[Column, Column]:
+        """The month so much after ``date``, and its end taken back again."""
+        end = F.last_day(F.add_months(F.trunc(date, "month"), months))
+        return month_number(end), months_back(end, months)
+
+    def first_month(near: int) -> Column:
+        month, back = reaches(exp, near)
+        return F.greatest(month + F.when(back > exp, 0).otherwise(1), F.lit(low))
+
+    def last_month(far: int) -> Column:
+        month, back = reaches(eff, far)
+        return F.least(month - F.when(back <= eff, 0).otherwise(1), F.lit(high))
+
+    def edges(df: DataFrame, figures: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+        """Per window the month in which the figures come and the one in which they go."""
+        ends = F.array(*[
+            F.struct(F.lit(i).alias("_window"), F.col(f"_first_{near}").alias("_from"),
+                     F.col(f"_last_{far}").alias("_to"),
+                     *([F.col(f"_seen_{far}").alias("_seen")] if f"_seen_{far}" in df.columns
+                       else [F.lit(None).cast("int").alias("_seen")]))
+            for i, (near, far) in enumerate(windows)
+        ])
+        start = F.greatest(F.col("_from"), F.col("_seen") + 1)
+        held = df.select(id_column, *keep, *figures, F.inline(ends)).withColumn(
+            "_from", start).filter("_from <= _to")
+        come = F.struct(F.col("_from").alias("_month"), F.lit(True).alias("_comes"))
+        go = F.struct((F.col("_to") + 1).alias("_month"), F.lit(False).alias("_comes"))
+        signed = [F.when(F.col("_comes"), F.col(c)).otherwise(-F.col(c)).alias(c) for c in figures]
+        return held.select(id_column, "_window", *keep, *figures, F.inline(F.array(come, go))).select(
+            id_column, "_window", "_month", *keep, *signed)
+
+    def with_months(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            **{f"_first_{near}": first_month(near) for near in nears},
+            **{f"_last_{far}": last_month(far) for far in fars}})
 
-    held_by = F.filter(
-        F.array(*[F.lit(i) for i in range(len(windows))]),
-        lambda i: F.getbit("_mask", i) == 1,
-    )
     known = sessions.dropna(subset=[id_column, "ver_eff", "ver_exp"])
-    figures = ("_n_c", "_s_c", "_q_c", "_n_d", "_s_d", "_q_d")
+    figures = ("_k", "_n_c", "_s_c", "_q_c", "_n_d", "_s_d", "_q_d")
     cents = (F.col("session_prem").cast("decimal(18,2)") * 100).cast("long")
     square = cents.cast("decimal(18,0)") * cents.cast("decimal(18,0)")
     days = F.col("ver_days").cast("long")
-    by_dates = (
-        known.groupBy(id_column, "ver_eff", "ver_exp")
-        .agg(
-            F.count(cents).alias("_n_c"),
-            F.sum(cents).alias("_s_c"),
-            F.sum(square).alias("_q_c"),
-            F.count(days).alias("_n_d"),
-            F.sum(days).alias("_s_d"),
-            F.sum(days * days).alias("_q_d"),
-        )
-    )
-    sums = [F.sum(c).alias(c) for c in figures]
-    numbers = (
-        placed(by_dates)
-        .groupBy(id_column, "dt", "_mask")
-        .agg(*sums)
-        .withColumn("_window", F.explode(held_by))
-        .groupBy(id_column, "dt", "_window")
-        .agg(*sums)
+    zero = F.lit(0).cast("long")
+    by_dates = known.groupBy(id_column, "ver_eff", "ver_exp").agg(
+        F.count(F.lit(1)).alias("_k"),
+        F.count(cents).alias("_n_c"),
+        F.coalesce(F.sum(cents), zero).alias("_s_c"),
+        F.coalesce(F.sum(square), F.lit(0).cast("decimal(38,0)")).alias("_q_c"),
+        F.count(days).alias("_n_d"),
+        F.coalesce(F.sum(days), zero).alias("_s_d"),
+        F.coalesce(F.sum(days * days), zero).alias("_q_d"),
     )
+    numbers = edges(with_months(by_dates), figures).groupBy(id_column, "_window", "_month").agg(
+        *[F.sum(c).alias(c) for c in figures])
     dims = [*others, "term_eff", "ver_eff"]
     values = F.array(
         *[
@@ -231,22 +246,33 @@ def retro_exposures(
     by_value = (
         known.select(id_column, "ver_eff", "ver_exp", F.inline(values))
         .filter("_value is not null")
-        .distinct()
+        .groupBy(id_column, "_dim", "_value", "ver_exp")
+        .agg(F.max("ver_eff").alias("ver_eff"))
     )
-    counts = (
-        placed(by_value)
-        .groupBy(id_column, "dt", "_dim", "_value")
-        .agg(F.bit_or("_mask").alias("_mask"))
-        .groupBy(id_column, "dt", "_dim", "_mask")
-        .agg(F.count(F.lit(1)).alias("_values"))
-        .withColumn("_window", F.explode(held_by))
-        .groupBy(id_column, "dt", "_window")
-        .agg(
-            *[
-                F.sum(F.when(F.col("_dim") == i, F.col("_values"))).alias(f"cntdist_{d}")
-                for i, d in enumerate(dims)
-            ]
-        )
+    earlier = (
+        Window.partitionBy(id_column, "_dim", "_value").orderBy("ver_exp")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = with_months(by_value)
+    placed = placed.withColumns({f"_seen_{far}": F.max(f"_last_{far}").over(earlier) for far in fars})
+    counted = edges(placed.withColumn("_values", F.lit(1).cast("long")), ["_values"], ["_dim"])
+    names = [f"cntdist_{d}" for d in dims]
+    counts = counted.groupBy(id_column, "_window", "_month").agg(
+        *[F.sum(F.when(F.col("_dim") == i, F.col("_values"))).alias(c) for i, c in enumerate(names)])
+    totals = [*figures, *names]
+    # Windows here hold one id and window: at most two rows per month of the calendar.
+    in_order = Window.partitionBy(id_column, "_window").orderBy("_month")
+    changes = numbers.unionByName(counts, allowMissingColumns=True).groupBy(
+        id_column, "_window", "_month").agg(*[F.sum(c).alias(c) for c in totals])
+    running = changes.select(
+        id_column, "_window", "_month", F.lead("_month").over(in_order).alias("_next"),
+        *[F.sum(c).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c)
+          for c in totals],
+    )
+    snapshots = (
+        running.filter("_k > 0")
+        .withColumn("_month", F.explode(F.sequence("_month", F.col("_next") - 1)))
+        .join(F.broadcast(calendar.table(sessions.sparkSession)), "_month")
     )
 
     def variance(n: str, s: str, q: str, scale: int) -> Column:
@@ -263,8 +289,7 @@ def retro_exposures(
         *[F.struct(F.lit(near).alias("near"), F.lit(far).alias("far")) for near, far in windows]
     )
     return (
-        numbers.join(counts, [id_column, "dt", "_window"], "left")
-        .withColumn("_edges", F.get(windows_dim, F.col("_window")))
+        snapshots.withColumn("_edges", F.get(windows_dim, F.col("_window")))
         .select(
             id_column, "dt",
             F.col("_edges.near").alias("near_months"), F.col("_edges.far").alias("far_months"),

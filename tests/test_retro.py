@@ -234,3 +234,37 @@ def test_rows_per_snapshot_are_not_shuffled(spark):
     plan = stored._jdf.queryExecution().executedPlan().toString().splitlines()
     dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
     assert dealt and min(dealt) > max(k for k, line in enumerate(plan) if "Generate explode" in line)
+
+
+def test_exposures_are_not_repeated_per_month(spark):
+    start = day("2020-03-01")
+    sessions = spark.createDataFrame(
+        [("V1", f"D{i % 7}", f"P{i}", start, start + dt.timedelta(days=i % 90), start, i % 90, Decimal(i))
+         for i in range(200)],
+        "vin string, dln string, policy_num string, ver_eff date, ver_exp date, term_eff date, "
+        "ver_days int, session_prem decimal(18,2)")
+    stored = retro_exposures(sessions, "vin", ["dln", "policy_num"], CALENDAR)
+    plan = stored._jdf.queryExecution().executedPlan().toString().splitlines()
+    months = [k for k, line in enumerate(plan) if "explode(sequence(" in line]
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(months) == 1 and dealt and min(dealt) > months[0]
+
+
+def test_a_value_counts_once_over_sessions_that_overlap_or_leave_gaps(spark):
+    ends = [("2020-01-10", "2020-02-10"), ("2020-01-20", "2020-02-05"), ("2020-01-10", "2020-02-10"),
+            ("2020-11-30", "2020-12-31"), ("2020-05-31", "2020-04-30")]
+    sessions = spark.createDataFrame(
+        [("V", "D", None, day(a), day(b), day("2020-01-01"), None, None) for a, b in ends],
+        "vin string, dln string, policy_num string, ver_eff date, ver_exp date, term_eff date, "
+        "ver_days int, session_prem decimal(18,2)")
+    windows = [(0, 3), (3, 6), (0, 12)]
+    got = {(r["dt"], r["near_months"], r["far_months"]): (r["cntdist_dln"], r["cntdist_policy_num"], r["cntdist_ver_eff"], r["prem_sum"])
+           for r in retro_exposures(sessions, "vin", ["dln", "policy_num"], CALENDAR, windows).collect()}
+    want = {}
+    for d in month_ends():
+        for near, far in windows:
+            lo, hi = months_before(d, far), months_before(d, near)
+            held = {a for a, b in ends if lo <= day(a) and hi > day(b)}
+            if held:
+                want[d, near, far] = (1, 0, len(held), 0)
+    assert got == want
