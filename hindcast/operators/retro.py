@@ -68,6 +68,11 @@ def month_number(date: Column | str) -> Column:
     return F.year(date) * 12 + F.month(date)
 
 
+def month_end_until(date: Column | str) -> Column:
+    """The newest month end not after ``date``: all days with the same one see the same snapshots."""
+    return F.last_day(F.add_months(F.date_add(as_column(date), 1), -1))
+
+
 def snapshot_grid(ids: DataFrame, id_column: str, calendar: MonthEnds) -> DataFrame:
     """Distinct ids x month ends."""
     every = calendar.months_between(

@@ -13,11 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast import COVERAGES, TRIPLET
-from hindcast.functions.maps import vector_to_columns
+from hindcast.functions.maps import (
+    latest_snapshot,
+    map_to_vector,
+    merge_maps,
+    vector_to_columns,
+)
 from hindcast.operators.retro import (
     DEFAULT_RETRO_MONTHS,
     EXPOSURE_WINDOWS,
     MonthEnds,
+    month_end_until,
     retro_exposures,
     retro_losses,
 )
@@ -243,6 +249,33 @@ def point_in_time_features(
     return joined.selectExpr(*[f"`{c}`" for c in events.columns], *values)
 
 
+def nested_features(
+    events: DataFrame, nested: Mapping[str, DataFrame], id_column: str, names: Sequence[str],
+    total: str,
+) -> DataFrame:
+    """Events with the named features of the newest snapshots in nested stores, one per coverage.
+
+    ``total`` is over all features of the merged maps. Snapshots lie at month ends, so days between
+    two of them see the same ones: maps are looked up once per id and month, and only the figures go
+    back to the events, which are read twice. Events without id, date or entry get 0.
+    """
+    rows = events.withColumn("_seen", month_end_until("ver_eff"))
+    asked = rows.select(id_column, "_seen").dropna().distinct()
+    for c, maps_of_ids in nested.items():
+        asked = asked.join(maps_of_ids, id_column, "left").withColumn(
+            f"_{c}", latest_snapshot("properties", "_seen")
+        ).drop("properties")
+    picked = [f"_{c}" for c in nested]
+    merged = asked.withColumn("_all", merge_maps(picked)).drop(*picked)
+    found = merged.withColumn("_vector", map_to_vector("_all", names)).withColumn(
+        total, F.aggregate(F.map_values("_all"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    ).drop("_all")
+    figures = features_from_vector(found, "_vector", names)
+    joined = rows.join(figures, [id_column, "_seen"], "left")
+    return joined.select(
+        *events.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in (total, *names)])
+
+
 def features_from_vector(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
     """Replace an array column by one named column per element."""
     return df.select(

@@ -268,3 +268,28 @@ def test_a_value_counts_once_over_sessions_that_overlap_or_leave_gaps(spark):
             if held:
                 want[d, near, far] = (1, 0, len(held), 0)
     assert got == want
+
+
+def test_nested_maps_are_read_once_per_id_and_month(spark):
+    rng = random.Random(10)
+    claims = spark.createDataFrame(
+        [(rng.choice("ab"), c, f"C{i}", random_day(rng, "2019-12-01", 500), money(rng))
+         for i in range(30) for c in ("DC", "AB")],
+        "vin string, cvg string, int_claim_num string, loss_dt date, loss_sum decimal(18,2)")
+    stored = store.claim_store(claims, "vin", CALENDAR, ["DC", "AB"], 2)
+    days = [day("2020-01-30") + dt.timedelta(days=d) for d in range(120)]
+    events = spark.createDataFrame(
+        [(n, v, d) for n, (v, d) in enumerate([(v, d) for v in "abz" for d in days]
+                                               + [(None, days[50]), ("a", None), ("a", days[60])])],
+        "n long, vin string, ver_eff date")
+    names = store.loss_feature_names(["vin"], ["DC", "AB"], 2)
+    nested = {c: store.nested_claim_store(stored, "vin", c) for c in ("DC", "AB")}
+    found = store.nested_features(events, nested, "vin", names, "total")
+    wide = store.point_in_time_features(events, {"vin": stored}, ["DC", "AB"], 2)
+    want = wide.withColumn("total", sum((F.col(c) for c in names[1:]), F.col(names[0])))
+    keys = ["n", "vin", "ver_eff", "total", *names]
+    assert rows(found, *keys) == rows(want, *keys)
+    assert found.filter("total > 0").count() > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the maps meet months, not days: days are reduced before the first join with them
+    assert "Aggregate [vin" in plan and plan.count("_seen") > 1

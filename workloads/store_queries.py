@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from hindcast.functions import maps
 from hindcast.operators.reliable import checkpointed, scratch_folder
 from hindcast.operators.retro import EXPOSURE_WINDOWS, retro_losses_long
 from hindcast.plans import history, store
@@ -176,18 +175,10 @@ def store_lookup_nested(spark, folder):
     ``total`` is over all features of the merged map; the vector names two of each coverage.
     """
     stored = checkpointed(_claim_store(spark, folder, "vin"))
-    rows = _events(spark, folder)
-    for c in COVERAGES:
-        nested = store.nested_claim_store(stored, "vin", c)
-        rows = rows.join(nested, "vin", "left").withColumn(
-            f"_{c}", maps.latest_snapshot("properties", "ver_eff")
-        ).drop("properties")
-    picked = [f"_{c}" for c in COVERAGES]
-    rows = rows.withColumn("_all", maps.merge_maps(picked)).drop(*picked)
+    events = checkpointed(_events(spark, folder))  # read twice
+    nested = {c: store.nested_claim_store(stored, "vin", c) for c in COVERAGES}
     names = [store.loss_feature("vin", kind, c, m) for kind, c, m in _ENDS]
-    rows = rows.withColumn("_vector", maps.map_to_vector("_all", names))
-    total = F.aggregate(F.map_values("_all"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    rows = store.features_from_vector(rows.withColumn("total", total).drop("_all"), "_vector", names)
+    rows = store.nested_features(events, nested, "vin", names, "total")
     return rows.withColumnsRenamed(dict(zip(names, (f"{c}_{kind}" for kind, c, _ in _ENDS))))
 
 
