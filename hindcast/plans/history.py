@@ -57,7 +57,20 @@ def previous_terms(
     alone. With ``known_before`` a term counts only once its ``term_end`` has passed, so that no loss
     of the event's own time leaks in; the last terms are then those that ended last.
     """
-    figures = [c for c in terms.columns if c not in {kk, "term_eff", "term_end"}]
+    figures = _term_figures(terms, kk)
+    found = _earlier_terms(events, terms, kk, ranks, known_before)
+    return found.selectExpr(kk, "term_eff", *_per_rank(figures, kk, "_terms", ranks))
+
+
+def _term_figures(terms: DataFrame, kk: str) -> list[str]:
+    return [c for c in terms.columns if c not in {kk, "term_eff", "term_end"}]
+
+
+def _earlier_terms(
+    events: DataFrame, terms: DataFrame, kk: str, ranks: int, known_before: bool = False
+) -> DataFrame:
+    """:func:`previous_terms` with the terms still in one array ``_terms``, oldest first."""
+    figures = _term_figures(terms, kk)
     shown = F.date_add(F.col("term_end" if known_before else "term_eff"), 1)
     per_day = terms.dropna(subset=[kk, "term_eff"]).withColumn("_visible", shown)
     order = ["_visible", "term_eff"]
@@ -70,16 +83,17 @@ def previous_terms(
     )
     marks = listed.groupBy(kk, "_visible").agg(F.max_by("_terms", "term_eff").alias("_terms"))
     asked = events.select(kk, "term_eff").dropna().distinct()
-    found = read_timeline(asked, marks, [kk], "term_eff", "_visible", ["_terms"])
-    placed = found.select(
-        kk, "term_eff",
-        *[F.try_element_at("_terms", F.lit(-r)).alias(f"_t{r}") for r in range(1, ranks + 1)],
-    )
+    return read_timeline(asked, marks, [kk], "term_eff", "_visible", ["_terms"])
+
+
+def _per_rank(figures: Sequence[str], kk: str, listed: str, ranks: int) -> list[str]:
+    """Expressions of the figures of each rank, the last term of the array being the first."""
     out = []
     for r in range(1, ranks + 1):
-        out += [f"_t{r}.`{c}` as `{c}_{r}`" for c in figures]
-        out.append(f"datediff(term_eff, _t{r}.term_eff) as term_dayssince_{kk}_{r}")
-    return placed.selectExpr(kk, "term_eff", *out)
+        term = f"try_element_at({listed}, -{r})"
+        out += [f"{term}.`{c}` as `{c}_{r}`" for c in figures]
+        out.append(f"datediff(term_eff, {term}.term_eff) as term_dayssince_{kk}_{r}")
+    return out
 
 
 def add_previous_terms(
@@ -89,10 +103,15 @@ def add_previous_terms(
     """Events with the previous-term figures of each id, NULL where there are fewer terms.
 
     Both inputs are read once per id, so pass stored or checkpointed tables. Every lookup starts from
-    the events as given, not from the result of the one before.
+    the events as given, not from the result of the one before. Terms travel through the joins as one
+    array per id and become columns at the end: the joins would else move four times their figures
+    as columns, too many for generated code.
     """
-    out = events
+    out, added = events, []
     for kk in ids:
-        found = previous_terms(events, term_aggregates(sessions, kk, coverages), kk)
+        terms = term_aggregates(sessions, kk, coverages)
+        listed = f"_terms_{kk}"
+        found = _earlier_terms(events, terms, kk, RANKS).withColumnRenamed("_terms", listed)
         out = out.join(found, [kk, "term_eff"], "left")
-    return out.select(*events.columns, *[c for c in out.columns if c not in events.columns])
+        added += _per_rank(_term_figures(terms, kk), kk, listed, RANKS)
+    return out.selectExpr(*[f"`{c}`" for c in events.columns], *added)
