@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import checks, timeline
-from hindcast.operators.reliable import checkpointed
+from hindcast.operators.reliable import checkpointed, stored
 from hindcast.plans import claims, events
 from workloads import inputs
 from workloads import tables as t
@@ -223,7 +223,8 @@ UNION ALL SELECT 'no null premium', count(*) FILTER (prem IS NULL), 0, count(*)
   FROM sessions""", as_of_driver=_AS_OF_DRIVER))
 def quality_checks(spark, folder):
     sessions = checkpointed(inputs.sessions(spark, folder))
-    labelled = checkpointed(events.label_events(sessions, inputs.claims_wide(spark, folder)))
+    wide = stored(inputs.claims_wide(spark, folder))  # the labels read it twice
+    labelled = checkpointed(events.label_events(sessions, wide))
     keys = labelled.select("policy_num", "vin", "dln", "ver_eff")
     known = timeline.asof_join(
         keys, t.driver_history(spark, folder), ["dln"], "ver_eff", "processed_date", t.DRIVER_TIES

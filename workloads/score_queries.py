@@ -9,7 +9,7 @@ from hindcast.functions.types import bool_to_int
 from hindcast.operators import ordering
 from hindcast.operators.frequency import frequency_encode as encode_frequencies
 from hindcast.operators.cleaning import between_dates
-from hindcast.operators.reliable import checkpointed
+from hindcast.operators.reliable import checkpointed, stored
 from hindcast.plans import backtest, cession, evaluate, events, splits
 from workloads import inputs
 from workloads import tables as t
@@ -357,6 +357,7 @@ SELECT policy_num, vin, dln, CAST(ver_eff AS VARCHAR) AS ver_eff, rn > floor(n *
   FROM events_labelled)"""))
 def split_time(spark, folder):
     rows = inputs.labelled(spark, folder).select("policy_num", "vin", "dln", "ver_eff")
+    rows = stored(rows)  # the order's borders, the order and the marks each read it
     return splits.time_split(rows, "ver_eff", ["policy_num", "vin", "dln"])
 
 

@@ -153,8 +153,9 @@ def feature_store_claim_saved(spark, folder):
         total("acum").alias("acum_total"))
 
 
-def _events(spark, folder):
-    return inputs.labelled(spark, folder).select("policy_num", "vin", "dln", "ver_eff")
+def _events(spark, folder, claims_rows=None):
+    rows = inputs.labelled(spark, folder, claims_rows)
+    return rows.select("policy_num", "vin", "dln", "ver_eff")
 
 
 _ENDS = [(kind, c, m) for c in COVERAGES for kind, m in (("bin", 0), ("acum", 24))]
@@ -205,7 +206,7 @@ _POINT_IN_TIME = sql(
 def point_in_time_features(spark, folder):
     claims = checkpointed(inputs.claims_long(spark, folder))
     stores = {kk: store.claim_store(claims, kk, t.CALENDAR) for kk in ("vin", "dln")}
-    events = checkpointed(_events(spark, folder))
+    events = checkpointed(_events(spark, folder, claims))
     return store.point_in_time_features(events, stores)
 
 
@@ -213,7 +214,7 @@ def point_in_time_features(spark, folder):
 def point_in_time_features_bucketed(spark, folder):
     """The same from saved tables, whose rows are looked up where they lie."""
     claims = checkpointed(inputs.claims_long(spark, folder))
-    events = checkpointed(_events(spark, folder))
+    events = checkpointed(_events(spark, folder, claims))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stores = {}
     for kk in ("vin", "dln"):
