@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ MARK = r"!-&(-/:-@\[-`{-~"
 PIECE = re.compile(
     rf"{SPACE}*+(?:[^\s{MARK}]++(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[{MARK}])|[\S\x1c-\x1f]++)|{SPACE}+\Z")
 
+BLANK_FIRST = re.compile(rf"{SPACE}.*[\S\x1c-\x1f]", re.DOTALL)
+FIRST = itemgetter(0)
+JOINED = 256  # pieces joined for one call of the tokenizer
+
 
 def bits_for(vocabulary: int) -> int:
     """Fewest bits that hold every id below ``vocabulary``."""
@@ -88,6 +93,30 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _pieces(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed ids of pieces. Those that begin with white space and end with something else are
+        pieces of their joined text too, so the tokenizer gets many of them in one call."""
+        joins = BLANK_FIRST.fullmatch
+        apart = []
+        for at in range(0, len(new), JOINED):
+            part = new[at:at + JOINED]
+            joined = list(filter(joins, part))
+            if len(joined) < len(part):
+                apart += [p for p in part if not joins(p)]
+            got = self.tokenizer.encode("".join(joined), add_special_tokens=False)
+            ids = np.array(got.ids, dtype=np.uint32).tobytes()
+            begins = np.fromiter(map(FIRST, got.offsets), dtype=np.int64)
+            ends = np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
+            # a token belongs to the piece its first character lies in
+            last = (4 * np.searchsorted(begins, ends)).tolist()
+            for piece, a, b in zip(joined, [0, *last], last):
+                yield piece, ids[a:b]
+        for at in range(0, len(apart), 4096):
+            part = apart[at:at + 4096]
+            for piece, got in zip(part, self.tokenizer.encode_batch_fast(
+                    part, add_special_tokens=False)):
+                yield piece, array("I", got.ids).tobytes()
+
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; equal to encoding each text whole."""
         pieces = [None if any(s in t for s in self.specials) else PIECE.findall(t) for t in texts]
@@ -100,11 +129,7 @@ class Encoder:
                 known[piece] = packed
             else:
                 new.append(piece)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(
-                    part, add_special_tokens=False)):
-                known[piece] = array("I", got.ids).tobytes()
+        known.update(self._pieces(new))
         out = [
             np.array(self.whole(t), dtype=np.uint32) if own is None
             else np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.uint32)
@@ -144,6 +169,7 @@ def write_token_file(
 
     def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path, remember)
+        end = np.array([end_id], dtype=np.uint32)
         bits = bits_for(coder.tokenizer.get_vocab_size(with_added_tokens=True))
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         held, names, ends, size = [], [], [], 0
@@ -160,7 +186,7 @@ def write_token_file(
             for at in range(0, batch.num_rows, 512):
                 texts = batch.column(1).slice(at, 512).to_pylist()
                 for doc_id, ids in zip(doc_ids[at:at + 512], coder.texts(texts)):
-                    held.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
+                    held += (ids, end)
                     size += len(ids) + 1
                     names.append(doc_id)
                     ends.append(size)
