@@ -13,7 +13,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,11 @@ BLOCKS = (
 SPACE = r"[^\S\x1c-\x1f]"
 MARK = r"!-&(-/:-@\[-`{-~"
 PIECE = re.compile(
-    rf"{SPACE}*+(?:[^\s{MARK}]++(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[{MARK}])|[\S\x1c-\x1f]++)|{SPACE}+\Z")
+    rf"{SPACE}*+(?:[^\s{MARK}]++(?:(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[{MARK}])|[\S\x1c-\x1f]*+)"
+    rf"|[\S\x1c-\x1f]++)|{SPACE}+\Z")
 
 BLANK_FIRST = re.compile(rf"{SPACE}.*[\S\x1c-\x1f]", re.DOTALL)
-FIRST = itemgetter(0)
-JOINED = 256  # pieces joined for one call of the tokenizer
+JOINED = 64  # pieces joined to one text for the tokenizer, which gets as many texts in a call
 
 
 def bits_for(vocabulary: int) -> int:
@@ -85,32 +84,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a byte-level token has one character per byte
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.remember, self.longest = remember, longest
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pieces(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         """Packed ids of pieces. Those that begin with white space and end with something else are
-        pieces of their joined text too, so the tokenizer gets many of them in one call."""
+        pieces of their joined text too, so the tokenizer gets many of them as one text. It is not
+        asked for offsets, which cost more than the ids: bytes tell where a piece's ids end."""
         joins = BLANK_FIRST.fullmatch
-        apart = []
-        for at in range(0, len(new), JOINED):
-            part = new[at:at + JOINED]
-            joined = list(filter(joins, part))
-            if len(joined) < len(part):
-                apart += [p for p in part if not joins(p)]
-            got = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-            ids = np.array(got.ids, dtype=np.uint32).tobytes()
-            begins = np.fromiter(map(FIRST, got.offsets), dtype=np.int64)
-            ends = np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
-            # a token belongs to the piece its first character lies in
-            last = (4 * np.searchsorted(begins, ends)).tolist()
-            for piece, a, b in zip(joined, [0, *last], last):
-                yield piece, ids[a:b]
+        joined = list(filter(joins, new))
+        apart = [] if len(joined) == len(new) else [p for p in new if not joins(p)]
+        parts = [joined[at:at + JOINED] for at in range(0, len(joined), JOINED)]
+        for at in range(0, len(parts), JOINED):
+            some = parts[at:at + JOINED]
+            for part, got in zip(some, self.tokenizer.encode_batch_fast(
+                    list(map("".join, some)), add_special_tokens=False)):
+                ids = np.array(got.ids, dtype=np.uint32)
+                behind = np.cumsum(self.n_bytes[ids])
+                ends = np.cumsum([len(p.encode()) for p in part])
+                last = np.searchsorted(behind, ends)
+                if len(behind) != last[-1] + 1 or (behind[last] != ends).any():
+                    apart += part  # a tokenizer that drops bytes, or joins over a piece's end
+                    continue
+                packed, last = ids.tobytes(), (4 * (last + 1)).tolist()
+                for piece, a, b in zip(part, [0, *last], last):
+                    yield piece, packed[a:b]
         for at in range(0, len(apart), 4096):
             part = apart[at:at + 4096]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(
@@ -123,21 +133,28 @@ class Encoder:
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
+        every = list(chain.from_iterable(own for own in pieces if own))
+        packed = list(map(known.get, every))  # the one lookup of most pieces
+        unknown = [i for i, ids in enumerate(packed) if ids is None]
         new = []
-        for piece in set(chain.from_iterable(own for own in pieces if own)) - known.keys():
-            if (packed := older.get(piece)) is not None:
-                known[piece] = packed
+        for piece in dict.fromkeys(every[i] for i in unknown):
+            if (ids := older.get(piece)) is not None:
+                known[piece] = ids
             else:
                 new.append(piece)
         known.update(self._pieces(new))
-        out = [
-            np.array(self.whole(t), dtype=np.uint32) if own is None
-            else np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.uint32)
-            for t, own in zip(texts, pieces)
-        ]
+        for i in unknown:
+            packed[i] = known[every[i]]
         for piece in new:
             if len(piece) > self.longest:
                 del known[piece]
+        out, at = [], 0
+        for text, own in zip(texts, pieces):
+            if own is None:
+                out.append(np.array(self.whole(text), dtype=np.uint32))
+                continue
+            out.append(np.frombuffer(b"".join(packed[at:at + len(own)]), dtype=np.uint32))
+            at += len(own)
         return out
 
 
@@ -153,14 +170,15 @@ def encoder(path: str, remember: int = REMEMBERED) -> Encoder:
 
 def write_token_file(
     documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0,
-    block_ids: int = 65_536, remember: int = REMEMBERED,
+    block_ids: int = 65_536, remember: int = REMEMBERED, keep: bool = True,
 ) -> None:
     """Tokenize ``documents`` (doc_id, text) and write them in ascending ``doc_id`` order.
 
     Rows are range partitioned by (doc_id, text), so a repeated doc_id cannot fill one task unless
     its rows are equal; each partition is one shard. NULL doc_id comes first, rows of one doc_id
     are ordered by text. A NULL or empty text is its end id alone. An empty table gives no blocks.
-    ``remember`` trades a worker's memory for time.
+    ``remember`` trades a worker's memory for time; without ``keep`` pieces are forgotten when a task
+    ends, so that its worker holds none of them in later stages.
     """
     ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(
@@ -196,6 +214,8 @@ def write_token_file(
                         held, names, ends, size = [], [], [], 0
         if held:
             yield closed()
+        if not keep:
+            coder.forget()
 
     ordered.mapInArrow(lean(pack_blocks), BLOCKS).write.parquet(folder)
 
