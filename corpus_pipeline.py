@@ -13,23 +13,38 @@ from hindcast.operators.reliable import scratch_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+# Texts differ in length by orders of magnitude, and the workers of one executor share its memory with
+# the stages before and after: rows and bytes handed to a Python worker at a time.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+}
+REMEMBERED = 100_000  # pieces an encoder remembers; four stages have used the memory before it
+
+
+def prepared(spark: SparkSession) -> None:
+    """What each stage needs of the session, since a stage may run without the ones before."""
+    ship_package(spark)
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the severity model, fitted on the labelled ones, calls toxic."""
-    ship_package(spark)
+    prepared(spark)
     model = toxicity.severity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near duplicates."""
-    ship_package(spark)
+    prepared(spark)
     return jaccard.one_per_class(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold half of a benchmark item or more, in any order of passages."""
-    ship_package(spark)
+    prepared(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -40,9 +55,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token file and describe it: one row per document, read back from the file."""
-    ship_package(spark)
+    prepared(spark)
     folder = scratch_folder(docs)
-    token_files.write_token_file(docs, folder, TOKENIZER, remember=REMEMBERED)
+    token_files.write_token_file(docs, folder, TOKENIZER, remember=REMEMBERED, keep=False)
     return token_files.read_token_file(spark, folder)
 
 
@@ -58,14 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-# Rows handed to a Python worker at a time. Texts differ in length by orders of magnitude, and the
-# workers of one executor share its memory with the stages before and after.
-BATCH_ROWS = 1000
-REMEMBERED = 100_000  # pieces an encoder remembers; four stages have used the memory before it
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))

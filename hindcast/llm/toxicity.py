@@ -141,9 +141,9 @@ def fit_severity(sample: DataFrame, features: list[str], steps: int = 400,
                 [batch.column(1), pa.array(at, type=pa.list_(pa.int32())),
                  pa.array(value, type=pa.list_(pa.float64()))], names=["grade", "at", "value"])
 
-    rows = sample.select("text", "grade").mapInArrow(
+    rows = stored(sample.select("text", "grade").mapInArrow(
         lean(sparse), "grade int, at array<int>, value array<double>"
-    ).orderBy("grade", "at", "value").collect()
+    )).orderBy("grade", "at", "value").collect()  # the sort reads its input twice
     grade = np.array([r["grade"] for r in rows], dtype=int)
     top = int(grade.max()) if len(grade) else 0
     if top == 0:
@@ -269,5 +269,7 @@ def severity_model(documents: DataFrame, labels: DataFrame, rows: int = 20_000)
     """The model of a yes/no label: sample, features, three grades, fit."""
     sample = stored(labelled_sample(documents, labels, "toxic", rows))
     features = select_features(sample)
-    graded = grade_by_markers(sample.withColumnRenamed("grade", "label"), features, "label")
+    # stored, since a task that grades and counts holds two Python workers, which outlive it
+    graded = stored(grade_by_markers(
+        sample.withColumnRenamed("grade", "label"), features, "label"))
     return fit_severity(graded, features)
