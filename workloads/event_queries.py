@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.operators import checks, timeline
-from hindcast.operators.reliable import checkpointed, stored
+from hindcast.operators.reliable import stored
 from hindcast.plans import claims, events
 from workloads import inputs
 from workloads import tables as t
@@ -165,9 +165,9 @@ _FEATURES = """CAST(seq AS BIGINT) AS seq, years_licensed, disc, status, job, ma
 
 
 def _event_keys(spark, folder):
-    """Keys of the events, checkpointed because each lookup reads them twice."""
+    """Keys of the events, stored because each lookup reads them twice."""
     rows = inputs.labelled(spark, folder)
-    return checkpointed(rows.select("policy_num", "vin", "dln", "ver_eff"))
+    return stored(rows.select("policy_num", "vin", "dln", "ver_eff"))
 
 
 @query("asof_driver_features", sql("""
@@ -222,9 +222,9 @@ UNION ALL SELECT 'fan-in keeps rows', (SELECT count(*) FROM events_labelled LEFT
 UNION ALL SELECT 'no null premium', count(*) FILTER (prem IS NULL), 0, count(*) FILTER (prem IS NULL) = 0
   FROM sessions""", as_of_driver=_AS_OF_DRIVER))
 def quality_checks(spark, folder):
-    sessions = checkpointed(inputs.sessions(spark, folder))
+    sessions = stored(inputs.sessions(spark, folder))
     wide = stored(inputs.claims_wide(spark, folder))  # the labels read it twice
-    labelled = checkpointed(events.label_events(sessions, wide))
+    labelled = stored(events.label_events(sessions, wide))
     keys = labelled.select("policy_num", "vin", "dln", "ver_eff")
     known = timeline.asof_join(
         keys, t.driver_history(spark, folder), ["dln"], "ver_eff", "processed_date", t.DRIVER_TIES
