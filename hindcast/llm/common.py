@@ -21,6 +21,20 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+# Rows and bytes handed to a Python worker at a time: texts differ in length by orders of magnitude,
+# and a batch is held by the worker and by its executor, outside the heap, at once.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the jobs that follow in this session."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

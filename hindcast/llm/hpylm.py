@@ -35,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import HashedWords, lean, lean_group, mixed, stored
+from hindcast.llm.common import HashedWords, lean, lean_group, mixed, small_batches, stored
 
 HOT_SHARE = 8
 PART_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 1_800_000, 60_000
 WORD_BYTES, CONTEXT_BYTES = 8, 6
+REMEMBERED = 150_000  # words whose hash a worker holds
 THETA = 1.0
 END = b"\x00end"
 DOCS, CELLS = 0, 1
@@ -275,7 +276,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """(word, n): hash and number of every word in the training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedWords()
+        hashed = HashedWords(REMEMBERED)
         held: list[np.ndarray] = []
         size = 0
 
@@ -310,7 +311,7 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedWords()
+        hashed = HashedWords(REMEMBERED)
         first = context_of(hashed.array([END]))[0]
         number = 0
         names: list[int | None] = []
@@ -322,18 +323,24 @@ def token_blocks(documents: DataFrame, hot: np.ndarray, parts: int) -> DataFrame
             length = np.array([len(t) for t in texts], dtype=np.int64)
             held = np.array([_held_out(n) for n in names])
             words = np.concatenate(texts)
+            texts.clear()  # one copy of the tokens at a time, here and below
             before = np.empty(len(words), dtype=np.uint64)
             before[1:] = context_of(words[:-1])
             before[np.cumsum(length) - length] = first
             part = parts_of(words, before, hot, parts)
             order = np.lexsort((before, words, part))
-            words, before, part = words[order], before[order], part[order]
-            doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)[order]
+            part = part[order]
+            words = words[order]
+            before = before[order]
+            doc = np.repeat(np.arange(len(length), dtype=np.uint16), length)[order]
+            del order
             starts = np.flatnonzero(np.concatenate(
                 [[True], (words[1:] != words[:-1]) | (before[1:] != before[:-1])]))
             often = np.diff(np.concatenate([starts, [len(words)]]))
-            train = np.add.reduceat((~held[doc]).astype(np.int64), starts)
-            words, before, part = words[starts], before[starts], part[starts]
+            train = np.add.reduceat(~held[doc], starts, dtype=np.int64)
+            part = part[starts]
+            words = words[starts]
+            before = before[starts]
             rows = [(-1 - batch_id % 1_000_003, batch_id, DOCS,
                      np.array([n or 0 for n in names], dtype=np.int64).tobytes(),
                      length.tobytes(), held.tobytes(),
@@ -387,18 +394,23 @@ def gathered(blocks: DataFrame) -> DataFrame:
             batches = np.array([r["batch"] for r in rows], dtype=np.int64)
             del rows
             order = np.lexsort((before, words))
-            words, before = words[order], before[order]
+            words = words[order]
+            before = before[order]
             new = np.concatenate([[True], (words[1:] != words[:-1]) | (before[1:] != before[:-1])])
             starts = np.flatnonzero(new)
+            words = words[starts]
+            before = before[starts]
+            train = np.add.reduceat(train[order], starts)
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.cumsum(new) - 1
+            del order, new
             step = np.diff(place, prepend=0)
             firsts = np.cumsum(length) - length
             step[firsts] = place[firsts]
-            own, cells = np.unique(words[starts], return_counts=True)
+            del place
+            own, cells = np.unique(words, return_counts=True)
             out.append((number, 0, CELLS, planes(own, WORD_BYTES), packed(cells),
-                        planes(before[starts], CONTEXT_BYTES),
-                        packed(np.add.reduceat(train[order], starts)),
+                        planes(before, CONTEXT_BYTES), packed(train),
                         batches.tobytes(), length.tobytes(), packed(step)))
         return pa.Table.from_batches([_batch(out, BLOCKS)])
 
@@ -460,6 +472,7 @@ def score_documents(
     id too. NULL and empty texts are their end alone. Repeated rows are scored (and counted) each.
     Words are known by a 64-bit hash. An empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     counts = stored(word_counts(documents))
     size = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens, n_words = size["n"] or 0, size["v"]
