@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _use_checkpoint_folder(context: SparkContext) -> None:
@@ -22,6 +26,18 @@ def _use_checkpoint_folder(context: SparkContext) -> None:
     context.setCheckpointDir(folder)
 
 
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What an action shuffles leaves the disk when it ends; else it stays until the driver collects
+    garbage, so the steps of a job add up. A plan that is run a second time shuffles again."""
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there.
 
@@ -29,7 +45,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     without that setting gets a temporary folder; on a cluster its absence is an error.
     """
     _use_checkpoint_folder(df.sparkSession.sparkContext)
-    return df.checkpoint(eager=True)
+    with _dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made under the setting
 
 
 def scratch_folder(df: DataFrame) -> str:
@@ -47,5 +64,6 @@ def stored(df: DataFrame) -> DataFrame:
     :func:`checkpointed`, and later readers take the columns they need.
     """
     folder = scratch_folder(df)
-    df.write.parquet(folder)
+    with _dropping_shuffles(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from hindcast.operators import reliable
 from hindcast.plans import exposure, history
 from tests.helpers import day, rows
 from workloads import inputs, score_queries
@@ -79,3 +83,30 @@ def test_earlier_terms_travel_as_one_array(spark, capsys):
         assert rows(out, kk, "term_eff", *named) == rows(alone, kk, "term_eff", *named)
     out.explain()
     assert "_terms_policy_num" in capsys.readouterr().out
+
+
+def test_stored_tables_leave_no_shuffles_behind(spark):
+    trackers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+
+    def shuffled():
+        found = trackers.diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())
+                if found.apply(i).getName().startswith("shuffle_")}
+
+    def counted(n):
+        return spark.range(0, 1000, 1, 4).groupBy((F.col("id") % n).alias("k")).count()
+
+    before = spark.conf.get(reliable._DROP_SHUFFLES)
+    for i, keep in enumerate((reliable.checkpointed, reliable.stored)):
+        plan, known = counted(7 + i), shuffled()
+        kept = keep(plan)
+        assert wait_until(lambda: not shuffled() - known)
+        assert kept.count() == plan.count() == 7 + i
+    assert spark.conf.get(reliable._DROP_SHUFFLES) == before
+
+
+def wait_until(holds, seconds=20):
+    end = time.time() + seconds
+    while not holds() and time.time() < end:
+        time.sleep(0.2)
+    return holds()
