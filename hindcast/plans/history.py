@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast import TRIPLET
 from hindcast.functions.rows import ratio_of_sums
+from hindcast.operators.reliable import stored
 from hindcast.operators.timeline import read_timeline
 
 HISTORY_COVERAGES = ("DC", "COMPSP", "APCOLL", "TPL", "UIN", "AB")
@@ -103,15 +104,19 @@ def add_previous_terms(
     """Events with the previous-term figures of each id, NULL where there are fewer terms.
 
     Both inputs are read once per id, so pass stored or checkpointed tables. Every lookup starts from
-    the events as given, not from the result of the one before. Terms travel through the joins as one
-    array per id and become columns at the end: the joins would else move four times their figures
-    as columns, too many for generated code.
+    the events as given, not from the result of the one before. It is stored, so that only one id's
+    shuffles are on disk at a time. The largest is joined first, when events are narrow; small ones
+    may then be broadcast. Terms travel through the joins as one array per id and become columns at
+    the end: the joins would else move four times their figures as columns, too many for generated code.
     """
-    out, added = events, []
+    found, added = [], []
     for kk in ids:
         terms = term_aggregates(sessions, kk, coverages)
         listed = f"_terms_{kk}"
-        found = _earlier_terms(events, terms, kk, RANKS).withColumnRenamed("_terms", listed)
-        out = out.join(found, [kk, "term_eff"], "left")
+        found.append((kk, stored(
+            _earlier_terms(events, terms, kk, RANKS).withColumnRenamed("_terms", listed))))
         added += _per_rank(_term_figures(terms, kk), kk, listed, RANKS)
+    out = events
+    for kk, rows in sorted(found, key=lambda x: x[1].count(), reverse=True):
+        out = out.join(rows, [kk, "term_eff"], "left")
     return out.selectExpr(*[f"`{c}`" for c in events.columns], *added)

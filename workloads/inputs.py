@@ -86,8 +86,8 @@ def backtested(spark: SparkSession, folder: str, as_of=t.AS_OF) -> DataFrame:
 
 
 def session_losses(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions with one loss per coverage, UIN among them."""
-    long = claims_long(spark, folder)
+    """Sessions with one loss per coverage, UIN among them; both inputs are stored ahead of that."""
+    long = stored(claims_long(spark, folder))
     per_coverage = long.select(
         *events.PARTY, "loss_dt",
         *[
