@@ -12,7 +12,6 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,19 +137,18 @@ def retro_losses(
     sums = (
         binned.filter(F.col("_bin").between(0, retro_months))
         .groupBy(id_column, "cvg", "dt")
-        .agg(*[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months])
+        .agg(*[F.expr(f"sum(if(_bin = {m}, _cents, 0L)) as _b{m}") for m in months],
+             *[F.expr(f"sum(if(_bin <= {m}, _cents, 0L)) as _a{m}") for m in months])
     )
-    # Chained in one projection: what the sums share is evaluated once per row, no array is copied.
-    single = [F.col(f"_b{m}") for m in months]
-    running = list(accumulate(single, lambda done, x: done + x))
+    # Generated code throughout: a function over an array would be interpreted for every row, running
+    # sums in one projection would repeat each other and outgrow what is compiled.
+    cents = [*[f"_b{m}" for m in months], *[f"_a{m}" for m in months]]
 
-    def whole_units(cents: Sequence[Column]) -> Column:
-        return F.transform(F.array(*cents), lambda x: F.call_function("div", x, F.lit(100)))
+    def whole_units(prefix: str) -> Column:
+        return F.array(*[F.expr(f"{prefix}{m} div 100") for m in months])
 
-    return sums.select(
-        id_column, "cvg", "dt", whole_units(single).alias("bins"),
-        whole_units(running).alias("acum"),
-    ).filter((F.array_max("bins") > 0) | (F.array_max("acum") > 0))
+    return sums.filter(F.greatest(*cents) >= 100).select(  # a whole unit in some bin or total
+        id_column, "cvg", "dt", whole_units("_b").alias("bins"), whole_units("_a").alias("acum"))
 
 
 def retro_losses_long(stored: DataFrame, id_column: str, kind: str) -> DataFrame:

@@ -293,3 +293,17 @@ def test_nested_maps_are_read_once_per_id_and_month(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # the maps meet months, not days: days are reduced before the first join with them
     assert "Aggregate [vin" in plan and plan.count("_seen") > 1
+
+
+def test_retro_losses_are_compiled_and_keep_negative_totals(spark, capsys):
+    claims = spark.createDataFrame(
+        [("a", "DC", "1", day("2020-03-10"), Decimal("2.50")),
+         ("a", "DC", "2", day("2020-02-10"), Decimal("-7.99")),
+         ("b", "DC", "3", day("2020-03-10"), Decimal("0.99")), ("c", "DC", "4", day("2020-03-10"), None)],
+        "vin string, cvg string, int_claim_num string, loss_dt date, loss_sum decimal(18,2)")
+    out = retro_losses(claims, "vin", MonthEnds("2020-03-31", "2020-04-30"), ["DC"], 2)
+    out.explain()
+    assert "lambda" not in capsys.readouterr().out  # functions over arrays are interpreted
+    got = {(r["vin"], str(r["dt"])): (r["bins"], r["acum"]) for r in out.collect()}
+    assert got == {("a", "2020-03-31"): ([2, -7, 0], [2, -5, -5]),
+                   ("a", "2020-04-30"): ([0, 2, -7], [0, 2, -5])}
