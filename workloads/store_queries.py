@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from hindcast.operators.reliable import checkpointed, scratch_folder
+from hindcast.operators.reliable import checkpointed, scratch_folder, stored
 from hindcast.operators.retro import EXPOSURE_WINDOWS, retro_losses_long
 from hindcast.plans import history, store
 from hindcast.sources import read_table
@@ -282,6 +282,7 @@ FROM sessions s LEFT JOIN previous_vin v ON v.vin = s.vin AND v.term_eff = s.ter
 LEFT JOIN previous_dln d ON d.dln = s.dln AND d.term_eff = s.term_eff
 LEFT JOIN previous_policy_num p ON p.policy_num = s.policy_num AND p.term_eff = s.term_eff""", **_EXTRA))
 def previous_terms(spark, folder):
-    sessions = checkpointed(inputs.session_losses(spark, folder))
+    claims = stored(inputs.claims_long(spark, folder))  # their shuffles go before the next begin
+    sessions = checkpointed(inputs.session_losses(spark, folder, claims))
     rows = sessions.select("policy_num", "vin", "dln", "ver_eff", "term_eff")
     return history.add_previous_terms(rows, sessions)
